@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from .common import table
+from pyspark.sql import functions as F
+
+from . import decontamination, language, quality, sharding, simhash
+from .common import crc_remainder, table
 from .token_counts import count_tokens
 
 
@@ -10,9 +13,64 @@ def op1_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark, sf_dir):
+    found = decontamination.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shingles", "n_found", F.round("containment", 6).alias("containment"))
+
+
+def op4_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.filter(crc_remainder("doc_id", 3) != 1))
+    return quality.score_quality(docs, model).withColumn("held_out", crc_remainder("doc_id", 3) == 1)
+
+
+def op7_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    crf = language.train(docs.filter(crc_remainder("doc_id", 5) != 0))
+    return language.identify(docs, crf).withColumn("held_out", crc_remainder("doc_id", 5) == 0)
+
+
+def op10_sharding(spark, sf_dir):
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {k: v for k, v in globals().items() if k.startswith("op")}
+    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+
+
+OP3_SQL = """
+WITH w AS (
+  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS words FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT 'i', item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') FROM benchmark WHERE text IS NOT NULL
+), s AS (
+  SELECT DISTINCT side, id, array_to_string(words[k:k + 4], ' ') AS shingle
+  FROM (SELECT side, id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS k FROM w WHERE len(words) > 0)
+), n AS (SELECT id, count(*) AS n_shingles FROM s WHERE side = 'i' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, n.n_shingles, count(*) AS n_found, round(count(*) / n.n_shingles, 6) AS containment
+FROM s d JOIN s i ON d.shingle = i.shingle AND d.side = 'd' AND i.side = 'i' JOIN n ON n.id = i.id
+GROUP BY d.id, i.id, n.n_shingles HAVING count(*) / n.n_shingles >= 0.8
+"""
+
+OP10_SQL = f"""
+WITH k AS (
+  SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
+         lpad(bin(('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT), 60, '0') AS bits
+  FROM documents
+), s AS (
+  SELECT doc_id, n_bytes, d, left(bits, d) AS shard,
+         sum(n_bytes) OVER (PARTITION BY d, left(bits, d)) AS shard_bytes, count(*) OVER (PARTITION BY d, left(bits, d)) AS shard_docs
+  FROM k, range(0, 61) AS t(d)
+)
+SELECT doc_id, n_bytes, arg_min(shard, d) AS shard, arg_min(shard_bytes, d)::BIGINT AS shard_bytes, arg_min(shard_docs, d) AS shard_docs
+FROM s WHERE shard_bytes <= {sharding.LIMIT} OR shard_docs = 1
+GROUP BY doc_id, n_bytes
+"""
 
 
 def oracle_sql():
-    return {}
+    return {"op3_decontamination": OP3_SQL, "op10_sharding": OP10_SQL}
