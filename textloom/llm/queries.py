@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, language, quality, sharding, simhash
+from . import bpe, decontamination, language, nn_descent, quality, sharding, simhash, suffix_dedup, training_order
 from .common import crc_remainder, table
 from .token_counts import count_tokens
 
@@ -13,6 +13,10 @@ def op1_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op2_bpe(spark, sf_dir):
+    return bpe.encode(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op3_decontamination(spark, sf_dir):
     found = decontamination.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_shingles", "n_found", F.round("containment", 6).alias("containment"))
@@ -24,6 +28,15 @@ def op4_quality(spark, sf_dir):
     return quality.score_quality(docs, model).withColumn("held_out", crc_remainder("doc_id", 3) == 1)
 
 
+def op5_training_order(spark, sf_dir):
+    out = training_order.training_order(table(spark, sf_dir, "documents"))
+    return out.select("slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
+
+
+def op6_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,6 +47,10 @@ def op8_language(spark, sf_dir):
     return language.identify(docs, crf).withColumn("held_out", crc_remainder("doc_id", 5) == 0)
 
 
+def op9_nearest(spark, sf_dir):
+    return nn_descent.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
 def op10_sharding(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
