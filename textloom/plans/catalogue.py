@@ -1,11 +1,515 @@
-"""Query catalogue: name -> (Spark callable, oracle SQL)."""
+"""Query catalogue: name -> Spark callable, and the oracle SQL beside it.
+
+The test tables stand in for the engine's own: documents for chunks and texts
+(source: text, lang: tradition), embeddings for stored vectors, labels for
+staged tags, events for review actions, lineitem and orders for tags.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions.html import html_main_text
+from ..functions.llm_output import overflowed, repaired_json
+from ..functions.text import elide, natural_key, slug, token_estimate
+from ..operators import chunking, cleaning, graph, review, tables, vectors
+from ..sources.files import downloader, scoped_links
+from ..streaming.review_stream import sessions, tumbling
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries():
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
+
+
+def _t(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+LINES = r"""lines AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, line FROM (
+    SELECT doc_id, k, regexp_replace(parts[k], '^\s+|\s+$', '', 'g') AS line
+    FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)))
+  WHERE line <> '')"""
+
+
+# --- chunking ---
+
+
+@_query(f"WITH {LINES} SELECT doc_id, (i - 1)::INT AS pos, line FROM lines")
+def chunk_lines(spark, sf_dir):
+    return chunking.split_lines(_t(spark, sf_dir, "documents"))
+
+
+@_query(f"""WITH RECURSIVE {LINES}, fold AS (
+  SELECT doc_id, i, line, 1 AS chunk, 1 AS cnt, line AS txt FROM lines WHERE i = 1
+  UNION ALL
+  SELECT l.doc_id, l.i, l.line,
+    CASE WHEN f.cnt >= 3 OR length(f.txt || chr(10) || l.line) // 4 > 200 THEN f.chunk + 1 ELSE f.chunk END,
+    CASE WHEN f.cnt >= 3 OR length(f.txt || chr(10) || l.line) // 4 > 200 THEN 1 ELSE f.cnt + 1 END,
+    CASE WHEN f.cnt >= 3 OR length(f.txt || chr(10) || l.line) // 4 > 200 THEN l.line ELSE f.txt || chr(10) || l.line END
+  FROM fold f JOIN lines l ON l.doc_id = f.doc_id AND l.i = f.i + 1
+), out AS (SELECT doc_id, chunk, arg_max(txt, i) AS body FROM fold GROUP BY doc_id, chunk)
+SELECT doc_id, chunk::INT AS n, 'Section ' || chunk AS section, body, (length(body) // 4)::BIGINT AS token_count FROM out
+UNION ALL SELECT doc_id, 1, 'Section 1', '', 0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM lines)""")
+def chunk_paragraph_group(spark, sf_dir):
+    return chunking.group_paragraphs(_t(spark, sf_dir, "documents"), separator="\n", target=3, max_tokens=200)
+
+
+@_query(r"""WITH lines AS (
+  SELECT doc_id, k, parts[k] AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))
+), h AS (SELECT *, regexp_matches(trim(line), '^[^ ]+\.$') AS head FROM lines),
+s AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY k) AS sec FROM h),
+g AS (SELECT doc_id, sec, max(CASE WHEN head THEN trim(line) END) AS heading, coalesce(regexp_replace(string_agg(CASE WHEN NOT head THEN line END, chr(10) ORDER BY k), '^\s+|\s+$', '', 'g'), '') AS body FROM s GROUP BY doc_id, sec),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sec) AS rn FROM g WHERE sec > 0 OR body <> ''),
+b AS (SELECT *, ((rn - 1) // 2 + 1)::INT AS n FROM r)
+SELECT doc_id, n, arg_min(coalesce(heading, ''), rn) AS section, coalesce(string_agg(CASE WHEN body <> '' THEN body END, chr(10) || chr(10) ORDER BY rn), '') AS body FROM b GROUP BY doc_id, n""")
+def chunk_headings(spark, sf_dir):
+    return chunking.split_headings(_t(spark, sf_dir, "documents"), r"[^ ]+\.$", group_size=2)
+
+
+@_query()
+def chunk_regex(spark, sf_dir):
+    return chunking.split_regex(_t(spark, sf_dir, "documents"), r"^(\w+)[.,]", label="Sutra {n}", group_size=2)
+
+
+@_query("SELECT doc_id, (length(text) // 4)::BIGINT AS tokens FROM documents")
+def token_estimates(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", token_estimate(F.col("text")).alias("tokens"))
+
+
+@_query("SELECT doc_id, regexp_replace(text, '(?s)(Licensed under|Copyright \\(c\\)|This work is licensed).*$', '') AS body, length(text)::INT AS n_before FROM documents")
+def pre_strip_patterns(spark, sf_dir):
+    d = chunking.pre_strip(_t(spark, sf_dir, "documents").select("doc_id", "text", F.char_length("text").alias("n_before")), [r"(Licensed under|Copyright \(c\)|This work is licensed).*$"])
+    return d.select("doc_id", F.col("text").alias("body"), "n_before")
+
+
+@_query("""WITH m AS (SELECT source, min(CASE WHEN contains(text, 'ation') THEN doc_id END) AS lo FROM documents GROUP BY source),
+k AS (SELECT d.* FROM documents d JOIN m USING (source) WHERE lo IS NULL OR doc_id >= lo),
+e AS (SELECT source, min(CASE WHEN contains(text, 'licensed') THEN doc_id END) AS hi FROM k GROUP BY source)
+SELECT k.doc_id, k.source FROM k JOIN e USING (source) WHERE (hi IS NULL OR doc_id < hi) AND NOT contains(text, '###')""")
+def drop_pages_by_marker(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return chunking.drop_pages(d, before="ation", after="licensed", drop=["###"], key="source", page="doc_id").select("doc_id", "source")
+
+
+@_query("SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
+def exact_duplicates(spark, sf_dir):
+    return chunking.shared_bodies(_t(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+@_query("""WITH n AS (SELECT source, count(*) AS found FROM documents GROUP BY source), d AS (SELECT source, max(doc_id) // 20 AS declared FROM documents GROUP BY source)
+SELECT source, declared, found FROM n JOIN d USING (source) WHERE declared <> found""")
+def count_gate(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    return tables.count_gate(d.groupBy("source").agg(F.expr("max(doc_id) div 20").alias("declared")), d, "source")
+
+
+# --- cleaning and readability ---
+
+
+@_query(r"SELECT doc_id, regexp_replace(text, '\s*\[\d{1,3}\]', '', 'g') AS body FROM documents")
+def clean_footnotes(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", cleaning.FOOTNOTE, "").alias("body"))
+
+
+@_query(r"""WITH c AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '(?s)End of the Project Gutenberg.*$', ''), '(Scanned|Digitized|Transcribed|Proofed) (at|by|and)[^.]{0,120}\.', '', 'g'), '\s*\[\d{1,3}\]', '', 'g') AS cleaned FROM documents)
+SELECT doc_id, cleaned, round(1 - length(cleaned) / length(text), 6) AS shrink, 1 - length(cleaned) / length(text) > 0.25 AS refused FROM c""")
+def clean_bodies(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
+    return cleaning.clean_guarded(d, key="doc_id").select("doc_id", "cleaned", F.round("shrink", 6).alias("shrink"), "refused")
+
+
+@_query(r"SELECT doc_id, regexp_replace(text, '[\s\-]+', '', 'g') = regexp_replace(replace(text, ' ', chr(10)), '[\s\-]+', '', 'g') AS same FROM documents")
+def words_preserved(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", cleaning.words_preserved(F.col("text"), F.replace("text", F.lit(" "), F.lit("\n"))).alias("same"))
+
+
+@_query("SELECT doc_id, CASE WHEN length(text) > 300 THEN text[1:150] || '…' || right(text, 150) ELSE text END AS body FROM documents")
+def head_tail_elide(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", elide(F.col("text"), 300).alias("body"))
+
+
+def _signals_sql() -> str:
+    pats = {
+        "hyphen_break": (r"[a-z]-\n[a-z]", "b"),
+        "caps_runs": (r"\b[A-Z]{4,}(?:\s+[A-Z]{2,})+\b", "h"),
+        "page_marks": (r"\[(?:p\.|Pg) ?\d+\]|(?m:^\s*\d{1,4}\s*$)", "h"),
+        "footnotes": (r"\[\d{1,3}\]|\{\d{1,3}\}|\^\d{1,3}", "h"),
+        "brackets": (r"\[\.\.\.\]|\[sic\]|\(\?\)", "h"),
+        "dot_leaders": (r"\.{4,}", "h"),
+    }
+    cols = [f"least(1.0::DOUBLE, len(regexp_extract_all(text, '{p}')) / greatest({v}, 1)) AS {k}" for k, (p, v) in pats.items()]
+    hard = r"CASE WHEN b >= 2 THEN least(1.0::DOUBLE, len(regexp_extract_all(text, '[a-z,;]\n[a-z]')) / greatest(b, 1)) ELSE 0.0 END AS hard_wrap"
+    total = " + ".join(f"{k} * {w}" for k, w in cleaning.WEIGHTS.items())
+    names = ", ".join(f"round({k}, 6) AS {k}" for k in cleaning.WEIGHTS)
+    return f"WITH d AS (SELECT doc_id, source, text, len(regexp_extract_all(text, '\\n'))::DOUBLE AS b, length(text) / 100.0::DOUBLE AS h FROM documents), s AS (SELECT doc_id, source, {hard}, {', '.join(cols)} FROM d), q AS (SELECT doc_id, source, {names}, round({total}, 6) AS score FROM s)"
+
+
+@_query(_signals_sql() + " SELECT * EXCLUDE (source) FROM q")
+def readability(spark, sf_dir):
+    return cleaning.audit(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text")
+
+
+@_query(_signals_sql() + " SELECT doc_id, source, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS rank FROM q) WHERE rank <= 3")
+def worst_n_per_source(spark, sf_dir):
+    d = cleaning.audit(_t(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text")
+    return cleaning.worst(d, 3, "source", key="doc_id").select("doc_id", "source", "score", "rank")
+
+
+# --- pages ---
+
+
+@_query(r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages")
+def html_title_host(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.try_parse_url("url", F.lit("HOST")).alias("host"))
+
+
+@_query(r"""WITH l AS (SELECT url, regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') AS base, unnest(regexp_extract_all(html, 'href="([^"#]+)', 1)) AS href FROM pages),
+r AS (SELECT DISTINCT url, base, href, CASE WHEN regexp_matches(href, '^[a-z]+:') THEN href WHEN starts_with(href, '/') THEN regexp_extract(base, '^[a-z]+://[^/]+') || href ELSE base || href END AS link FROM l)
+SELECT url, link FROM r WHERE starts_with(link, base) AND NOT starts_with(href, '..') AND NOT contains(split_part(link, '/', -1), '..')""")
+def html_scoped_links(spark, sf_dir):
+    return scoped_links(_t(spark, sf_dir, "pages"))
+
+
+@_query()
+def html_text(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", html_main_text("html").alias("body"))
+
+
+@_query(r"""SELECT page_id, CASE WHEN regexp_matches(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '(^|\.)gnosis\.org$') THEN 'gnosis_org' WHEN page_id % 4 = 0 THEN 'sacred_texts' WHEN page_id % 4 = 1 THEN 'generic_html' WHEN page_id % 4 = 2 THEN 'sefaria' END AS module FROM pages""")
+def downloader_dispatch(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, ["html_multi", "html", "sefaria_api", "pdf"])), (F.col("page_id") % 4 + 1).cast("int"))
+    return _t(spark, sf_dir, "pages").select("page_id", downloader(F.col("url"), kind).alias("module"))
+
+
+# --- tables ---
+
+
+@_query("SELECT doc_id, source FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 0)")
+def tagged_semi(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels").filter("quality = 0"), "doc_id", "left_semi").select("doc_id", "source")
+
+
+@_query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def untagged_anti(spark, sf_dir):
+    return tables.drop_ids(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source")
+
+
+@_query("""WITH o AS (SELECT doc_id, sha256(trim(text)) AS h, row_number() OVER (PARTITION BY sha256(trim(text)) ORDER BY doc_id) AS k FROM documents WHERE doc_id % 2 = 0),
+n AS (SELECT doc_id, sha256(trim(text)) AS h, row_number() OVER (PARTITION BY sha256(trim(text)) ORDER BY doc_id) AS k FROM documents WHERE doc_id % 2 = 1)
+SELECT o.doc_id AS old_id, coalesce(n.doc_id, -1) AS new_id FROM o LEFT JOIN n USING (h, k)""")
+def body_remap(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    return tables.match_by_body(d.filter("id % 2 = 0"), d.filter("id % 2 = 1")).fillna(-1, ["new_id"])
+
+
+@_query("""WITH m AS (SELECT doc_id AS old_id, CASE WHEN doc_id % 10 <> 0 THEN doc_id + 1000000 END AS new_id FROM documents)
+SELECT m.new_id AS doc_id, quality, toxic FROM labels l JOIN m ON m.old_id = l.doc_id WHERE m.new_id IS NOT NULL""")
+def rewrite_references(spark, sf_dir):
+    m = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("old_id"), F.when(F.col("doc_id") % 10 != 0, F.col("doc_id") + 1000000).alias("new_id"))
+    return tables.rewrite_refs(_t(spark, sf_dir, "labels"), ["doc_id"], m)
+
+
+@_query("""WITH m AS (SELECT user_id, user_id // 2 AS new FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 2 = 1),
+r AS (SELECT event_id, coalesce(m.new, e.user_id) AS user_id, event_type, m.new IS NOT NULL AS moved FROM events e LEFT JOIN m ON m.user_id = e.user_id)
+SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY moved, event_id) AS k FROM r) WHERE k = 1""")
+def many_to_one_remap(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    m = e.select("user_id").distinct().filter("user_id % 2 = 1").select(F.col("user_id").alias("old"), F.expr("user_id div 2").alias("new"))
+    return tables.update_or_ignore(e, "user_id", m, ["user_id", "event_type"], "event_id")
+
+
+@_query("""SELECT doc_id, CASE WHEN d.doc_id IS NULL THEN 'orphaned' ELSE 'off_plan' END AS state FROM (SELECT doc_id FROM labels UNION SELECT -1) l LEFT JOIN documents d USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)
+UNION ALL SELECT doc_id, 'missing' FROM documents WHERE doc_id % 3 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels)""")
+def drift_report(spark, sf_dir):
+    d, live = _t(spark, sf_dir, "documents").select("doc_id"), _t(spark, sf_dir, "labels").select("doc_id")
+    live = live.unionAll(spark.range(1).select((F.col("id") - 1).alias("doc_id"))).distinct()
+    return tables.drift(d.filter("doc_id % 3 = 0"), live, d, "doc_id")
+
+
+@_query("""WITH a AS (SELECT doc_id, source FROM documents), b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'moved' ELSE source END AS source FROM documents WHERE doc_id % 11 <> 0)
+SELECT *, 'a' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'b' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
+def parity_diff(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", "source")
+    b = d.filter("doc_id % 11 <> 0").withColumn("source", F.when(F.col("doc_id") % 7 == 0, "moved").otherwise(F.col("source")))
+    return tables.parity(d, b, ["doc_id", "source"])
+
+
+@_query("""SELECT doc_id, quality, toxic FROM labels WHERE doc_id % 5 <> 0
+UNION ALL SELECT doc_id, 1 - quality, toxic FROM labels WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id + 5000000, quality, toxic FROM labels WHERE doc_id % 50 = 0""")
+def upsert_by_key(spark, sf_dir):
+    old = _t(spark, sf_dir, "labels")
+    new = old.filter("doc_id % 5 = 0").withColumn("quality", (1 - F.col("quality")).cast("int"))
+    return tables.upsert(old, new.unionByName(old.filter("doc_id % 50 = 0").withColumn("doc_id", F.col("doc_id") + 5000000)), ["doc_id"])
+
+
+@_query("SELECT doc_id, quality, toxic FROM labels UNION ALL SELECT doc_id, -1, -1 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def insert_or_ignore(spark, sf_dir):
+    new = _t(spark, sf_dir, "documents").select("doc_id", F.lit(-1).alias("quality"), F.lit(-1).alias("toxic"))
+    return tables.insert_ignore(_t(spark, sf_dir, "labels"), new, ["doc_id"])
+
+
+@_query("""SELECT coalesce(l.doc_id, d.doc_id) AS doc_id, CASE WHEN d.doc_id IS NOT NULL THEN 9 ELSE l.quality END AS quality, CASE WHEN l.doc_id IS NOT NULL THEN l.toxic ELSE 7 END AS toxic
+FROM labels l FULL JOIN (SELECT doc_id FROM documents WHERE doc_id % 4 = 0) d ON d.doc_id = l.doc_id""")
+def selective_upsert(spark, sf_dir):
+    new = _t(spark, sf_dir, "documents").filter("doc_id % 4 = 0").select("doc_id", F.lit(9).alias("quality"), F.lit(7).alias("toxic"))
+    return tables.selective_upsert(_t(spark, sf_dir, "labels"), new, ["doc_id"], ["quality"])
+
+
+@_query("""SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type = 'click', user_id, event_type ORDER BY event_id) AS k FROM events) WHERE event_type <> 'click' OR k = 1""")
+def pending_dedupe(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return tables.dedupe_where(e, F.col("event_type") == "click", ["user_id", "event_type"], "event_id")
+
+
+@_query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id < 1000 THEN 'model-a' ELSE 'model-b' END AS model FROM events")
+def backfill_by_range(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("model"))
+    return tables.backfill(e, "model", 1000, "model-a", "model-b", "event_id")
+
+
+@_query("SELECT doc_id, source FROM documents WHERE doc_id > 100 ORDER BY doc_id LIMIT 20")
+def keyset_page(spark, sf_dir):
+    return tables.page_after(_t(spark, sf_dir, "documents").select("doc_id", "source"), 100, 20, "doc_id")
+
+
+@_query("SELECT count(*) FILTER (doc_id > 100) AS ahead, count(*) FILTER (doc_id <= 100) AS behind FROM documents")
+def remaining_count(spark, sf_dir):
+    return tables.remaining(_t(spark, sf_dir, "documents"), 100, "doc_id")
+
+
+@_query("SELECT doc_id, lang, rank FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) WHERE rank <= 20")
+def first_n_per_group(spark, sf_dir):
+    d = tables.drop_ids(_t(spark, sf_dir, "documents").select("doc_id", "lang"), _t(spark, sf_dir, "labels"), "doc_id")
+    return tables.first_n(d, "lang", "doc_id", 20)
+
+
+@_query("SELECT 'documents' AS label, count(*) AS n FROM documents UNION ALL SELECT 'labels', count(*) FROM labels UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'pending', count(*) FROM events WHERE event_type = 'view' UNION ALL SELECT 'large', count(*) FROM events WHERE value > 50")
+def manifest_counts(spark, sf_dir):
+    m = tables.manifest({n: _t(spark, sf_dir, n) for n in ("documents", "labels", "pages")})
+    return m.unionByName(tables.conditional_manifest(_t(spark, sf_dir, "events"), {"pending": F.col("event_type") == "view", "large": F.col("value") > 50}))
+
+
+@_query("SELECT source AS label, string_agg(doc_id, ',' ORDER BY doc_id) AS members FROM documents WHERE doc_id < 200 GROUP BY source")
+def natural_order(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").filter("doc_id < 200").select("source", F.concat(F.lit("part-"), "doc_id").alias("m"), "doc_id")
+    keys = F.array_sort(F.collect_list(F.struct(natural_key(F.col("m")).alias("k"), "doc_id")))
+    return d.groupBy(F.col("source").alias("label")).agg(F.array_join(F.transform(keys, lambda x: x["doc_id"].cast("string")), ",").alias("members"))
+
+
+@_query("SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
+def span_slug(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", slug(F.col("p_name")).alias("slug"))
+
+
+# --- review queue ---
+
+
+@_query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS action, max(ts) AS at FROM events GROUP BY user_id")
+def queue_latest_action(spark, sf_dir):
+    return review.latest_action(_t(spark, sf_dir, "events"), "user_id", "ts", "event_type", "event_id")
+
+
+@_query("SELECT event_type AS action, (user_id % 3)::VARCHAR AS target_table, count(*) AS n, count(DISTINCT user_id) AS targets FROM events GROUP BY GROUPING SETS ((), (event_type), ((user_id % 3)::VARCHAR))")
+def apply_preview(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(F.col("event_type").alias("action"), (F.col("user_id") % 3).cast("string").alias("target_table"), F.col("user_id").alias("target_id"))
+    return review.apply_preview(e)
+
+
+@_query("SELECT event_type, count(*) AS n FROM events WHERE ts >= (SELECT max(ts)::DATE FROM events) GROUP BY event_type")
+def applied_today(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    today = e.agg(F.max("ts").cast("date").cast("timestamp_ntz").alias("today"))
+    return e.join(F.broadcast(today), F.col("ts") >= F.col("today")).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def json_path(spark, sf_dir):
+    k = F.get_json_object("props", "$.k")
+    return _t(spark, sf_dir, "events").filter(k.isNotNull()).select("event_id", k.cast("int").alias("k"))
+
+
+@_query("""WITH a AS (SELECT event_id AS id, CASE user_id % 3 WHEN 0 THEN 'tag' WHEN 1 THEN 'edge' ELSE 'cleanup' END AS target_table, CASE event_type WHEN 'click' THEN 'accept' WHEN 'view' THEN 'reject' WHEN 'purchase' THEN 'reassign' ELSE 'skip' END AS action, 'c' || (event_id % 9000) AS client_action_id FROM events),
+v AS (SELECT *, action <> 'reassign' AS ok, row_number() OVER (PARTITION BY client_action_id ORDER BY id) AS r FROM a)
+SELECT CASE WHEN NOT ok THEN 'invalid' WHEN r > 1 THEN 'duplicate' ELSE 'queued' END AS outcome, count(*) AS n FROM v GROUP BY 1""")
+def enqueue_outcomes(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    null = F.lit(None).cast("string")
+    a = e.select(
+        F.col("event_id").alias("id"),
+        F.element_at(F.array(F.lit("tag"), F.lit("edge"), F.lit("cleanup")), (F.col("user_id") % 3 + 1).cast("int")).alias("target_table"),
+        F.col("user_id").alias("target_id"),
+        F.when(F.col("event_type") == "click", "accept").when(F.col("event_type") == "view", "reject").when(F.col("event_type") == "purchase", "reassign").otherwise("skip").alias("action"),
+        null.alias("reassign_to"),
+        null.alias("reclassify_to"),
+        F.concat(F.lit("c"), F.col("event_id") % 9000).alias("client_action_id"),
+    )
+    _, outcome = review.enqueue(a.limit(0), a)
+    return outcome.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+# --- vectors ---
+
+COS = "list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
+
+
+@_query(f"SELECT query_id, vec_id, similarity, rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round({COS}, 6) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id WHERE {COS} >= 0.1) WHERE rank <= 10")
+def cosine_topk(spark, sf_dir):
+    e = _t(spark, sf_dir, "embeddings")
+    return vectors.top_k(e, e.filter("vec_id % 100 = 0"), 10, 0.1).withColumn("similarity", F.round("similarity", 6))
+
+
+@_query(f"SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b, round(s, 6) AS similarity FROM (SELECT q.vec_id AS a, v.vec_id AS b, {COS} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, v.vec_id) AS r FROM embeddings q JOIN embeddings v ON q.label <> v.label AND q.vec_id % 20 = 0) WHERE r <= 5")
+def cross_group_pairs(spark, sf_dir):
+    e = _t(spark, sf_dir, "embeddings")
+    return vectors.cross_group_pairs(e, e.filter("vec_id % 20 = 0"), 5, -1.0).withColumn("similarity", F.round("similarity", 6))
+
+
+FUSED = f"""WITH f AS (SELECT v.vec_id, v.label, {COS} AS similarity FROM embeddings q JOIN embeddings v ON q.vec_id = 0 AND v.vec_id <> 0 WHERE {COS} >= 0.0),
+w AS (SELECT vec_id, label, CASE vec_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 ELSE 0.4 END::DOUBLE AS tier_weight, (vec_id % 5) / 5.0::DOUBLE AS graph_score FROM embeddings WHERE vec_id % 2 = 1),
+b AS (SELECT coalesce(f.vec_id, w.vec_id) AS vec_id, coalesce(f.label, w.label) AS label, 0.7::DOUBLE * coalesce(similarity, 0) + 0.3::DOUBLE * greatest(coalesce(tier_weight, 0), coalesce(graph_score, 0)) AS base FROM f FULL JOIN w ON f.vec_id = w.vec_id),
+s AS (SELECT vec_id, label, base + CASE WHEN row_number() OVER (PARTITION BY label ORDER BY base DESC, vec_id) = 1 THEN 0.1::DOUBLE ELSE 0 END AS score FROM b)"""
+
+
+def _fused(spark, sf_dir):
+    e = _t(spark, sf_dir, "embeddings")
+    found = vectors.top_k(e, e.filter("vec_id = 0"), 1 << 30, 0.0).join(e.select("vec_id", "label"), "vec_id").select("vec_id", "label", "similarity")
+    tier = F.element_at(F.array(F.lit("verified"), F.lit("proposed"), F.lit("inferred")), (F.col("vec_id") % 3 + 1).cast("int"))
+    walked = e.filter("vec_id % 2 = 1").select("vec_id", "label", graph.tier_weight(tier).alias("tier_weight"), ((F.col("vec_id") % 5) / 5.0).alias("graph_score"))
+    return vectors.fuse(found, walked, "vec_id", "label")
+
+
+@_query(FUSED + " SELECT vec_id, label, round(score, 6) AS score FROM s")
+def fusion_rank(spark, sf_dir):
+    return _fused(spark, sf_dir).select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@_query(FUSED + " SELECT vec_id, label, round(score, 6) AS score, group_rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS group_rank FROM s) WHERE group_rank <= 3")
+def knn_label_cap(spark, sf_dir):
+    return vectors.cap_per_group(_fused(spark, sf_dir), 3, "label", "score", "vec_id").select("vec_id", "label", F.round("score", 6).alias("score"), "group_rank")
+
+
+@_query("""SELECT a.vec_id AS id_a, b.vec_id AS id_b, CASE WHEN a.vec_id <= b.vec_id THEN 'ab' ELSE 'ba' END AS presentation_order, least(a.vec_id, b.vec_id) AS pair_a, greatest(a.vec_id, b.vec_id) AS pair_b, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity
+FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 3) % 500""")
+def similarity_backfill(spark, sf_dir):
+    e = _t(spark, sf_dir, "embeddings")
+    p = e.select(F.col("vec_id").alias("id_a"), ((F.col("vec_id") * 7 + 3) % 500).alias("id_b"))
+    p = vectors.backfill_similarity(p, e, "id_a", "id_b", "vec_id", "embedding")
+    return graph.canonical_pairs(p, "id_a", "id_b").withColumn("similarity", F.round("similarity", 6))
+
+
+# --- graph ---
+
+EXPRESSES = "x AS (SELECT DISTINCT o_custkey AS chunk_id, l_partkey AS concept_id, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey), t AS (SELECT chunk_id, concept_id, CASE min(l_linenumber) WHEN 1 THEN 1.0 WHEN 2 THEN 0.7 ELSE 0.4 END::DOUBLE AS w FROM x GROUP BY ALL), e AS (SELECT t.*, c_nationkey AS tradition FROM t JOIN customer ON c_custkey = chunk_id)"
+
+
+@_query(f"WITH {EXPRESSES} SELECT a.chunk_id AS source, b.chunk_id AS target, round(sum(least(a.w, b.w)), 6) AS weight, string_agg(a.concept_id, ',' ORDER BY a.concept_id::VARCHAR) AS annotation FROM e a JOIN e b ON a.concept_id = b.concept_id AND a.chunk_id < b.chunk_id AND a.tradition <> b.tradition GROUP BY 1, 2 HAVING count(*) >= 2")
+def derived_parallels(spark, sf_dir):
+    li, o, c = (_t(spark, sf_dir, n) for n in ("lineitem", "orders", "customer"))
+    x = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(F.col("o_custkey").alias("chunk_id"), F.col("l_partkey").cast("string").alias("concept_id"), F.when(F.col("l_linenumber") == 1, "verified").when(F.col("l_linenumber") == 2, "proposed").otherwise("inferred").alias("tier"))
+    return graph.derived_parallels(x, c.select(F.col("c_custkey").alias("chunk_id"), F.col("c_nationkey").alias("tradition")), 2)
+
+
+@_query("""WITH c AS (SELECT DISTINCT p_type AS concept FROM part), q AS (SELECT DISTINCT p_name AS query FROM part)
+SELECT query, concept FROM q, c WHERE contains(lower(query), replace(lower(concept), '_', ' ')) OR len(list_filter(string_split(lower(concept), '_'), lambda w: length(w) >= 3 AND contains(lower(query), w))) > 0""")
+def concept_match(spark, sf_dir):
+    p = _t(spark, sf_dir, "part")
+    c = p.select(F.col("p_type").alias("concept")).distinct().limit(5000)
+    q = p.select(F.col("p_name").alias("query")).distinct()
+    return q.join(F.broadcast(c), graph.concept_matches(F.col("query"), F.col("concept"))).select("query", "concept")
+
+
+@_query("""WITH d AS (SELECT source, count(*) AS n, count(DISTINCT lang) AS langs, min(doc_id) AS first_doc FROM documents GROUP BY source)
+SELECT source AS work_id, CASE WHEN langs > 1 THEN 'span traditions' END AS fault, langs::VARCHAR AS detail FROM d WHERE langs > 1""")
+def works_faults(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("text_id"), F.col("lang").alias("tradition"), "source")
+    declared = d.groupBy(F.col("source").alias("id")).agg(F.min("tradition").alias("tradition"), F.array_sort(F.collect_list("text_id")).alias("members"))
+    return graph.work_faults(d, declared)
+
+
+@_query("""SELECT source AS work_id, true AS grouped, count(*) AS members FROM documents WHERE doc_id % 2 = 0 GROUP BY source
+UNION ALL SELECT doc_id::VARCHAR, false, 1 FROM documents WHERE doc_id % 2 = 1""")
+def works_grouping(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    texts = d.select(F.col("doc_id").cast("string").alias("text_id"), F.col("source").alias("text_name"), F.col("lang").alias("tradition"))
+    declared = d.filter("doc_id % 2 = 0").groupBy(F.col("source").alias("id")).agg(F.min("source").alias("label"), F.min("lang").alias("tradition"), F.collect_list(F.col("doc_id").cast("string")).alias("members"))
+    return graph.works(texts, declared).select("work_id", "grouped", F.size("members").cast("long").alias("members"))
+
+
+SPANS = """WITH RECURSIVE c AS (SELECT source AS work, doc_id AS seq, (length(text) // 4)::BIGINT AS tok, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+f AS (SELECT work, seq, tok, i, 1 AS span, tok AS acc FROM c WHERE i = 1 UNION ALL
+SELECT c.work, c.seq, c.tok, c.i, CASE WHEN f.acc + c.tok <= 6000 THEN f.span ELSE f.span + 1 END, CASE WHEN f.acc + c.tok <= 6000 THEN f.acc + c.tok ELSE c.tok END FROM f JOIN c ON c.work = f.work AND c.i = f.i + 1),
+p AS (SELECT work, span::INT AS span, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS chunks, sum(tok)::BIGINT AS tokens FROM f GROUP BY work, span)"""
+
+
+def _plan(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select(F.col("source").alias("work"), F.col("doc_id").alias("seq"), token_estimate(F.col("text")).alias("token_count"))
+    return graph.span_plan(d)
+
+
+@_query(SPANS + " SELECT * FROM p")
+def span_plan(spark, sf_dir):
+    return _plan(spark, sf_dir)
+
+
+@_query(SPANS + " SELECT work, count(*) AS spans, sum(tokens)::BIGINT AS tokens, count(*) = 1 AS degenerate FROM p GROUP BY work")
+def span_summary(spark, sf_dir):
+    return graph.plan_summary(_plan(spark, sf_dir))
+
+
+# --- model output ---
+
+
+@_query()
+def json_repair(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", repaired_json("text").alias("fixed"))
+
+
+@_query("SELECT conv_id, turn, length(text) > 5000 AND regexp_matches(text, 'Thinking Process|Final list') AND NOT regexp_matches(text, '[\\]}]') AS overflow FROM conversations")
+def overflow_canary(spark, sf_dir):
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", overflowed(F.col("text")).alias("overflow"))
+
+
+# --- extensions beyond the reference ---
+
+
+@_query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def ext_tumbling_daily(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    return tumbling(e, "ts", "1 day", "event_type").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@_query("""WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR, true)::INT AS s FROM events),
+k AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sess FROM g)
+SELECT user_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM k GROUP BY user_id, sess""")
+def ext_sessions(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    return sessions(e, "ts", "6 hours", "user_id").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_ts", "last_ts")})
+
+
+@_query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+def ext_rollup(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@_query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def ext_cube(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
