@@ -84,26 +84,32 @@ def _induce_loop(t: np.ndarray, k: int, s_type: np.ndarray, lms: np.ndarray) ->
     """The same for any alphabet, a position at a time."""
     n, count = len(t), np.bincount(t, minlength=k)
     ends = np.cumsum(count)
-    sa, is_s, v = [-1] * n, s_type.tolist(), t.tolist()
+    # by position: the character before it where that suffix is L-type (S-type), else -1; last: of no position
+    before, kind = np.append(t[:-1], -1), np.append(s_type[:-1], False)
+    first = np.full(n + 1, -1, np.int64)
+    large, small = first.copy(), first.copy()
+    large[1:n] = np.where(kind[: n - 1], -1, before[: n - 1])
+    small[1:n] = np.where(kind[: n - 1], before[: n - 1], -1)
+    large, small, sa = large.tolist(), small.tolist(), [-1] * n
     tail = (ends - 1).tolist()
-    for i in reversed(lms.tolist()):
-        c = v[i]
+    back = lms[::-1]
+    for i, c in zip(back.tolist(), t[back].tolist(), strict=True):
         sa[tail[c]] = i
         tail[c] -= 1
     head = (ends - count).tolist()
-    for r in range(n):
-        j = sa[r] - 1
-        if j >= 0 and not is_s[j]:
-            c = v[j]
-            sa[head[c]] = j
-            head[c] += 1
+    for i in sa:  # grows ahead of the scan
+        c = large[i]
+        if c >= 0:
+            at = head[c]
+            sa[at] = i - 1
+            head[c] = at + 1
     tail = (ends - 1).tolist()
-    for r in range(n - 1, -1, -1):
-        j = sa[r] - 1
-        if j >= 0 and is_s[j]:
-            c = v[j]
-            sa[tail[c]] = j
-            tail[c] -= 1
+    for i in reversed(sa):
+        c = small[i]
+        if c >= 0:
+            at = tail[c]
+            sa[at] = i - 1
+            tail[c] = at - 1
     sa[0] = n - 1
     return np.array(sa, np.int32)
 
@@ -156,14 +162,24 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     irreducible = (before != own) | (prev < 0)
     out = np.zeros(n, np.int64)
     live = np.flatnonzero(irreducible & (prev >= 0))
-    far = np.concatenate([t, np.full(8, -1, t.dtype)])
-    step = 0
-    while len(live):
-        p, q = live + step, prev[live] + step
-        on = (p < n) & (q < n)
-        on[on] = t[p[on]] == far[q[on]]
-        out[live[~on]] = step
-        live = live[on]
-        step += 1
+    # four characters a step, then one by one where the four differ
+    for width in (4, 1):
+        if width == 4:
+            own = np.append(t, np.arange(-8, 0)).astype(np.int64) & 0xFFFF
+            four = own[:-3] | own[1:-2] << 16 | own[2:-1] << 32 | own[3:] << 48
+            code, rest, step = four, live, 0
+            if t.max(initial=0) >= 0xFFF0:
+                continue
+            done = np.zeros(n, np.int64)
+        else:
+            code, rest, step = np.append(t, np.arange(-8, 0)), live, 0
+            done = out.copy()
+        while len(rest):
+            p, q = rest + done[rest] + step, prev[rest] + done[rest] + step
+            on = (p < n) & (q < n)
+            on[on] = code[p[on]] == code[q[on]]
+            out[rest[~on]] = done[rest[~on]] + step
+            rest = rest[on]
+            step += width
     last = np.maximum.accumulate(np.where(irreducible, i, 0))
     return np.maximum(out[last] - (i - last), 0)

@@ -4,9 +4,10 @@ Every 200-byte window of a text is assigned to the least hash among its 64-byte
 grams (its anchor); equal windows have equal anchors.  The windows of one
 anchor are consecutive and make one string.  Strings whose anchor hash occurs
 once in the corpus hold no repeated window.  The rest are reduced to distinct
-strings with their number of occurrences and dealt to shards by anchor; each
-shard's suffix array (induced sorting) and permuted common prefixes tell which
-windows occur again.  Anchors with very many different strings are dealt finer:
+strings with their number of occurrences.  Where an anchor has one such string,
+its copies say that all its windows recur; the strings of all other anchors are
+dealt to shards by anchor, and each shard's suffix array (induced sorting) and
+permuted common prefixes tell which windows occur again.  Anchors with very many different strings are dealt finer:
 by the window's offset to the anchor and the bytes that all windows of a block
 of offsets share, which equal windows share too.
 """
@@ -28,7 +29,7 @@ from .suffix_array import permuted_lcp, suffix_array
 LENGTH = 200
 GRAM = 64
 #: Bytes that one buffer of positions may have (a position takes 24 bits).
-BUFFER = 4 << 20
+BUFFER = 1 << 19
 #: Bytes of distinct strings in a shard, about.
 SHARD = 1 << 20
 #: An anchor with more different strings than this is dealt finer, by blocks of OFFSETS.
@@ -201,9 +202,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     reps = cand.groupBy("fp", "h").agg(F.sum("c").alias("c"), F.min(F.struct("t1", "t2", "d", "at", "n")).alias("at"))
     reps = written(reps.select("fp", "h", "c", "at.*"), "strings")
     by_fp = reps.groupBy("fp").agg(F.count("*").alias("kinds"))
+    reps = reps.join(by_fp, "fp")
+    # an anchor's only string occurs twice or more: all its windows do, and none occurs in another string
+    sole = reps.filter("kinds = 1").select("fp", "h", F.array(F.lit(0), "n").alias("found"))
+    reps = reps.filter("kinds > 1")
     total = reps.agg(F.sum(F.col("n") + length - 1)).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD))
-    chosen = reps.join(by_fp, "fp").select("t1", "t2", "d", F.struct("fp", "h", "at", "n", (F.col("c") > 1).alias("many"), (F.col("kinds") > HOT).alias("hot")).alias("s"))
+    chosen = reps.select("t1", "t2", "d", F.struct("fp", "h", "at", "n", (F.col("c") > 1).alias("many"), (F.col("kinds") > HOT).alias("hot")).alias("s"))
     chosen = chosen.groupBy("t1", "t2", "d").agg(F.collect_list("s").alias("strings"))
     strings = _strings(_keyed(docs.select("doc_id", "text")).join(chosen, ["t1", "t2", "d"]), shards, length)
 
@@ -219,7 +224,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     found = written(strings.groupBy("shard").applyInArrow(sort, "fp long, h long, found array<int>"), "found")
     # at most one row a string and block of offsets; on the other side, its occurrences
-    spans = cand.join(found, ["fp", "h"]).select("t1", "t2", F.transform("found", lambda x: x + F.col("at")).alias("found"))
+    spans = cand.join(found.unionByName(sole), ["fp", "h"]).select("t1", "t2", F.transform("found", lambda x: x + F.col("at")).alias("found"))
     return spans.groupBy("t1", "t2").agg(F.flatten(F.collect_list("found")).alias("spans"))
 
 
