@@ -1,16 +1,17 @@
 """Operator 2: BPE encoding and decoding through a distinct-word table.
 
 No token of the vocabulary spans white space, so a text's ids are those of its
-white-space separated words, one after another.  Texts are split into words
-block by block; a block keeps its distinct words and each text as positions
-into them.  All blocks' words meet in one table, where every distinct word is
-encoded once, and the ids go back to the blocks by position.  Decoding joins
-ids with the table of pieces.
+words, one after another.  Texts are split into words block by block; a block
+keeps its distinct words and each text as positions into them.  All blocks'
+words meet in one table, where every distinct word is encoded once, and the
+ids go back to the blocks by position.  Decoding joins ids with the table of
+pieces.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -19,11 +20,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-
 #: A block ends at this many distinct words or characters of text.
-BLOCK_WORDS = 400_000
-BLOCK_CHARS = 32 << 20
+BLOCK_WORDS = 1_000_000
+BLOCK_CHARS = 48 << 20
 TOKENIZER = "word_bpe_49k.json"
 
 _library: dict[str, object] = {}
@@ -40,9 +39,37 @@ def library(name: str):
     return _library[name]
 
 
-def words(text: str) -> list[str]:
+def _units(text: str) -> list[str]:
     """Split at space, tab and line ends, which every version of the splitting pattern cuts at."""
-    return [x for x in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if x]
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+
+def _plain(w: str) -> bool:
+    """Letters only, of blocks that all versions of Unicode's tables agree on."""
+    return w.isascii() or max(w) < "\u0250" and "\u0130" not in w
+
+
+def _words(unit: str) -> list[str]:
+    """The words of a unit, as they are encoded: a plain word is lower-cased, as the
+    library does first, and a mark after it is a word of its own."""
+    if unit.isalpha() and _plain(unit):
+        return [unit.lower()]
+    if unit[-1:] in tuple(".,;:!?") and unit[:-1].isalpha() and _plain(unit[:-1]):
+        return [unit[:-1].lower(), unit[-1]]
+    return [unit] if unit else []
+
+
+class _Places(dict):
+    """Units to the places of their words in a block's list of distinct words."""
+
+    def __init__(self):
+        super().__init__()
+        self.index: dict[str, int] = {}
+
+    def __missing__(self, unit: str) -> tuple[int, ...]:
+        index = self.index
+        at = self[unit] = tuple([index.setdefault(w, len(index)) for w in _words(unit)])
+        return at
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -54,52 +81,73 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def split_blocks(docs: DataFrame) -> DataFrame:
-    """``block, ids (the doc_ids), lengths, positions, words``: one row a block of texts."""
+def _kind(docs: DataFrame) -> tuple[str, pa.DataType]:
     kind = docs.schema["doc_id"].dataType.simpleString()
+    return kind, {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+
+
+def split_blocks(docs: DataFrame, texts: bool) -> DataFrame:
+    """One row a block: ``block, words``, or with ``texts`` ``block, ids, lengths, positions``.
+
+    ``block`` is a hash of all the block's words and positions, so both forms
+    of a block have the same; blocks with equal content share it, and their words.
+    """
+    kind, id_type = _kind(docs)
 
     def run(batches):
-        index: dict[str, int] = {}
-        ids, lengths, places, size = [], [], [], 0
+        places, ids, lengths, flat, size = _Places(), [], [], [], 0
         for b in batches:
-            for i, text in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                own = words(text or "")
-                # a word's place is the number of words first seen before it
-                places.append(np.array([index.setdefault(w, len(index)) for w in own], np.uint32))
-                ids.append(i.as_py())
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = list(chain.from_iterable(map(places.__getitem__, _units(text or ""))))
+                flat.append(np.array(own, np.uint32))
+                ids.append(i)
                 lengths.append(len(own))
                 size += len(text or "")
-                if size > BLOCK_CHARS or len(index) > BLOCK_WORDS:
-                    yield block(ids, lengths, places, index)
-                    index, ids, lengths, places, size = {}, [], [], [], 0
+                if size > BLOCK_CHARS or len(places.index) > BLOCK_WORDS:
+                    yield block(ids, lengths, flat, places.index)
+                    places, ids, lengths, flat, size = _Places(), [], [], [], 0
         if ids:
-            yield block(ids, lengths, places, index)
+            yield block(ids, lengths, flat, places.index)
 
-    def block(ids, lengths, places, index):
-        packed = _pack(np.concatenate(places))
-        key = hashlib.blake2b(packed + "\0".join(index).encode(), digest_size=8).digest()
-        cols = [pa.array([int.from_bytes(key, "little", signed=True)], pa.int64()), pa.array([ids]), pa.array([lengths], pa.list_(pa.int32())), pa.array([packed], pa.binary()), pa.array([list(index)], pa.list_(pa.string()))]
-        cols[1] = cols[1].cast(pa.list_(id_type))
-        return pa.RecordBatch.from_arrays(cols, names=["block", "ids", "lengths", "positions", "words"])
+    def block(ids, lengths, flat, index):
+        flat = np.concatenate(flat)
+        h = hashlib.blake2b(flat, digest_size=8)
+        h.update("\0".join(index).encode())
+        key = pa.array([int.from_bytes(h.digest(), "little", signed=True)], pa.int64())
+        if not texts:
+            return pa.RecordBatch.from_arrays([key, pa.array([list(index)], pa.list_(pa.string()))], names=["block", "words"])
+        cols = [key, pa.array([ids], pa.list_(id_type)), pa.array([lengths], pa.list_(pa.int32())), pa.array([_pack(flat)], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=["block", "ids", "lengths", "positions"])
 
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    return docs.select("doc_id", "text").mapInArrow(run, f"block long, ids array<{kind}>, lengths array<int>, positions binary, words array<string>")
+    schema = f"block long, ids array<{kind}>, lengths array<int>, positions binary" if texts else "block long, words array<string>"
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def encode_words(table: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Adds ``ids`` (binary, unsigned 32-bit little-endian) to a table of distinct words."""
-    rest = [f for f in table.schema.fields if f.name != "word"]
+def encode_words(places: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """``block, at, ids`` from ``word, block, at``: the distinct-word table.
+
+    All places of a word lie next to one another, so each distinct word is
+    encoded once; a word has at most one place in a block.  ``ids`` are
+    unsigned 16-bit integers where the vocabulary allows, else 32-bit.
+    """
+    together = places.select("word", "block", "at").repartition("word").sortWithinPartitions("word")
 
     def run(batches):
         t = library(tokenizer)
+        dtype, last = _id_type(tokenizer), {}
         for b in batches:
             own = b.column(0).to_pylist()
-            got = t.encode_batch_fast(own, add_special_tokens=False)
-            ids = [np.array(e.ids, "<u4").tobytes() for e in got]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), *b.columns[1:]], names=["word", "ids", *b.schema.names[1:]])
+            new = [w for w in dict.fromkeys(own) if w not in last]
+            got = t.encode_batch_fast(new, add_special_tokens=False)
+            table = last | {w: np.array(e.ids, dtype).tobytes() for w, e in zip(new, got, strict=True)}
+            last = {own[-1]: table[own[-1]]} if own else last
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([table[w] for w in own], pa.binary())], names=["block", "at", "ids"])
+
+    return together.mapInArrow(run, "block long, at int, ids binary")
 
-    schema = "word string, ids binary" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rest)
-    return table.select("word", *[f.name for f in rest]).mapInArrow(run, schema)
+
+def _id_type(tokenizer: str) -> str:
+    return "<u2" if library(tokenizer).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
 
 def pieces(spark, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -123,19 +171,19 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER, digests: bool = False) -
     decoded text in UTF-8.  A null text counts as empty; ids may be null or
     repeat; other columns are ignored; an empty table gives no rows.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    blocks = written(split_blocks(docs), "blocks")
-    places = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    # a word comes once from a block: its places are as many as there are blocks, at most
-    table = places.groupBy("word").agg(F.collect_list(F.struct("block", "at")).alias("places"))
-    back = encode_words(table, tokenizer).select("ids", F.explode("places").alias("p")).select("p.block", "p.at", "ids")
+    kind, id_type = _kind(docs)
+    places = split_blocks(docs, texts=False).select("block", F.posexplode("words").alias("at", "word"))
+    back = encode_words(places, tokenizer)
     piece = _joined(docs.sparkSession, tokenizer) if digests else None
 
     def gather(texts: pa.Table, own: pa.Table) -> pa.Table:
         raw = own.column("ids").to_pylist()
-        _, order = np.unique(own.column("at").to_numpy(), return_index=True)  # equal blocks share a key and words
-        width = np.array([len(raw[k]) // 4 for k in order], np.int64)
-        flat = np.frombuffer(b"".join([raw[k] for k in order]), "<u4")
+        dtype = np.dtype(_id_type(tokenizer))
+        at, order = np.unique(own.column("at").to_numpy(), return_index=True)  # equal blocks share a key and words
+        if len(at) and at[-1] != len(at) - 1:
+            raise ValueError("a block's words are not those that its texts were split into")
+        width = np.array([len(raw[k]) // dtype.itemsize for k in order], np.int64)
+        flat = np.frombuffer(b"".join([raw[k] for k in order]), dtype).astype("<u4")
         first = np.cumsum(width) - width
         pieces_of = np.array(piece.value, object) if digests else None
         out_id, out_n, out_a, out_b = [], [], [], []
@@ -152,12 +200,12 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER, digests: bool = False) -
                     out_b.append(hashlib.sha256(" ".join(pieces_of[ids].tolist()).encode()).hexdigest())
                 else:
                     out_a.append(ids.astype(np.int32))
-        cols = {"doc_id": pa.array(out_id, texts.schema.field("ids").type.value_type), "n_tokens": pa.array(out_n, pa.int64())}
+        cols = {"doc_id": pa.array(out_id, id_type), "n_tokens": pa.array(out_n, pa.int64())}
         cols |= {"ids_sha256": pa.array(out_a, pa.string()), "decoded_sha256": pa.array(out_b, pa.string())} if digests else {"ids": pa.array(out_a, pa.list_(pa.int32()))}
         return pa.table(cols)
 
     schema = f"doc_id {kind}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>")
-    return blocks.drop("words").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(gather, schema)
+    return split_blocks(docs, texts=True).groupBy("block").cogroup(back.groupBy("block")).applyInArrow(gather, schema)
 
 
 def decode(encoded: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
