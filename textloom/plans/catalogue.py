@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.html import html_main_text
 from ..functions.llm_output import overflowed, repaired_json
 from ..functions.text import elide, natural_key, slug, token_estimate
-from ..operators import chunking, cleaning, graph, review, tables, vectors
+from ..operators import chunking, cleaning, graph, retrieval, review, tables, vectors
 from ..sources.files import downloader, scoped_links
 from ..streaming.review_stream import sessions, tumbling
 
@@ -474,6 +474,24 @@ def span_summary(spark, sf_dir):
     return graph.plan_summary(_plan(spark, sf_dir))
 
 
+@_query("""WITH t AS (SELECT o_custkey AS id, l_partkey AS concept, max(CASE l_linenumber WHEN 1 THEN 1.0 WHEN 2 THEN 0.7 ELSE 0.4 END::DOUBLE) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey < 40 GROUP BY ALL),
+m AS (SELECT q.query_id, c.concept FROM (SELECT unnest([0, 1, 2]) AS query_id) q JOIN (SELECT DISTINCT concept FROM t) c ON c.concept % 3 = q.query_id),
+n AS (SELECT query_id, count(*) AS n_of FROM m GROUP BY query_id)
+SELECT m.query_id, t.id::VARCHAR AS id, max(w) AS tier_weight, round(count(DISTINCT t.concept) / any_value(n_of), 6) AS graph_score FROM t JOIN m USING (concept) JOIN n USING (query_id) GROUP BY 1, 2""")
+def graph_walk(spark, sf_dir):
+    li, o = _t(spark, sf_dir, "lineitem").filter("l_partkey < 40"), _t(spark, sf_dir, "orders")
+    tier = F.when(F.col("l_linenumber") == 1, "verified").when(F.col("l_linenumber") == 2, "proposed").otherwise("inferred")
+    e = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(F.col("o_custkey").cast("string").alias("source_id"), F.concat(F.lit("concept."), "l_partkey").alias("target_id"), F.lit("EXPRESSES").alias("type"), tier.alias("tier"))
+    m = e.select(F.expr("substr(target_id, 9)").alias("concept_id")).distinct().select((F.col("concept_id").cast("int") % 3).alias("query_id"), "concept_id")
+    return retrieval.graph_walk(m, e).withColumn("graph_score", F.round("graph_score", 6))
+
+
+@_query("SELECT p_partkey::VARCHAR AS id, p_name AS label FROM part WHERE (contains(lower(p_name), '1') OR contains(p_partkey::VARCHAR, '1')) AND p_partkey <> 1")
+def picker_filter(spark, sf_dir):
+    n = _t(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("label"))
+    return retrieval.picker(n, "1", "1")
+
+
 # --- model output ---
 
 
