@@ -112,9 +112,9 @@ def repeated_windows(strings: list[bytes], copies: list[bool], length: int = LEN
     start = np.cumsum(size + 1) - size - 1
     raw[start + size] = 1
     t = np.append(raw, np.int32(0))
-    used, t = np.unique(t, return_inverse=True)  # the characters that occur, in order
-    t = t.astype(np.int32)
-    sa = suffix_array(t, len(used))
+    used = np.bincount(t) > 0  # the characters that occur, numbered in order
+    t = (np.cumsum(used) - 1).astype(np.int32)[t]
+    sa = suffix_array(t, int(used.sum()))
     again = np.flatnonzero(permuted_lcp(t, sa)[sa] >= length)
     mark = np.zeros(len(t) + 1, np.int8)
     mark[sa[again]] = 1
