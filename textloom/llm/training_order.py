@@ -17,6 +17,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,12 +90,12 @@ def sequences(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``uid, doc_id, th, n_seqs, seq, n_tokens, ids``: the records of every row.
 
     ``uid`` tells rows apart, ``th`` is a hash of the text, ``ids`` has
-    ``length`` 16-bit little-endian ids: those of the text, END, and more END
-    to fill the last record.  ``n_tokens`` counts a record's ids up to the first END.
+    ``length`` 16-bit ids, packed: those of the text, END, and more END to fill
+    the last record.  ``n_tokens`` counts a record's ids up to the first END.
     """
 
     def run(batches):
-        t = library()
+        t, pack = library(), zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             uid, doc, rows = [], [], []
             for u, i, text in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
@@ -102,12 +103,13 @@ def sequences(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 n = -(-(len(own) + 1) // length)
                 raw = np.full(n * length, END, "<u2")
                 raw[: len(own)] = own
-                raw = raw.tobytes()
+                # a record's lower bytes, then its upper ones, which are mostly small
+                raw = np.ascontiguousarray(raw.view(np.uint8).reshape(n, length, WIDTH).transpose(0, 2, 1))
                 th = xxhash.xxh3_64_intdigest((text or "").encode()) - (1 << 63)
                 for s in range(n):
                     uid.append(u)
                     doc.append(i.as_py())
-                    rows.append((th, n, s, min(length, len(own) - s * length), raw[s * length * WIDTH : (s + 1) * length * WIDTH]))
+                    rows.append((th, n, s, min(length, len(own) - s * length), pack(raw[s])))
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
             cols = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(doc, b.schema.field(1).type), *[pa.array(x, k) for x, k in zip(cols, kinds, strict=True)]], names=["uid", "doc_id", "th", "n_seqs", "seq", "n_tokens", "ids"])
@@ -119,8 +121,8 @@ def sequences(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def training_order(docs: DataFrame, key: str = "textloom", length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
     """All sequences with their global slots, dealt by shard and sorted by slot.
 
-    Returns ``slot, shard, byte_offset, doc_id, seq, n_tokens, ids``: slots
-    0 .. N - 1, each once.  The order depends on the ids, the texts and the key
+    Returns ``slot, shard, byte_offset, doc_id, seq, n_tokens, ids`` (16-bit
+    little-endian): slots 0 .. N - 1, each once.  The order depends on the ids, the texts and the key
     alone.  A null or empty text is one sequence of END; null ids come first;
     equal rows are told apart, whichever comes first; other columns are
     ignored; an empty table gives no rows.
@@ -147,7 +149,15 @@ def training_order(docs: DataFrame, key: str = "textloom", length: int = LENGTH,
 
     numbered = seqs.join(start, "uid").select((F.col("start") + F.col("seq")).alias("number"), "doc_id", "seq", "n_tokens", "ids")
     placed = numbered.mapInArrow(place, f"slot long, shard long, byte_offset long, doc_id {kind}, seq int, n_tokens int, ids binary")
-    return placed.repartition(max(1, min(-(-total // per_shard), 100_000)), "shard").sortWithinPartitions("shard", "slot")
+    dealt = placed.repartition(max(1, min(-(-total // per_shard), 100_000)), "shard").sortWithinPartitions("shard", "slot")
+
+    def unpack(batches):
+        open_ = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            ids = [np.ascontiguousarray(np.frombuffer(open_(x), np.uint8).reshape(WIDTH, -1).T).tobytes() for x in b.column(6).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(ids, pa.binary())], names=b.schema.names)
+
+    return dealt.mapInArrow(unpack, dealt.schema)
 
 
 def write_shards(ordered: DataFrame, path: str) -> None:
