@@ -195,8 +195,8 @@ def _strings(rows: DataFrame, shards: int, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``t1, t2, spans``: by text id, the byte ranges (flat, not merged) that repeated windows cover."""
     occ = written(_occurrences(docs, length), "windows")
-    again = occ.groupBy("fp").agg(F.count("*").alias("c")).filter("c > 1").select("fp")
-    # dealt anew after the join, so that a hot anchor's rows can be split in it
+    # a table of its own, and dealt anew after the join: so that a hot anchor's rows can be split in it
+    again = written(occ.groupBy("fp").agg(F.count("*").alias("c")).filter("c > 1").select("fp"), "recurring")
     cand = written(occ.join(again, "fp", "left_semi").repartition("t1", "t2", "fp", "at").groupBy("t1", "t2", "fp", "h", "at", "n").agg(F.count("*").alias("c"), F.min("d").alias("d")), "again")
     discard(occ)
     reps = cand.groupBy("fp", "h").agg(F.sum("c").alias("c"), F.min(F.struct("t1", "t2", "d", "at", "n")).alias("at"))
