@@ -86,36 +86,27 @@ class Permutation:
         return self._walk(slot, self._back)
 
 
-def sequences(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``uid, doc_id, th, n_seqs, seq, n_tokens, ids``: the records of every row.
+def tokenized(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``uid, doc_id, th, n_seqs, packed``: the ids of every row, and how many records they fill.
 
-    ``uid`` tells rows apart, ``th`` is a hash of the text, ``ids`` has
-    ``length`` 16-bit ids, packed: those of the text, END, and more END to fill
-    the last record.  ``n_tokens`` counts a record's ids up to the first END.
+    ``uid`` tells rows apart, ``th`` is a hash of the text, ``packed`` has the
+    16-bit ids, compressed.
     """
 
     def run(batches):
-        t, pack = library(), zstandard.ZstdCompressor(level=1).compress
+        t, pack = library(), zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            uid, doc, rows = [], [], []
-            for u, i, text in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                own = t.encode_ordinary(text or "")
-                n = -(-(len(own) + 1) // length)
-                raw = np.full(n * length, END, "<u2")
-                raw[: len(own)] = own
-                # a record's lower bytes, then its upper ones, which are mostly small
-                raw = np.ascontiguousarray(raw.view(np.uint8).reshape(n, length, WIDTH).transpose(0, 2, 1))
+            rows = []
+            for text in b.column(2).to_pylist():
+                own = np.array(t.encode_ordinary(text or ""), "<u2")
                 th = xxhash.xxh3_64_intdigest((text or "").encode()) - (1 << 63)
-                for s in range(n):
-                    uid.append(u)
-                    doc.append(i.as_py())
-                    rows.append((th, n, s, min(length, len(own) - s * length), pack(raw[s])))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-            cols = zip(*rows, strict=True) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(doc, b.schema.field(1).type), *[pa.array(x, k) for x, k in zip(cols, kinds, strict=True)]], names=["uid", "doc_id", "th", "n_seqs", "seq", "n_tokens", "ids"])
+                rows.append((th, -(-(len(own) + 1) // length), pack(own.tobytes())))
+            kinds = [pa.int64(), pa.int32(), pa.binary()]
+            cols = zip(*rows, strict=True) if rows else [()] * 3
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(x, k) for x, k in zip(cols, kinds, strict=True)]], names=["uid", "doc_id", "th", "n_seqs", "packed"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(run, f"uid long, doc_id {kind}, th long, n_seqs int, seq int, n_tokens int, ids binary")
+    return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(run, f"uid long, doc_id {kind}, th long, n_seqs int, packed binary")
 
 
 def training_order(docs: DataFrame, key: str = "textloom", length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
@@ -128,9 +119,9 @@ def training_order(docs: DataFrame, key: str = "textloom", length: int = LENGTH,
     ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    seqs = written(sequences(docs, length), "sequences")
+    seqs = written(tokenized(docs, length), "sequences")
     # numbers: ranges of documents, a running count in each, and the ranges' own running count
-    first = seqs.filter("seq = 0").select("uid", "doc_id", "th", "n_seqs")
+    first = seqs.select("uid", "doc_id", "th", "n_seqs")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = written(first.repartitionByRange(parts, "doc_id", "th", "uid").withColumn("part", F.spark_partition_id()), "ranges")
     count = ranges.groupBy("part").agg(F.sum("n_seqs").alias("n"))
@@ -142,19 +133,30 @@ def training_order(docs: DataFrame, key: str = "textloom", length: int = LENGTH,
 
     def place(batches):
         p = Permutation(max(1, total), key)
+        open_, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            slot = p.slot(b.column(0).to_numpy())
-            cols = [pa.array(slot), pa.array(slot // per_shard), pa.array(slot % per_shard * stride), *b.columns[1:]]
-            yield pa.RecordBatch.from_arrays(cols, names=["slot", "shard", "byte_offset", *b.schema.names[1:]])
-
-    numbered = seqs.join(start, "uid").select((F.col("start") + F.col("seq")).alias("number"), "doc_id", "seq", "n_tokens", "ids")
+            n = b.column(2).to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            seq = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            slot = p.slot(b.column(0).to_numpy()[row] + seq)
+            size, ids = [], []
+            for k, raw in zip(n.tolist(), b.column(3).to_pylist(), strict=True):
+                own = np.frombuffer(open_(raw), "<u2")
+                full = np.full(k * length, END, "<u2")
+                full[: len(own)] = own
+                size += [min(length, len(own) - s * length) for s in range(k)]
+                ids += [pack(x.tobytes()) for x in full.reshape(k, length)]
+            cols = [pa.array(slot), pa.array(slot // per_shard), pa.array(slot % per_shard * stride), b.column(1).take(pa.array(row)), pa.array(seq, pa.int32()), pa.array(size, pa.int32()), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens", "ids"])
+
+    numbered = seqs.join(start, "uid").select("start", "doc_id", "n_seqs", "packed")
     placed = numbered.mapInArrow(place, f"slot long, shard long, byte_offset long, doc_id {kind}, seq int, n_tokens int, ids binary")
     dealt = placed.repartition(max(1, min(-(-total // per_shard), 100_000)), "shard").sortWithinPartitions("shard", "slot")
 
     def unpack(batches):
         open_ = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            ids = [np.ascontiguousarray(np.frombuffer(open_(x), np.uint8).reshape(WIDTH, -1).T).tobytes() for x in b.column(6).to_pylist()]
+            ids = [open_(x) for x in b.column(6).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(ids, pa.binary())], names=b.schema.names)
 
     return dealt.mapInArrow(unpack, dealt.schema)
