@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, decontamination, language, simhash, suffix_dedup
+from textloom.llm import bpe, decontamination, language, shingle_dedup, suffix_dedup
 from textloom.llm.common import discard, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -34,11 +34,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: the one with the smallest id.
+    """One document of each component of five-word Jaccard 0.8 or more stays: the one with the smallest id.
 
     Of equal rows one stays; rows without an id stay.
     """
-    groups = simhash.near_duplicates(docs)
+    groups = shingle_dedup.near_duplicates(docs)
     keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id IS NULL")).select(*COLUMNS)
@@ -65,7 +65,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", identify_language),
-    ("SimHash near-dedup", drop_near_duplicates),
+    ("word-shingle near-dedup", drop_near_duplicates),
     ("suffix-array dedup", remove_repeated_passages),
     ("benchmark decontamination", decontaminate),
     ("BPE encoding and decoding", tokenize),

@@ -1,0 +1,53 @@
+"""Pipeline stage 2 against brute-force Jaccard over five-word shingles."""
+
+import random
+
+import corpus_pipeline as cp
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def brute(rows, least=0.8):
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(i, shingles(t))
+    group = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+    return sorted(i for i in group if group[i] == i), links
+
+
+def texts():
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    rows = []
+    for i in range(60):
+        base = [rng.choice(words) for _ in range(rng.choice([4, 30, 120, 600]))]
+        rows.append((i, " ".join(base)))
+        for j in range(4):  # copies with some words changed: similarity from about 0.5 to 1
+            own = list(base)
+            for _ in range(max(1, len(own) * j // 100)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            rows.append((100 + 10 * i + j, " ".join(own)))
+    return rows + [(900, None), (901, ""), (902, " \t"), (903, "One TWO three"), (904, "one two  three")]
+
+
+def test_stage_is_brute_force_jaccard(spark, sf_dir):
+    rows = texts()
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows] + [(None, rows[0][1], "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars int")
+    want, links = brute(rows)
+    assert len(links) > 100
+    got = [r.doc_id for r in cp.drop_near_duplicates(spark, docs, sf_dir).collect()]
+    assert sorted(i for i in got if i is not None) == want and got.count(None) == 1
+
+
+def test_stage_on_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want, _ = brute([(r.doc_id, r.text) for r in docs.collect()])
+    assert sorted(r.doc_id for r in cp.drop_near_duplicates(spark, docs, sf_dir).collect()) == want
+    assert cp.drop_near_duplicates(spark, docs.limit(0), sf_dir).count() == 0

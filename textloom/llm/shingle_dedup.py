@@ -1,0 +1,149 @@
+"""Near-duplicates by word shingles: MinHash candidates, confirmed by exact Jaccard.
+
+A text is its set of distinct five-word shingles.  BANDS keys of ROWS minima
+each put two texts of similarity s into a common bucket with probability
+1 - (1 - s ** ROWS) ** BANDS: 0.99997 at 0.8, more above.  Every pair of a
+bucket counts as a candidate, and only pairs whose sets agree by THRESHOLD or
+more become links.
+
+Pairs that cannot change a component are not made: a bucket's texts are first
+compared with its smallest one, and then only texts that are still in different
+components with each other.  Of these, pairs are confirmed whose signatures (a
+byte of each minimum) agree in AGREE places; at similarity 0.8, 64 are expected
+with a deviation of 3.6.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import discard, written
+from .components import connected_components
+
+WIDTH = 5
+THRESHOLD = 0.8
+BANDS, ROWS = 20, 4
+AGREE = 48
+SEED = 42
+_RNG = np.random.default_rng(SEED)
+_ODD = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIP = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
+
+
+def shingle_hashes(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """Sorted hashes of the distinct shingles; words as in SimHash (A-Z lowered, ASCII
+    white space).  Fewer words than ``width`` are one shingle, and so are none."""
+    words = text.lower().split()
+    h, joined = xxhash.xxh64_intdigest, b" ".join(words)
+    if len(words) < width:
+        return np.array([h(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width + 1]
+    return np.unique(np.array([h(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """The BANDS bucket keys of a set, as signed 64-bit integers, and its signature."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(hashes), 1024):
+        x = (hashes[a : a + 1024] ^ _FLIP) * _ODD
+        low = np.minimum(low, (x ^ x >> np.uint64(31)).min(1))
+    h = xxhash.xxh64_intdigest
+    keys = np.array([h(r.tobytes(), k) for k, r in enumerate(low.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+    return keys, (low * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, tx, text``: null texts count as empty, and ``tx`` is a hash of the text."""
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tx", F.xxhash64("text"))
+
+
+def _prints(keyed: DataFrame) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            sets = [shingle_hashes(x) for x in b.column(1).cast(pa.binary()).to_pylist()]
+            keys = [band_keys(s) for s in sets]
+            cols = [b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([k for k, _ in keys], pa.list_(pa.int64())), pa.array([g for _, g in keys], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["tx", "n", "bands", "sig"])
+
+    return keyed.select("tx", "text").mapInArrow(run, "tx long, n int, bands array<long>, sig binary")
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            sets = [shingle_hashes(x).tobytes() for x in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["tx", "hashes"])
+
+    return texts.select("tx", "text").mapInArrow(run, "tx long, hashes binary")
+
+
+def _agreeing(pairs: DataFrame) -> DataFrame:
+    """Of ``u, v, u_sig, v_sig`` the pairs whose signatures agree in AGREE places."""
+
+    def run(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array((x == y).sum(1) >= AGREE))
+
+    return pairs.mapInArrow(run, "u long, v long")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (u, v) of different texts whose shingle sets have the Jaccard similarity."""
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= threshold * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = written(pairs, "pairs")
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("tx")).distinct()
+    sets = written(_sets(texts.join(asked, "tx", "left_semi").dropDuplicates(["tx"])), "sets")
+    of = lambda c: sets.select(F.col("tx").alias(c), F.col("hashes").alias(f"{c}_hashes"))
+    whole = pairs.join(of("v"), "v").join(of("u"), "u").select("u", "v", "u_hashes", "v_hashes")
+    out = written(whole.mapInArrow(run, "u long, v long"), "confirmed")
+    discard(pairs)
+    discard(sets)
+    return out
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Components of documents linked by a Jaccard similarity of at least ``threshold``.
+
+    Returns one row per input row: ``doc_id``, ``component_id`` (the smallest
+    doc_id reachable, its own included).  Null and empty texts are equal; null
+    ids take part, but a component's id is null only if all its ids are; other
+    columns are ignored; an empty table gives none.
+    """
+    keyed = _keyed(docs)
+    each = written(_prints(keyed.dropDuplicates(["tx"])), "prints")
+    rows = each.select("tx", "n", "sig", F.explode("bands").alias("key"))
+    lead = rows.groupBy("key").agg(F.min(F.struct("tx", "n")).alias("l"), F.count("*").alias("c")).filter("c > 1")
+    rows = written(rows.join(lead, "key").select("key", "tx", "n", "sig", F.col("l.tx").alias("lead"), F.col("l.n").alias("lead_n")), "buckets")
+    like = lambda a, b: F.least(a, b) >= threshold * F.greatest(a, b)
+    star = rows.filter(F.col("tx") != F.col("lead")).filter(like("n", "lead_n")).select(F.col("lead").alias("u"), F.col("tx").alias("v")).distinct()
+    links = _confirmed(star, keyed, threshold)
+
+    roots = connected_components(links).select(F.col("node").alias("tx"), "root")
+    rows = rows.join(roots, "tx", "left").select("key", "tx", "n", "sig", "lead", F.coalesce("root", "tx").alias("root"))
+    mixed = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
+    rest = written(rows.join(mixed, "key", "left_semi"), "mixed").filter(F.col("tx") != F.col("lead"))
+    b = rest.select("key", F.col("tx").alias("v"), F.col("n").alias("v_n"), F.col("sig").alias("v_sig"), F.col("root").alias("v_root"))
+    more = rest.join(b, "key").filter("tx < v AND root <> v_root").filter(like("n", "v_n"))
+    more = _agreeing(more.select(F.col("tx").alias("u"), "v", F.col("sig").alias("u_sig"), "v_sig")).distinct()
+    links = written(links.unionByName(_confirmed(more, keyed, threshold)), "links")
+
+    roots = connected_components(links).select(F.col("node").alias("tx"), "root")
+    rooted = keyed.select("doc_id", "tx").join(roots, "tx", "left").select("doc_id", F.coalesce("root", "tx").alias("root"))
+    rooted = written(rooted, "rooted")
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rooted.join(least, "root").select("doc_id", "component_id")
