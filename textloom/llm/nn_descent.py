@@ -23,8 +23,11 @@ from .common import discard, written
 K = 24
 REVERSE = 20
 BLOCK = 256
-ROUNDS = 5
+#: Rounds go on until one changes less than this share of the edges.
+SETTLED = 0.02
+#: A walk's list on tables of up to POOL_ROWS nodes; it grows with the square root of the rest.
 POOL = 192
+POOL_ROWS = 10_000
 ENTRIES = 32
 SEED = 7
 
@@ -165,12 +168,12 @@ def build_graph(nodes: DataFrame) -> DataFrame:
     bits = max(0, int(np.ceil(np.log2(max(1, n / BLOCK)))))
     first = _block_edges(coded, 0, SEED).unionByName(_block_edges(coded, bits, SEED + 1)).unionByName(_block_edges(coded, bits, SEED + 2))
     graph = written(_best(first, K), "graph")
-    for _ in range(ROUNDS if n > BLOCK else 0):
+    while n > BLOCK:
         nxt = written(_best(graph.unionByName(_join_round(graph, coded, parts)), K), "graph")
         kept = nxt.join(graph.select("node", "nb"), ["node", "nb"], "left_semi").count()
         discard(graph)
         graph = nxt
-        if n * K - kept < 0.02 * n * K:
+        if n * K - kept < SETTLED * n * K:
             break
     discard(coded)
     return graph
@@ -182,11 +185,17 @@ def _measured(rows: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFram
     return rows.join(nodes, "node").join(queries, "q").select("q", "node", d.alias("d"))
 
 
+def pool_size(n: int) -> int:
+    """The length of a walk's list on a graph of ``n`` nodes."""
+    return int(np.ceil(POOL * max(1.0, n / POOL_ROWS) ** 0.5))
+
+
 def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, starts: DataFrame) -> DataFrame:
-    """``q, node, d``: the POOL nearest nodes that each query's walk finds from its ``starts`` (q, node)."""
+    """``q, node, d``: the ``pool_size`` nearest nodes that each query's walk finds from its ``starts`` (q, node)."""
     links = written(_links(graph), "links")
+    size = pool_size(nodes.count())
     w = Window.partitionBy("q").orderBy("d", "node")
-    top = lambda p: p.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= POOL).drop("r")
+    top = lambda p: p.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= size).drop("r")
     pool = written(top(_measured(starts.distinct(), nodes, queries).withColumn("seen", F.lit(False))), "pool")
     while not pool.filter("NOT seen").isEmpty():
         new = pool.filter("NOT seen").select("q", "node").join(links, "node").select("q", F.col("nb").alias("node")).distinct()
