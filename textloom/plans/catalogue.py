@@ -431,9 +431,11 @@ def derived_parallels(spark, sf_dir):
 SELECT query, concept FROM q, c WHERE contains(lower(query), replace(lower(concept), '_', ' ')) OR len(list_filter(string_split(lower(concept), '_'), lambda w: length(w) >= 3 AND contains(lower(query), w))) > 0""")
 def concept_match(spark, sf_dir):
     p = _t(spark, sf_dir, "part")
-    c = p.select(F.col("p_type").alias("concept")).distinct().limit(5000)
+    c = p.select(F.col("p_type").alias("concept")).distinct()
     q = p.select(F.col("p_name").alias("query")).distinct()
-    return q.join(F.broadcast(c), graph.concept_matches(F.col("query"), F.col("concept"))).select("query", "concept")
+    if c.limit(5001).count() <= 5000:
+        c = F.broadcast(c)
+    return q.join(c, graph.concept_matches(F.col("query"), F.col("concept"))).select("query", "concept")
 
 
 @_query("""WITH d AS (SELECT source, count(*) AS n, count(DISTINCT lang) AS langs, min(doc_id) AS first_doc FROM documents GROUP BY source)
