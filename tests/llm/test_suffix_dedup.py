@@ -88,3 +88,32 @@ def test_repeats_on_the_test_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in df.collect()]
     assert sorted(map(tuple, suffix_dedup.remove_repeats(df).collect()), key=str) == brute(rows, 200)
+
+
+def test_runs_of_one_character_and_long_texts(spark):
+    rng = random.Random(3)
+    rows = [(1, "x" * 30_000), (2, "ab" * 20_000), (3, "".join(rng.choice("abcdef ") for _ in range(40_000))), (4, "y" * 199), (5, "z" * 200)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 200)
+
+
+def test_one_passage_in_many_contexts_stays_spread(spark, monkeypatch):
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = text(600)
+    rows = [(i, text(90) + passage + text(90)) for i in range(3000)]
+    seen = []
+    real = suffix_dedup._sorted_shards
+
+    def watched(strings, shards, length):
+        sizes = strings.groupBy((strings.key % shards).alias("s")).agg({"bytes": "count"}).collect()
+        total = strings.selectExpr("sum(octet_length(bytes))").first()[0]
+        seen.append((shards, total, max(r[1] for r in sizes) * 210))
+        return real(strings, shards, length)
+
+    monkeypatch.setattr(suffix_dedup, "SHARD", 1 << 16)
+    monkeypatch.setattr(suffix_dedup, "_sorted_shards", watched)
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].n_removed >= 600 and got[i].n_spans == 1 for i, _ in rows)
+    (shards, total, largest), = seen
+    assert shards >= total / (1 << 16) and largest <= 2 * (1 << 16) + 210 * 600

@@ -6,9 +6,13 @@ anchor are consecutive and make one string.  Strings whose anchor hash occurs
 once in the corpus hold no repeated window.  The rest are reduced to distinct
 strings with their number of occurrences and dealt to shards by anchor; each
 shard's suffix array (induced sorting) and permuted common prefixes tell which
-windows occur again.  Anchors with very many different strings are dealt finer:
-by the window's offset to the anchor and the bytes that all windows of a block
-of offsets share, which equal windows share too.
+windows occur again.  That a string as a whole occurs again is told by two
+64-bit hashes, of its anchor and of its bytes.
+
+Anchors with very many different strings are dealt finer: by the window's
+offset to the anchor and the bytes that all windows of a block of offsets
+share, which equal windows share too.  Equal pieces are then one piece, and a
+block that still has very many different ones is dealt by single windows.
 """
 
 from __future__ import annotations
@@ -159,37 +163,67 @@ def _occurrences(docs: DataFrame, length: int) -> DataFrame:
     return docs.select(F.xxhash64("doc_id").alias("d"), "text").filter(F.octet_length("text") >= length).mapInArrow(run, "d long, t1 long, t2 long, fp long, h long, at int, n int")
 
 
-def _strings(rows: DataFrame, shards: int, length: int) -> DataFrame:
-    """The bytes of the chosen strings, each with its shard; of hot anchors, in blocks of offsets."""
+PIECES = "key long, p1 long, p2 long, fp long, h long, skip int, hot boolean, many boolean, size int, bytes binary"
+
+
+def _pieces(rows: DataFrame, length: int) -> DataFrame:
+    """The bytes of the chosen strings; of hot anchors, in blocks of offsets.
+
+    ``key`` is equal for pieces that may share a window; ``p1, p2`` name the
+    piece: of whole strings fp and h, of blocks two hashes of the bytes.
+    """
+    names = [x.rpartition(" ")[0] for x in PIECES.split(", ")]
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}[x.rpartition(" ")[2]] for x in PIECES.split(", ")]
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
-        names = ["shard", "fp", "h", "skip", "many", "bytes"]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
         for b in batches:
-            out = []
+            out, held = [], 0
             for packed, strings in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 text = unpack(packed)
                 for s in strings:
                     piece = text[s["at"] : s["at"] + s["n"] + length - 1]
-                    if not s["hot"]:
-                        out.append((s["fp"] % shards, s["fp"], s["h"], 0, s["many"], piece))
-                        continue
-                    p = int(anchored(np.frombuffer(piece[:length], np.uint8), length)[0][0])
-                    for r in range(-(-(p + 1) // OFFSETS) * OFFSETS - OFFSETS, -1, -OFFSETS):
-                        # windows whose anchor lies r .. r + OFFSETS - 1 bytes after their start
-                        a, z = max(0, p - r - OFFSETS + 1), min(s["n"], p - r + 1)
-                        if a < z:
-                            core = piece[p - r : p - r - OFFSETS + 1 + length]
-                            key = xxhash.xxh3_64_intdigest(core, seed=r) ^ (s["fp"] & (1 << 64) - 1)
-                            out.append((key % shards, s["fp"], s["h"], a, s["many"], piece[a : z + length - 1]))
-                if len(out) > 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-                    out = []
+                    for row in blocks(s, piece) if s["hot"] else [(s["fp"], s["fp"], s["h"], s["fp"], s["h"], 0, False, s["many"], len(piece), piece)]:
+                        out.append(row)
+                        held += len(row[-1])
+                    if held > BUFFER:
+                        yield batch(out)
+                        out, held = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                yield batch(out)
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return rows.select("packed", "strings").mapInArrow(run, "shard int, fp long, h long, skip int, many boolean, bytes binary")
+    def blocks(s, piece):
+        p = int(anchored(np.frombuffer(piece[:length], np.uint8), length)[0][0])
+        for r in range(-(-(p + 1) // OFFSETS) * OFFSETS - OFFSETS, -1, -OFFSETS):
+            # windows whose anchor lies r .. r + OFFSETS - 1 bytes after their start
+            a, z = max(0, p - r - OFFSETS + 1), min(s["n"], p - r + 1)
+            if a < z:
+                own, core = piece[a : z + length - 1], piece[p - r : p - r - OFFSETS + 1 + length]
+                key = np.uint64(xxhash.xxh3_64_intdigest(core, seed=r)).view(np.int64) ^ np.int64(s["fp"])
+                yield (int(key), *_text_id(own), s["fp"], s["h"], a, True, s["many"], len(own), own)
+
+    return rows.select("packed", "strings").mapInArrow(run, PIECES)
+
+
+def _sorted_shards(strings: DataFrame, shards: int, length: int) -> DataFrame:
+    """``kind, p1, p2, found``: of the strings (kind, key, p1, p2, many, bytes) the runs of windows that occur again."""
+
+    def sort(t: pa.Table) -> pa.Table:
+        keys = list(zip(*(t.column(c).to_pylist() for c in ("kind", "p1", "p2")), strict=True))
+        first = {k: i for i, k in reversed(list(enumerate(keys)))}  # equal rows of the input give a string twice
+        pick = sorted(first.values(), key=lambda i: keys[i])
+        data, many = t.column("bytes").to_pylist(), t.column("many").to_pylist()
+        runs = repeated_windows([data[i] for i in pick], [many[i] for i in pick], length)
+        rows = [(*keys[i], [x for ab in r for x in ab]) for i, r in zip(pick, runs, strict=True) if r]
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+        return pa.table([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["kind", "p1", "p2", "found"])
+
+    dealt = strings.select(F.pmod("key", F.lit(shards)).alias("shard"), "kind", "p1", "p2", "many", "bytes")
+    return dealt.groupBy("shard").applyInArrow(sort, "kind int, p1 long, p2 long, found array<int>")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -199,28 +233,42 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     again = written(occ.groupBy("fp").agg(F.count("*").alias("c")).filter("c > 1").select("fp"), "recurring")
     cand = written(occ.join(again, "fp", "left_semi").repartition("t1", "t2", "fp", "at").groupBy("t1", "t2", "fp", "h", "at", "n").agg(F.count("*").alias("c"), F.min("d").alias("d")), "again")
     discard(occ)
+    discard(again)
     reps = cand.groupBy("fp", "h").agg(F.sum("c").alias("c"), F.min(F.struct("t1", "t2", "d", "at", "n")).alias("at"))
     reps = written(reps.select("fp", "h", "c", "at.*"), "strings")
     by_fp = reps.groupBy("fp").agg(F.count("*").alias("kinds"))
-    total = reps.agg(F.sum(F.col("n") + length - 1)).first()[0] or 0
-    shards = max(1, -(-int(total) // SHARD))
     chosen = reps.join(by_fp, "fp").select("t1", "t2", "d", F.struct("fp", "h", "at", "n", (F.col("c") > 1).alias("many"), (F.col("kinds") > HOT).alias("hot")).alias("s"))
     chosen = chosen.groupBy("t1", "t2", "d").agg(F.collect_list("s").alias("strings"))
-    strings = _strings(_keyed(docs.select("doc_id", "text")).join(chosen, ["t1", "t2", "d"]), shards, length)
-
-    def sort(t: pa.Table) -> pa.Table:
-        keys = list(zip(*(t.column(c).to_pylist() for c in ("fp", "h", "skip")), strict=True))
-        first = {k: i for i, k in reversed(list(enumerate(keys)))}  # equal rows of the input give a string twice
-        pick = sorted(first.values(), key=lambda i: keys[i])
-        data, many = t.column("bytes").to_pylist(), t.column("many").to_pylist()
-        runs = repeated_windows([data[i] for i in pick], [many[i] for i in pick], length)
-        rows = [(*keys[i][:2], [keys[i][2] + x for ab in r for x in ab]) for i, r in zip(pick, runs, strict=True) if r]
-        fp, h, found = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.table([pa.array(fp, pa.int64()), pa.array(h, pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["fp", "h", "found"])
-
-    found = written(strings.groupBy("shard").applyInArrow(sort, "fp long, h long, found array<int>"), "found")
-    # at most one row a string and block of offsets; on the other side, its occurrences
-    spans = cand.join(found, ["fp", "h"]).select("t1", "t2", F.transform("found", lambda x: x + F.col("at")).alias("found"))
+    pieces = written(_pieces(_keyed(docs.select("doc_id", "text")).join(chosen, ["t1", "t2", "d"]), length), "pieces")
+    discard(reps)
+
+    whole, owners = pieces.filter("NOT hot"), pieces.filter("hot")
+    strings, size = whole.select(F.lit(0).alias("kind"), "key", "p1", "p2", "many", "bytes"), whole.agg(F.sum("size")).first()[0] or 0
+    rows = lambda x: F.transform("found", lambda y: y + F.col(x)).alias("found")
+    blocks = None
+    if not owners.isEmpty():
+        one = owners.groupBy("key", "p1", "p2").agg((F.max("many") | (F.count("*") > 1)).alias("many"), F.min("bytes").alias("bytes"))
+        blocks = written(one, "blocks")
+        crowded = written(blocks.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key"), "crowded")
+        single = blocks.join(crowded, "key", "left_semi").select("p1", "p2", "many", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - length)).alias("off"), "bytes")
+        single = single.select("p1", "p2", "many", "off", F.expr(f"substring(bytes, off + 1, {length})").alias("w"))
+        single = single.select(F.col("p1").alias("o1"), F.col("p2").alias("o2"), "off", F.xxhash64("w").alias("p1"), F.xxhash64("w", F.lit(1)).alias("p2"), "many", "w")
+        windows = single.groupBy("p1", "p2").agg((F.max("many") | (F.count("*") > 1)).alias("many"), F.min("w").alias("bytes"))
+        finer = blocks.join(crowded, "key", "left_anti").select(F.lit(1).alias("kind"), "key", "p1", "p2", "many", "bytes")
+        finer = written(finer.unionByName(windows.select(F.lit(2).alias("kind"), F.col("p1").alias("key"), "p1", "p2", "many", "bytes")), "finer")
+        size += finer.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+        strings = strings.unionByName(finer)
+    found = written(_sorted_shards(strings, max(1, -(-int(size) // SHARD)), length), "found")
+    own = found.filter("kind = 0").select(F.col("p1").alias("fp"), F.col("p2").alias("h"), "found")
+    if blocks is not None:
+        at_window = found.filter("kind = 2").select("p1", "p2", "found").join(single.select("o1", "o2", "off", "p1", "p2"), ["p1", "p2"])
+        of_block = found.filter("kind = 1").select("p1", "p2", "found").unionByName(at_window.select(F.col("o1").alias("p1"), F.col("o2").alias("p2"), rows("off")))
+        own = written(own.unionByName(of_block.join(owners.select("fp", "h", "skip", "p1", "p2"), ["p1", "p2"]).select("fp", "h", rows("skip"))), "own")
+        for t in (blocks, crowded, finer, found):
+            discard(t)
+    discard(pieces)
+    # a row a string, or a row a block or window of a hot one; on the other side, its occurrences
+    spans = cand.join(own, ["fp", "h"]).select("t1", "t2", rows("at"))
     return spans.groupBy("t1", "t2").agg(F.flatten(F.collect_list("found")).alias("spans"))
 
 
