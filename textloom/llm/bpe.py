@@ -19,10 +19,14 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-#: A block ends at this many distinct words or characters of text.
-BLOCK_WORDS = 1_000_000
+#: A block ends at this many distinct words or characters of text: about 100 MB of a worker's memory.
+BLOCK_WORDS = 500_000
 BLOCK_CHARS = 48 << 20
+#: Units whose words' places are remembered at a time, and texts that are Python strings at a time.
+UNITS_KEPT = 100_000
+SLICE = 256
 TOKENIZER = "word_bpe_49k.json"
 
 _library: dict[str, object] = {}
@@ -68,6 +72,8 @@ class _Places(dict):
 
     def __missing__(self, unit: str) -> tuple[int, ...]:
         index = self.index
+        if len(self) >= UNITS_KEPT:
+            self.clear()
         at = self[unit] = tuple([index.setdefault(w, len(index)) for w in _words(unit)])
         return at
 
@@ -82,8 +88,16 @@ def _unpack(b: bytes) -> np.ndarray:
 
 
 def _kind(docs: DataFrame) -> tuple[str, pa.DataType]:
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return kind, {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    kind = docs.schema["doc_id"].dataType
+    return kind.simpleString(), to_arrow_type(kind)
+
+
+def _slices(batches):
+    """Pairs (doc_id, text) of Arrow batches; only SLICE texts at a time become strings."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            part = b.slice(at, SLICE)
+            yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
 
 
 def split_blocks(docs: DataFrame, texts: bool) -> DataFrame:
@@ -96,21 +110,20 @@ def split_blocks(docs: DataFrame, texts: bool) -> DataFrame:
 
     def run(batches):
         places, ids, lengths, flat, size = _Places(), [], [], [], 0
-        for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = list(chain.from_iterable(map(places.__getitem__, _units(text or ""))))
-                flat.append(np.array(own, np.uint32))
-                ids.append(i)
-                lengths.append(len(own))
-                size += len(text or "")
-                if size > BLOCK_CHARS or len(places.index) > BLOCK_WORDS:
-                    yield block(ids, lengths, flat, places.index)
-                    places, ids, lengths, flat, size = _Places(), [], [], [], 0
+        for i, text in _slices(batches):
+            own = list(chain.from_iterable(map(places.__getitem__, _units(text or ""))))
+            flat.append(np.array(own, np.uint32).tobytes())
+            ids.append(i)
+            lengths.append(len(own))
+            size += len(text or "")
+            if size > BLOCK_CHARS or len(places.index) > BLOCK_WORDS:
+                yield block(ids, lengths, flat, places.index)
+                places, ids, lengths, flat, size = _Places(), [], [], [], 0
         if ids:
             yield block(ids, lengths, flat, places.index)
 
     def block(ids, lengths, flat, index):
-        flat = np.concatenate(flat)
+        flat = np.frombuffer(b"".join(flat), np.uint32)
         h = hashlib.blake2b(flat, digest_size=8)
         h.update("\0".join(index).encode())
         key = pa.array([int.from_bytes(h.digest(), "little", signed=True)], pa.int64())
@@ -169,7 +182,12 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER, digests: bool = False) -
     (array<int>), or with ``digests`` ``ids_sha256`` and ``decoded_sha256``
     instead, of the ids as unsigned 32-bit little-endian integers and of the
     decoded text in UTF-8.  A null text counts as empty; ids may be null or
-    repeat; other columns are ignored; an empty table gives no rows.
+    repeat, and have any type; other columns are ignored; an empty table gives
+    no rows; a text is in one block, so a very long one takes memory in proportion.
+
+    ``docs`` is read twice, for the words and for their positions.  Blocks are
+    named by their content: where the two readings differ (rows that come in
+    another order), the run fails, and no wrong ids come out.
     """
     kind, id_type = _kind(docs)
     places = split_blocks(docs, texts=False).select("block", F.posexplode("words").alias("at", "word"))
@@ -188,7 +206,7 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER, digests: bool = False) -
         pieces_of = np.array(piece.value, object) if digests else None
         out_id, out_n, out_a, out_b = [], [], [], []
         for r in texts.to_pylist():
-            at, lengths = _unpack(r["positions"]).astype(np.int64), np.array(r["lengths"], np.int64)
+            at, lengths = _unpack(r["positions"]), np.array(r["lengths"], np.int64)
             for i, a, n in zip(r["ids"], np.cumsum(lengths) - lengths, lengths, strict=True):
                 p = at[a : a + n]
                 w = width[p]

@@ -23,6 +23,7 @@ SAMPLE = 400
 WINDOW = 120
 STEP = 64  # words in a segment of the chain
 WORDS_KEPT = 150_000
+SLICE = 1024  # texts that are Python strings at a time
 UNDETERMINED = "und"
 
 
@@ -253,14 +254,16 @@ def identify(docs: DataFrame, crf: Crf, keep: list[str] | None = None) -> DataFr
     """
     shared = docs.sparkSession.sparkContext.broadcast(crf)  # 2 ** BITS weights a language
     keep = keep or ["doc_id"]
-    source = docs.select(*keep, F.col("text").alias("__text"))
+    text = keep.index("text") if "text" in keep else len(keep)  # sent once
 
     def run(batches):
         label = Labeller(shared.value)
         for b in batches:
-            got = label(b.column(len(keep)).to_pylist())
+            got = []
+            for at in range(0, b.num_rows, SLICE):
+                got += label(b.column(text).slice(at, SLICE).to_pylist())
             cols = [*b.columns[: len(keep)], pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "lang_pred", "score"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return source.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.select(*keep, *["text"] * (text == len(keep))).mapInArrow(run, f"{schema}, lang_pred string, score double")
