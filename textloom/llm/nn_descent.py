@@ -4,8 +4,11 @@ The graph has a node for every distinct vector and K neighbours a node.  It
 starts from exact neighbours within random blocks and within blocks of like
 random-projection signs.  A round joins every node's neighbours, and those it
 is a neighbour of, at the node; the neighbours of neighbours that are nearer
-than a node's current list improve it.  Messages carry vectors rounded to a
-byte a component; results are ranked by the original vectors.
+than a node's current list improve it.  Messages carry centred vectors with a
+scale each and components of 16 bits, so that no row's size costs another row's
+precision (11 bits of its own largest one: groups that lie over a thousand times
+their width apart are told apart, but their members less well); results are
+ranked by the original vectors.
 
 A query walks the graph: it keeps the nearest nodes found, expands those not
 yet expanded, and stops when its list no longer changes.
@@ -33,17 +36,19 @@ SEED = 7
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """Rows that take part: vectors not null or zero, all components finite, of the commonest length."""
-    v = rows.filter("vec_id IS NOT NULL").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "embedding")
+    """Rows that take part: vectors not null or zero, all components finite; shorter ones are filled up with zeros."""
+    v = rows.filter("vec_id IS NOT NULL").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = v.filter(F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False)))
-    sizes = v.groupBy(F.size("v").alias("s")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "s").first()
-    return v.filter(F.size("v") == (sizes["s"] if sizes else 0))
+    longest = v.agg(F.max(F.size("v"))).first()[0] or 0
+    return v.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(longest) - F.size("v"))))
 
 
 def _matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The vectors of codes: a 32-bit scale, then 16 bits a component."""
     raw = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    return np.frombuffer(b"".join(raw.to_pylist()), np.int8).reshape(len(raw), -1).astype(np.float32)
+    raw = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(len(raw), -1)
+    return raw[:, 4:].copy().view("<f2").astype(np.float32) * raw[:, :4].copy().view("<f4")
 
 
 def _nearest(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,13 +68,19 @@ def _edges(a, b, d) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64)), pa.array(np.asarray(d, np.float32))], names=["node", "nb", "d"])
 
 
-def _quantised(nodes: DataFrame) -> DataFrame:
-    """``node, q``: the components as signed bytes of the largest one of all."""
-    top = nodes.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 1.0
+def _coded(nodes: DataFrame) -> DataFrame:
+    """``node, q``: the components' differences from their means, coded (see ``_matrix``)."""
+    means = nodes.select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.avg("x").alias("m")).orderBy("at").collect()  # a row a component
+    mean = np.array([r["m"] for r in means])
+    mean[~np.isfinite(mean)] = 0.0
 
     def run(batches):
         for b in batches:
-            q = [np.rint(np.array(x) * (127 / top)).astype(np.int8).tobytes() for x in b.column(1).to_pylist()]
+            q = []
+            for x in b.column(1).to_pylist():
+                x = np.array(x) - mean
+                top = np.float32(max(min(np.abs(x).max(), 1e18), 1e-18))  # squared distances stay within 32 bits
+                q.append(top.tobytes() + np.clip(x / top, -1, 1).astype("<f2").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(q, pa.binary())], names=["node", "q"])
 
     return nodes.select("node", "v").mapInArrow(run, "node long, q binary")
@@ -160,25 +171,36 @@ def _join_round(graph: DataFrame, coded: DataFrame, parts: int) -> DataFrame:
     return meet.mapInArrow(pairs, EDGE)
 
 
-def build_graph(nodes: DataFrame) -> DataFrame:
-    """``node, nb, d`` (squared, of rounded vectors): the neighbour graph over ``nodes`` (node, v)."""
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    coded = written(_quantised(nodes), "coded")
+def build_graph(coded: DataFrame) -> DataFrame:
+    """``node, nb, d`` (squared, of coded vectors): the neighbour graph over ``coded`` (node, q)."""
+    parts = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = coded.count()
     bits = max(0, int(np.ceil(np.log2(max(1, n / BLOCK)))))
     first = _block_edges(coded, 0, SEED).unionByName(_block_edges(coded, bits, SEED + 1)).unionByName(_block_edges(coded, bits, SEED + 2))
     graph = written(_best(first, K), "graph")
-    while n > BLOCK:
+    while n > 1:
         nxt = written(_best(graph.unionByName(_join_round(graph, coded, parts)), K), "graph")
         kept = nxt.join(graph.select("node", "nb"), ["node", "nb"], "left_semi").count()
         discard(graph)
         graph = nxt
         if n * K - kept < SETTLED * n * K:
             break
-    discard(coded)
     return graph
 
 
+def _near(rows: DataFrame, coded: DataFrame, queries: DataFrame) -> DataFrame:
+    """``q, node, d``: squared distances of (q, node) rows by the codes."""
+
+    def run(batches):
+        for b in batches:
+            x, y = _matrix(b.column(2)), _matrix(b.column(3))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(((x - y) ** 2).sum(1))], names=["q", "node", "d"])
+
+    own = queries.select(F.col("node").alias("q"), F.col("q").alias("y"))
+    both = rows.join(coded.select("node", F.col("q").alias("x")), "node").join(own, "q").select("q", "node", "x", "y")
+    return both.mapInArrow(run, "q long, node long, d float")
+
+
 def _measured(rows: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """``q, node, d``: exact distances of (q, node) rows, in double precision."""
     d = F.sqrt(F.aggregate(F.zip_with("v", "qv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
@@ -190,21 +212,23 @@ def pool_size(n: int) -> int:
     return int(np.ceil(POOL * max(1.0, n / POOL_ROWS) ** 0.5))
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, starts: DataFrame) -> DataFrame:
-    """``q, node, d``: the ``pool_size`` nearest nodes that each query's walk finds from its ``starts`` (q, node)."""
+def search(graph: DataFrame, coded: DataFrame, queries: DataFrame, starts: DataFrame) -> DataFrame:
+    """``q, node``: the ``pool_size`` nearest nodes that each query's walk finds from its ``starts``
+    (q, node); ``queries`` are the queries' rows of ``coded``."""
     links = written(_links(graph), "links")
-    size = pool_size(nodes.count())
+    size = pool_size(coded.count())
     w = Window.partitionBy("q").orderBy("d", "node")
     top = lambda p: p.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= size).drop("r")
-    pool = written(top(_measured(starts.distinct(), nodes, queries).withColumn("seen", F.lit(False))), "pool")
+    pool = written(top(_near(starts.distinct(), coded, queries).withColumn("seen", F.lit(False))), "pool")
     while not pool.filter("NOT seen").isEmpty():
         new = pool.filter("NOT seen").select("q", "node").join(links, "node").select("q", F.col("nb").alias("node")).distinct()
         new = new.join(pool.select("q", "node"), ["q", "node"], "left_anti")
-        new = _measured(new, nodes, queries).withColumn("seen", F.lit(False))
+        new = _near(new, coded, queries).withColumn("seen", F.lit(False))
         nxt = written(top(pool.withColumn("seen", F.lit(True)).unionByName(new)), "pool")
         discard(pool)
         pool = nxt
-    return pool.select("q", "node", "d")
+    discard(links)
+    return pool.select("q", "node")
 
 
 def nearest(rows: DataFrame, is_query, k: int = 10) -> DataFrame:
@@ -212,23 +236,27 @@ def nearest(rows: DataFrame, is_query, k: int = 10) -> DataFrame:
 
     ``rows``: ``vec_id`` and ``embedding``.  Returns ``query_id, rank, vec_id,
     score`` (Euclidean distance of the original vectors), ties to the smaller
-    id.  Vectors that are null, zero, or hold null or non-finite components, or
-    whose length is not the commonest, take no part, nor do null ids.  Equal
-    vectors share a node, which keeps their k + 1 smallest ids: no more of them
-    can be among k results.  Other columns are ignored; an empty table gives
-    no rows.
+    id.  Vectors that are null, zero, or hold null or non-finite components take
+    no part, nor do null ids; vectors shorter than the longest count as filled up
+    with zeros.  Equal vectors share a node, which keeps their k + 1 smallest
+    ids: no more of them can be among k results.  Other columns are ignored; an
+    empty table gives no rows.
     """
     rows = written(usable(rows.select("vec_id", "embedding")).select("vec_id", "v"), "vectors")
     nodes = written(rows.groupBy("v").agg(F.min("vec_id").alias("node")).select("node", "v"), "nodes")
     ids = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
     members = ids.join(nodes, "v").select("node", "vec_id")
-    graph = build_graph(nodes)
+    coded = written(_coded(nodes), "coded")
+    graph = build_graph(coded)
     asked = rows.filter(is_query).groupBy("v").agg(F.collect_set("vec_id").alias("asked"))
     own = nodes.join(asked, "v").select(F.col("node").alias("q"), F.col("v").alias("qv"), "asked")
     own = written(own, "queries")
     entries = nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(ENTRIES)
     starts = own.select("q", F.col("q").alias("node")).unionByName(own.select("q").join(F.broadcast(entries)))
-    found = search(graph, nodes, own.select("q", "qv"), starts)
+    found = search(graph, coded, coded.join(own.select(F.col("q").alias("node")), "node", "left_semi"), starts)
+    found = written(_measured(found, nodes, own.select("q", "qv")), "found")
+    discard(coded)
+    discard(graph)
     rows = found.join(members, "node").join(own.select("q", F.explode("asked").alias("query_id")), "q").filter("vec_id <> query_id")
     w = Window.partitionBy("query_id").orderBy("d", "vec_id")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("d").alias("score"))
