@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from textloom.llm.token_counts import PrefixCounter, count_tokens, truncation_points, window_tokens
+from textloom.llm.token_counts import PrefixCounter, count_tokens, prefix_counts, truncation_points, window_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", "a", "  ", " a", "a ", "a  b", "a\n\nb", "\n", "a \n b", "we're 'Re 're", "x<|endoftext|>y <|endoftext|>", "<|endoft", "日本語 テスト", "é  x\x85y\x1cz", "²½ª", "İstanbul Σας", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa" * 40, "tab\there\r\nend", "🎉🎉 ok", "don't 'll 'v 12345 3.14"]
@@ -35,7 +35,10 @@ def test_every_prefix(both):
 def test_rows(spark, both):
     rows = [(1, None, "x"), (1, None, "x"), (None, "the end", "y"), (3, "", None), (4, "word " * 3000, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
-    got = sorted(map(tuple, count_tokens(df).collect()), key=str)
+    counted = count_tokens(df)
+    got = sorted(map(tuple, counted.select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()), key=str)
+    fit = {r.doc_id: r.fit_chars for r in counted.collect()}
+    assert fit[None] == 7 and fit[3] == 0 and len(both[1].encode(("word " * 3000)[: fit[4]]).ids) <= 1024 < len(both[1].encode(("word " * 3000)[: fit[4] + 5]).ids)
     n = len(both[1].encode("word " * 3000).ids)
     assert got == sorted([(1, 0, 0, False)] * 2 + [(None, 7, 2, False), (3, 0, 0, False), (4, 15000, n, True)], key=str)
     assert count_tokens(df.limit(0)).count() == 0
@@ -44,8 +47,18 @@ def test_rows(spark, both):
 def test_budget_questions(spark, both):
     text = "The quick brown fox isn't here any more, is it?"
     df = spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string")
-    counted = count_tokens(df, prefixes=True)
+    counted = count_tokens(df)
+    assert {r.doc_id: r.prefix_counts for r in prefix_counts(counted).collect()} == {1: [len(both[1].encode(text[: i + 1]).ids) for i in range(len(text))], 2: []}
     n = {r.doc_id: r.n_chars_kept for r in truncation_points(counted, 5).collect()}
     enc = lambda x: len(both[1].encode(x).ids)
     assert n == {1: max(i for i in range(len(text) + 1) if enc(text[:i]) <= 5), 2: 0}
     assert {r.doc_id: r.n_tokens for r in window_tokens(counted, 12).collect()} == {1: enc(text[:12]), 2: 0}
+
+
+def test_long_pieces_take_linear_time_and_are_not_kept(both):
+    c, t = both
+    for x in (" " * 5000 + "x", "'" * 5000, "a" * 5000, "\n" * 3000 + " b", "中" * 3000):
+        got = c.prefixes(x)
+        assert got[-1] == len(t.encode(x, add_special_tokens=False).ids)
+        assert got[1999] == len(t.encode(x[:2000], add_special_tokens=False).ids)
+    assert max(map(len, c.pieces)) <= 128

@@ -54,16 +54,21 @@ def crc_remainder(doc_id, n: int):
 
 
 class Recent(dict):
-    """A dict of bounded size: two generations, the older one dropped when full."""
+    """A dict of bounded size: two generations, the older one dropped when full.
 
-    def __init__(self, make, limit: int):
+    Texts longer than ``longest`` are made anew each time: entries are small.
+    """
+
+    def __init__(self, make, limit: int, longest: int = 128):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
 
     def __missing__(self, key):
         v = self.old.get(key)
         if v is None:
             v = self.make(key)
+        if isinstance(key, str) and len(key) > self.longest:
+            return v
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
