@@ -29,8 +29,7 @@ def op4_quality(spark, sf_dir):
 
 
 def op5_training_order(spark, sf_dir):
-    out = training_order.training_order(table(spark, sf_dir, "documents"))
-    return out.select("slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
+    return training_order.training_order(table(spark, sf_dir, "documents"))
 
 
 def op6_suffix_dedup(spark, sf_dir):
