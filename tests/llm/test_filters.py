@@ -213,3 +213,31 @@ def test_write_shards(spark, tmp_path):
     directory = sharding.write_shards(docs, str(tmp_path / "out"), limit=100_000).collect()
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == docs.count() and back.select("shard").distinct().count() == len(directory) > 1
+
+
+def test_dual_coordinate_descent_meets_the_optimality_conditions():
+    rng = np.random.default_rng(1)
+    rows = [(np.unique(rng.integers(0, 60, 12)) + 40 * int(y), int(y)) for y in rng.integers(0, 2, 120)]
+    (r, w), bias = quality.fit(rows, epochs=2000)
+    # the primal objective at the weights is no more than at any nearby point
+    x = np.zeros((len(rows), 100))
+    for i, (own, _) in enumerate(rows):
+        v = r[own].astype(float)
+        x[i, own] = v / np.sqrt(v @ v)
+    y = np.array([2 * k - 1 for _, k in rows])
+    n = [(y == -1).sum(), (y == 1).sum()]
+    cost = np.array([len(rows) / (2 * n[(k + 1) // 2]) for k in y])
+    value = lambda w, b: 0.5 * (w @ w + b * b) + (cost * np.maximum(0, 1 - y * (x @ w + b))).sum()
+    best = value(w[:100].astype(float), bias)
+    for _ in range(300):
+        d = rng.normal(size=101) * rng.choice([1e-3, 1e-2, 0.1])
+        assert best <= value(w[:100] + d[:100], bias + d[100]) + 1e-3
+    assert not w[100:].any()
+
+
+def test_sharded_files_hold_every_row_once(spark, tmp_path):
+    rows = [(1, "a" * 30, "x"), (None, "b" * 40, "y"), (2, "c" * 50, "z"), (2, "d" * 60, "z"), (2, "d" * 60, "z"), (3, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_bytes string")
+    sharding.write_shards(df, str(tmp_path / "out"), limit=70)
+    got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("doc_id", "text", "n_bytes").collect()]
+    assert sorted(got, key=str) == sorted(rows, key=str)

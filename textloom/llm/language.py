@@ -17,10 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS = 16
-#: At most this many labelled rows for each language, those with the smallest hash, are learned from;
+#: At most this many labelled rows for each language, those with the smallest hash, are learned from, whole.
 SAMPLE = 400
-#: of each, this many words from a place that the hash chooses.
-WINDOW = 120
 STEP = 64  # words in a segment of the chain
 WORDS_KEPT = 150_000
 SLICE = 1024  # texts that are Python strings at a time
@@ -125,7 +123,7 @@ def fit(rows: list[tuple[str, list[str]]], steps: int = 260, batch: int = 32, le
     n_lang, rng = len(langs), np.random.default_rng(0)
     emit, move = np.zeros((1 << BITS, n_lang)), np.zeros((n_lang, n_lang))
     sum_e, sum_m = np.full(emit.shape, 1e-2), np.full(move.shape, 1.0)
-    by_lang = [[_each(words) for x, words in rows if x == k and words] for k in langs]
+    by_lang = [[words for x, words in rows if x == k and words] for k in langs]
     known = [k for k, x in enumerate(by_lang) if x]
     for _ in range(steps if len(known) > 1 else 0):
         words, gold = [], np.zeros((length, batch), np.int64)
@@ -135,7 +133,7 @@ def fit(rows: list[tuple[str, list[str]]], steps: int = 260, batch: int = 32, le
                 k = known[int(rng.integers(len(known)))]
                 own = by_lang[k][int(rng.integers(len(by_lang[k])))]
                 at = int(rng.integers(len(own)))
-                piece = own[at : at + int(rng.integers(4, length))][: length - len(seq)]
+                piece = _each(own[at : at + int(rng.integers(4, length))][: length - len(seq)])
                 gold[len(seq) : len(seq) + len(piece), b] = k
                 seq += piece
             words += seq
@@ -177,24 +175,22 @@ def _each(words: list[str]) -> list[np.ndarray]:
     return np.split(flat, np.cumsum(n)[:-1])
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, window: int = WINDOW) -> Crf:
-    """Fit on passages of at most ``sample`` rows a language of ``docs`` (text, lang)."""
+def train(docs: DataFrame, sample: int = SAMPLE) -> Crf:
+    """Fit on at most ``sample`` whole rows a language of ``docs`` (text, lang)."""
     rows = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
-    # a row's hash falls under the bound for about ``sample`` rows of its language
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not n:
-        return fit([])
-    share = F.lit(0.0)
-    for k, v in n.items():
-        share = F.when(F.col("lang") == k, F.lit(min(1.0, 1.3 * sample / v))).otherwise(share)
-    rows = rows.filter((F.pmod("h", F.lit(1 << 30)) / (1 << 30)) < share)
-    # WINDOW words from a place that the hash chooses: the row sent stays small
-    words = F.split("text", r"\s+")
-    at = 1 + F.pmod(F.col("h"), F.greatest(F.size("words") - window, F.lit(1)))
-    rows = rows.select("lang", "h", words.alias("words")).select("lang", "h", F.substring(F.concat_ws(" ", F.slice("words", at.cast("int"), window)), 1, window * 100).alias("text"))
+    # a row's hash falls under the bound for about ``sample`` rows of its language; a row a language
+    n = rows.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("of"), (1.3 * sample / F.col("n")).alias("share"))
+    rows = rows.join(F.broadcast(n), F.col("lang") == F.col("of")).filter((F.pmod("h", F.lit(1 << 30)) / (1 << 30)) < F.col("share"))
+
+    def lettered_rows(batches):
+        for b in batches:
+            words = [lettered(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([" ".join(w) for w in words], pa.string())], names=["lang", "h", "words"])
+
+    rows = rows.select("lang", "h", "text").mapInArrow(lettered_rows, "lang string, h long, words string")
     got: dict[str, list] = {}
-    for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
-        got.setdefault(r["lang"], []).append((r["lang"], lettered(r["text"])))
+    for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["h"], r["words"])):
+        got.setdefault(r["lang"], []).append((r["lang"], r["words"].split()))
     return fit([x for v in got.values() for x in v[:sample]])
 
 

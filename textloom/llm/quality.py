@@ -14,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent
+from .common import Recent, discard, written
 
 BITS = 18
 #: At most this many labelled rows, those with the smallest hash of their id, are learned from.
 SAMPLE = 6000
+#: Of each, the distinct indicators in whole: 4 bytes each, and at most this many in all; rows past that, by hash, are left out.
+INDICATORS = 30_000_000
 WORDS_KEPT = 200_000
 _SHAPES = [(re.compile(r"\d+"), "9"), (re.compile(r"[^\W\d_a-z]{2,}(?![a-z])"), "W"), (re.compile(r"[^\W\d_]+"), "w")]
 
@@ -95,7 +97,8 @@ def score(model: tuple[np.ndarray, float], x: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """Fit on at most ``sample`` rows of ``labels`` (doc_id, quality 0 or 1) that have a document."""
+    """Fit on at most ``sample`` rows of ``labels`` (doc_id, quality 0 or 1) that have a document,
+    and on no more than INDICATORS of them in all, in the order of the ids' hashes."""
     ids = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id", F.col("quality").cast("int").alias("y"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
 
@@ -107,7 +110,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
 
     # ids has at most ``sample`` rows
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y", "doc_id").mapInArrow(featured, f"x array<int>, y int, doc_id {kind}").toArrow()
+    table = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y", "doc_id").mapInArrow(featured, f"x array<int>, y int, doc_id {kind}")
+    table = written(table.withColumn("h", F.xxhash64("doc_id")), "indicators")
+    held, last = 0, None
+    for r in sorted(table.select("h", F.size("x").alias("n")).collect()):
+        held += r["n"]
+        if held > INDICATORS:
+            break
+        last = r["h"]
+    rows = table.filter(F.col("h") <= F.lit(last)).toArrow()
+    discard(table)
     rows = sorted(zip(rows["doc_id"].to_pylist(), [np.asarray(x.values) for x in rows["x"]], rows["y"].to_pylist(), strict=True), key=lambda t: (t[0], t[2], len(t[1])))
     if not rows:
         return np.zeros((2, 1 << BITS), np.float32), 0.0
