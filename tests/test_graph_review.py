@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import graph, review, tables, vectors
+from textloom.sources import store
 
 TAG = "id long, chunk_id string, concept_id string, score int, is_new_concept boolean, new_concept_def string, status string, model string, reviewed_by string"
 ACTION = "id long, target_table string, target_id long, action string, reassign_to string, reclassify_to string, reviewer string, client_action_id string, applied_at string"
@@ -30,14 +31,16 @@ def test_bootstrap_and_concepts(spark):
 
 
 def test_works(spark):
-    t = spark.createDataFrame([("a", "A", "x"), ("b", "B", "x"), ("c", "C", "y")], "text_id string, text_name string, tradition string")
-    d = spark.createDataFrame([("w", "W", "x", ["a", "b"]), ("v", "V", "x", ["b", "no-such-text"]), ("u", "U", "x", ["a", "c"]), ("q", "Q", "x", ["c"]), ("b", "B", "x", [])], "id string, label string, tradition string, members array<string>")
+    t = spark.createDataFrame([("a", "A", "x"), ("b", "B", "x"), ("c", "C", "y"), ("z", "Z", "x"), ("own", "Own", "x")], "text_id string, text_name string, tradition string")
+    d = spark.createDataFrame([("w", "W", "x", ["a", "b"]), ("v", "V", "x", ["b", "no-such-text"]), ("u", "U", "x", ["a", "c"]), ("q", "Q", "x", ["c"]), ("b", "B", "x", []), ("z", "Z", "x", ["a"]), ("own", "Own", "x", ["own"])], "id string, label string, tradition string, members array<string>")
     faults = {(r.work_id, r.fault) for r in graph.work_faults(t, d).collect()}
-    assert {("v", "not in corpus"), ("u", "span traditions"), ("q", "wrong tradition"), ("b", "id is a text's")} <= faults
+    assert {("v", "not in corpus"), ("u", "span traditions"), ("q", "wrong tradition"), ("z", "id is a text's")} <= faults
+    # a work may be named like its own member, and like one that another work claims
+    assert not {("own", "id is a text's"), ("b", "id is a text's")} & faults
     assert any(f == "claimed twice" for _, f in faults)
     got = rows(graph.works(t, d.filter("id = 'w'")), "work_id", "grouped")
-    assert got == [("c", False), ("w", True)]
-    assert rows(graph.work_of(graph.works(t, d.filter("id = 'w'")))) == [("a", "w"), ("b", "w"), ("c", "c")]
+    assert got == [("c", False), ("own", False), ("w", True), ("z", False)]
+    assert rows(graph.work_of(graph.works(t, d.filter("id = 'w'")))) == [("a", "w"), ("b", "w"), ("c", "c"), ("own", "own"), ("z", "z")]
 
 
 def test_remap(spark):
@@ -124,7 +127,9 @@ def test_apply_tags(spark):
     e = spark.createDataFrame([("c2", "concept.k", "EXPRESSES", "verified"), ("c3", "concept.k", "EXPRESSES", "verified")], "source_id string, target_id string, type string, tier string")
     n = spark.createDataFrame([("concept.k", "concept", "k", None)], "id string, type string, label string, definition string")
     tags, edges, nodes = review.apply_tags(t, q, e, n)
-    assert dict(rows(tags, "id", "status")) == {1: "accepted", 2: "accepted", 3: "accepted", 4: "pending", 5: "rejected", 6: "accepted", 7: "rejected", 8: "reassigned", -8: "accepted"}
+    status = dict(rows(tags, "id", "status"))
+    spawned = [i for i in status if i > 100]
+    assert len(spawned) == 1 and {(-8 if i > 100 else i): x for i, x in status.items()} == {1: "accepted", 2: "accepted", 3: "accepted", 4: "pending", 5: "rejected", 6: "accepted", 7: "rejected", 8: "reassigned", -8: "accepted"}
     assert rows(edges, "source_id", "target_id", "tier") == [("c1", "concept.j", "proposed"), ("c1", "concept.k", "verified"), ("c1", "concept.n", "verified"), ("c1", "concept.z", "verified"), ("c2", "concept.k", "verified")]
     assert ("concept.n", "new one") in rows(nodes, "id", "definition")
     result = review.apply_result(t, q, edges, e).first()
@@ -164,3 +169,45 @@ def test_vectors(spark):
     got = {r.id: round(r.score, 6) for r in vectors.fuse(found, walk).collect()}
     assert got == {1: 0.63, 2: 0.96, 3: 0.17, 9: 0.25}
     assert vectors.cap_per_group(vectors.fuse(found, walk), 1).count() == 3
+
+
+def test_a_batch_is_published_at_once(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "db"))
+    q = actions(spark, ("tag", 1, "accept", None, None, "a"), ("tag", 2, "accept", None, None, "b"), ("tag", 99, "accept", None, None, "c"), ("cleanup", 1, "accept", None, None, "d"), ("cleanup", 2, "accept", None, None, "e"))
+    first = {
+        "staged_tags": spark.createDataFrame([(1, "c1", "k", 3, False, None, "pending", "m", None), (2, "c1", "j", 3, False, None, "rejected", "m", None)], TAG),
+        "staged_edges": spark.createDataFrame([], "id long, source_chunk string, target_chunk string, edge_type string, confidence double, status string, tier string"),
+        "staged_cleanups": spark.createDataFrame([(1, "x", True, "pending", "old"), (2, "y", True, "pending", "same")], "id long, chunk_id string, words_preserved boolean, status string, original_body string"),
+        "edges": spark.createDataFrame([], "source_id string, target_id string, type string, tier string"),
+        "nodes": spark.createDataFrame([], "id string, type string, label string, definition string"),
+        "review_actions": q,
+    }
+    s.commit(first)
+    bodies = spark.createDataFrame([("x", "new"), ("y", "same")], "id string, body string")
+    plan = review.apply_batch(s, F.lit("2026-01-01"), bodies=bodies)
+    assert plan["versions"] == {} and s.read("edges").count() == 0
+    errors = {r.error for r in plan["errors"].collect()}
+    assert errors == {"already resolved", "unknown target", "stale body"}
+    done = review.apply_batch(s, F.lit("2026-01-01"), commit=True, bodies=bodies)
+    assert set(done["versions"].values()) == {2} and rows(s.read("edges"), "target_id") == [("concept.k",)]
+    assert rows(s.read("staged_cleanups"), "id", "status") == [(1, "pending"), (2, "accepted")]
+    assert s.read("review_actions").filter("applied_at IS NULL").count() == 3
+
+
+def test_plan_hash_sees_moved_ends(spark):
+    plan = lambda *r: spark.createDataFrame(list(r), "work string, span int, first_seq int, last_seq int, chunks long, tokens long")
+    a = plan(("w", 1, 1, 3, 3, 10), ("w", 2, 4, 9, 6, 10))
+    assert graph.plan_hash(a).first() != graph.plan_hash(plan(("w", 1, 1, 5, 5, 10), ("w", 2, 6, 9, 4, 10))).first()
+    assert graph.plan_hash(a).first() == graph.plan_hash(a.orderBy(F.desc("span"))).first()
+
+
+def test_lookup_and_merge(spark):
+    ids = spark.createDataFrame([("t.x.001",), ("t.x.002",), ("bad",)], "id string")
+    files = spark.createDataFrame([("corpus/t/x/chunks/001.toml",)], "path string")
+    assert dict(rows(graph.lookup_paths(ids, files))) == {"t.x.001": "corpus/t/x/chunks/001.toml", "t.x.002": None, "bad": None}
+    d = tables.add_columns(tables.rename_columns(ids, {"id": "chunk_id"}), {"note": "string"})
+    assert d.columns == ["chunk_id", "note"]
+    with pytest.raises(ValueError, match="cannot rename"):
+        tables.rename_columns(d, {"id": "x"})
+    body = spark.createDataFrame([("1", "a\n")], "id string, body string"), spark.createDataFrame([("2", "a")], "id string, body string")
+    assert rows(tables.match_by_body(*body)) == [("1", "2")]

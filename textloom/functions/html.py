@@ -11,6 +11,8 @@ from pyspark.sql.types import StringType
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "main", "ul", "ol", "table", "blockquote", "pre"}
+#: Elements that end an open element of these names when they start.
+ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SKIP = {"script", "style", "nav", "header", "footer", "noscript", "template"}
 
 
@@ -37,22 +39,29 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("")
-        self.open = [self.root]
+        self.open, self.count = [self.root], {}
+
+    def _close(self):
+        self.count[self.open.pop().tag] -= 1
 
     def handle_starttag(self, tag, attrs):
+        own = ENDS.get(tag, {"p"} if tag in BLOCKS else ())
+        while self.open[-1].tag in own or (tag in ENDS and self.open[-1].tag == "p"):
+            self._close()
         n = Node(tag, attrs)
         self.open[-1].children.append(n)
         if tag not in VOID:
             self.open.append(n)
+            self.count[tag] = self.count.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.open[-1].children.append(Node(tag, attrs))
 
     def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
+        if self.count.get(tag):
+            while self.open[-1].tag != tag:
+                self._close()
+            self._close()
 
     def handle_data(self, data):
         self.open[-1].children.append(data)
@@ -66,35 +75,41 @@ def parse(html: str | None) -> Node:
 
 
 def _walk(n):
-    for c in n.children:
-        if not isinstance(c, str):
-            yield c
-            yield from _walk(c)
+    todo = [c for c in reversed(n.children) if not isinstance(c, str)]
+    while todo:
+        c = todo.pop()
+        yield c
+        todo += [x for x in reversed(c.children) if not isinstance(x, str)]
 
 
 def containers(root: Node, tags=("main", "article")) -> list[Node]:
     """Outermost content containers in order: one nested in another is not taken again."""
-    out = []
-    for c in root.children:
-        if not isinstance(c, str):
-            out += [c] if c.tag in tags else containers(c, tags)
+    out, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        if n.tag in tags:
+            out.append(n)
+        else:
+            todo += [c for c in reversed(n.children) if not isinstance(c, str)]
     return out
 
 
 def strip_apparatus(n: Node) -> Node:
-    """Drop footnote marks, superscripts, empty anchors, and a 'Footnotes' heading with all that follows it."""
-    kept = []
-    for c in n.children:
-        if not isinstance(c, str):
-            if c.tag == "sup" or c.tag == "font" and c.attrs.get("size") in ("1", "-2"):
-                continue
-            if c.tag == "a" and not c.text().strip() and not any(x.tag == "img" for x in _walk(c)):
-                continue
-            if re.fullmatch(r"h[1-6]", c.tag) and c.text().strip().lower().rstrip(":") == "footnotes":
-                break
-            strip_apparatus(c)
-        kept.append(c)
-    n.children = kept
+    """Drop small print, superscripts, empty anchors, and an h3 'Footnotes' with all that follows it."""
+    todo = [n]
+    while todo:
+        own, kept = todo.pop(), []
+        for c in own.children:
+            if not isinstance(c, str):
+                if c.tag == "sup" or c.tag == "font" and c.attrs.get("size") == "1":
+                    continue
+                if c.tag == "a" and not c.text().strip() and not any(x.tag == "img" for x in _walk(c)):
+                    continue
+                if c.tag == "h3" and c.text().strip().lower().rstrip(":") == "footnotes":
+                    break
+                todo.append(c)
+            kept.append(c)
+        own.children = kept
     return n
 
 

@@ -35,7 +35,7 @@ def repair_json(text: str | None):
             if depth == 0:
                 try:
                     return json.loads(text[at : i + 1])
-                except ValueError:
+                except (ValueError, RecursionError):
                     return []
             if depth == 1:
                 ends.append(i)
@@ -45,12 +45,21 @@ def repair_json(text: str | None):
                 return json.loads(text[at : i + 1] + "]")
             except ValueError:
                 continue
+            except RecursionError:
+                return []
     return []
 
 
+def _dumped(x: str | None) -> str:
+    try:
+        return json.dumps(repair_json(x))
+    except RecursionError:  # read, but nested too deep to write
+        return "[]"
+
+
 @F.pandas_udf(StringType())
 def repaired_json(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: json.dumps(repair_json(x)))
+    return s.map(_dumped)
 
 
 def json_elements(c: Column, schema: str) -> Column:

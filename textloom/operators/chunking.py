@@ -52,6 +52,8 @@ class ChunkConfig:
         own["strategy"] = STRATEGIES[kind]
         if own["strategy"] == "paragraph" and own.get("paragraphs_per_chunk") is None:
             own["paragraphs_per_chunk"] = own.get("group_size", 3)
+        if unknown := sorted(set(own) - set(cls.__dataclass_fields__)):
+            raise ValueError(f"unknown settings: {unknown}")
         known = {k: tuple(v) if isinstance(v, list) else v for k, v in own.items() if k in cls.__dataclass_fields__}
         return cls(**known, metadata=d.get("metadata", {}))
 
@@ -93,7 +95,8 @@ def group_paragraphs(df: DataFrame, key: str = "doc_id", text: str = "text", sep
     bodies = F.aggregate(paragraphs(F.col(text), separator), start, add, end)
     rows = df.select(key, F.posexplode(bodies).alias("at", "body"))
     n = F.col("at") + 1
-    return rows.select(key, n.alias("n"), F.replace(F.lit(label), F.lit("{n}"), n.cast("string")).alias("section"), "body", token_estimate(F.col("body")).alias("token_count"))
+    named = F.replace(F.replace(F.lit(label), F.lit("{heading}"), F.concat(F.lit("Section "), n.cast("string"))), F.lit("{n}"), n.cast("string"))
+    return rows.select(key, n.alias("n"), named.alias("section"), "body", token_estimate(F.col("body")).alias("token_count"))
 
 
 def split_headings(df: DataFrame, heading: str, key: str = "doc_id", text: str = "text", group_size: int = 1, label: str = "{heading}") -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions.text import strip
 # The residue that scanned and downloaded texts carry.
 NAV_PARAGRAPH = r"^Next:\s.{0,120}$"
 SITE_HEADER = r"^(Sacred-[Tt]exts?\b|Index\s+Previous\s+Next\b)"
-CREDITS = r"(Scanned|Digitized|Transcribed|Proofed) (at|by|and)[^.]{0,120}\."
+CREDITS = r"((?i:scanned|digitized|transcribed|proofed) (at|by|and)|J\.\s?B\. Hare, redactor)[^.]{0,120}(\.com[^.]{0,120})?\."
 PAGE_BRACKET = r"\s*\[Pg \d+\]\s*"
 LICENCE_TAIL = r"(?s)End of the Project Gutenberg.*$"
 ERRATA = r"^Errata\b"

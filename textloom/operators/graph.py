@@ -28,6 +28,13 @@ def chunk_path(c: Column) -> Column:
     return F.concat(F.lit("corpus/"), r["tradition"], F.lit("/"), r["text_id"], F.lit("/chunks/"), r["seq"], F.lit(".toml"))
 
 
+def lookup_paths(ids: DataFrame, files: DataFrame, column: str = "id") -> DataFrame:
+    """Adds ``path``: the chunk's file in the listing ``files`` (path); null where there is none."""
+    listed = files.select("path").distinct().withColumn("__there", F.col("path"))
+    own = ids.withColumn("path", chunk_path(F.col(column)))
+    return own.join(listed, "path", "left").withColumn("path", F.col("__there")).select(*ids.columns, "path")
+
+
 def bootstrap(chunks: DataFrame, only_text: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes for chunks and traditions, and BELONGS_TO edges; a filter nothing matches gives none."""
     c = chunks.withColumn("ref", resolve_chunk_id(F.col("id"))).filter("ref IS NOT NULL")
@@ -71,6 +78,21 @@ def retarget_concept(edges: DataFrame, alias: DataFrame) -> DataFrame:
     return moved.withColumn("target_id", F.coalesce("canonical", "target_id")).select(*edges.columns).dropDuplicates(["source_id", "target_id", "type"])
 
 
+def merge_concept(edges: DataFrame, tags: DataFrame, nodes: DataFrame, alias: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The next edges, tags, nodes and alias rows once concepts (alias, canonical) are one.
+
+    Edges and tags move to the canonical concept, the old name becomes an
+    alias, and a concept node that nothing names any more goes.
+    """
+    bare = lambda c: F.expr(f"substr({c}, 9)")
+    moved = retarget_concept(edges, alias)
+    m = alias.select(bare("alias").alias("concept_id"), bare("canonical").alias("__to"))
+    new_tags = tags.join(m, "concept_id", "left").withColumn("concept_id", F.coalesce("__to", "concept_id")).select(*tags.columns)
+    rows = alias.select(bare("alias").alias("alias"), bare("canonical").alias("concept_id"))
+    left = nodes.join(alias.select(F.col("alias").alias("id")), "id", "left_anti")
+    return moved, new_tags, left, insert_ignore(aliases, rows, ["alias"])
+
+
 def canonical_pairs(pairs: DataFrame, a: str = "source_chunk", b: str = "target_chunk") -> DataFrame:
     """Adds ``pair_a, pair_b`` (sorted) and ``presentation_order`` ('ab', or 'ba' where they were turned)."""
     return pairs.withColumns({"pair_a": F.least(a, b), "pair_b": F.greatest(a, b), "presentation_order": F.when(F.col(a) <= F.col(b), "ab").otherwise("ba")})
@@ -86,14 +108,16 @@ def works(texts: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def work_faults(texts: DataFrame, declared: DataFrame) -> DataFrame:
-    """``work_id, fault, detail``: unknown or doubly claimed members, mixed or wrong traditions, taken ids."""
+    """``work_id, fault, detail``: unknown or doubly claimed members, mixed or wrong traditions, and ids
+    that a text of no work has (a work may be named like its own member)."""
     m = declared.select("id", F.col("tradition").alias("said"), F.explode("members").alias("text_id")).join(texts.select("text_id", F.col("tradition").alias("found")), "text_id", "left")
     unknown = m.filter("found IS NULL").select("id", F.lit("not in corpus").alias("fault"), F.col("text_id").alias("detail"))
     twice = m.groupBy("text_id").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n > 1").select("id", F.lit("claimed twice").alias("fault"), F.col("text_id").alias("detail"))
     per = m.filter("found IS NOT NULL").groupBy("id").agg(F.count_distinct("found").alias("n"), F.min("found").alias("found"), F.first("said").alias("said"))
     mixed = per.filter("n > 1").select("id", F.lit("span traditions").alias("fault"), F.col("n").cast("string").alias("detail"))
     wrong = per.filter("n = 1 AND said <> found").select("id", F.lit("wrong tradition").alias("fault"), F.col("found").alias("detail"))
-    taken = declared.join(texts.select(F.col("text_id").alias("id")), "id", "left_semi").select("id", F.lit("id is a text's").alias("fault"), F.col("id").alias("detail"))
+    single = texts.select(F.col("text_id").alias("id")).join(m.select(F.col("text_id").alias("id")), "id", "left_anti")
+    taken = declared.join(single, "id", "left_semi").select("id", F.lit("id is a text's").alias("fault"), F.col("id").alias("detail"))
     return unknown.unionAll(twice).unionAll(mixed).unionAll(wrong).unionAll(taken).withColumnRenamed("id", "work_id")
 
 
@@ -154,8 +178,9 @@ def fold_spans(plan: DataFrame, input_budget: int, work: str = "work") -> DataFr
 
 
 def plan_hash(plan: DataFrame, work: str = "work") -> DataFrame:
-    """One row: a digest of the sorted plan (a row a work is gathered)."""
-    rows = plan_summary(plan, work).select(F.to_json(F.struct(work, "spans", "tokens")).alias("j"))
+    """One row: a digest of all spans; a work's spans make its digest, and the works' digests the plan's."""
+    spans = F.array_sort(F.collect_list(F.struct(*[c for c in plan.columns if c != work])))
+    rows = plan.groupBy(work).agg(spans.alias("spans")).select(F.sha2(F.to_json(F.struct(work, "spans")), 256).alias("j"))
     return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("j")), "\n"), 256).alias("plan_hash"))
 
 

@@ -9,8 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cleaning import fresh_cleanups
+
 VERBS = {"tag": ["accept", "reject", "skip", "reassign"], "edge": ["accept", "reject", "skip", "reclassify"], "cleanup": ["accept", "reject", "skip", "reclassify"]}
 EDGE_TYPES = ["PARALLELS", "CONTRASTS", "surface_only", "unrelated"]
+#: Rows that a reassignment spawns are numbered around this, far from the ids of staged ones.
+SPAWNED = 1 << 61
 NEGATIVE = ["surface_only", "unrelated"]
 
 
@@ -94,7 +98,7 @@ def apply_tags(tags: DataFrame, queue: DataFrame, edges: DataFrame, nodes: DataF
     acts = (F.col("status") == "pending") & F.col("act").isNotNull()
     status = F.when(acts & (F.col("act.action") == "accept"), "accepted").when(acts & (F.col("act.action") == "reject"), "rejected").when(acts & (F.col("act.action") == "reassign"), "reassigned").otherwise(F.col("status"))
     done = a.withColumn("__new", F.when(acts, status)).withColumn("reviewed_by", F.when(acts, F.col("act.reviewer")).otherwise(F.col("reviewed_by"))).withColumn("status", status)
-    spawned = done.filter("__new = 'reassigned'").withColumns({"concept_id": F.col("act.reassign_to"), "status": F.lit("accepted"), "__new": F.lit("accepted"), "is_new_concept": F.lit(False), "id": -F.col("id")})
+    spawned = done.filter("__new = 'reassigned'").withColumns({"concept_id": F.col("act.reassign_to"), "status": F.lit("accepted"), "__new": F.lit("accepted"), "is_new_concept": F.lit(False), "id": F.lit(SPAWNED) + (F.xxhash64("id", "act.reassign_to") % SPAWNED)})
     done = done.unionByName(spawned)
     tier = F.when(F.col("score") >= 2, "verified").otherwise("proposed")
     key = ["source_id", "target_id", "type"]
@@ -130,8 +134,13 @@ def apply_edges(staged: DataFrame, queue: DataFrame, edges: DataFrame) -> tuple[
     return done.select(*staged.columns), kept.select("source_id", "target_id", "type", "tier").unionByName(made)
 
 
-def apply_cleanups(cleanups: DataFrame, queue: DataFrame) -> DataFrame:
-    """The next staged_cleanups: statuses only; an accept that does not preserve the words is refused."""
+def apply_cleanups(cleanups: DataFrame, queue: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
+    """The next staged_cleanups: statuses only; an accept that does not preserve the words is refused,
+    and with ``bodies`` (id, body) one whose body has changed since."""
+    if bodies is not None:
+        stale = fresh_cleanups(cleanups, bodies).filter("stale").select("id")
+        no = queue.filter("target_table = 'cleanup' AND action = 'accept'").join(stale.withColumnRenamed("id", "target_id"), "target_id", "left_semi").select("id")
+        queue = queue.join(no, "id", "left_anti")
     a = cleanups.join(_last(queue, "cleanup"), "id", "left")
     on = (F.col("status") == "pending") & F.col("act").isNotNull()
     verb = F.col("act.action")
@@ -139,6 +148,48 @@ def apply_cleanups(cleanups: DataFrame, queue: DataFrame) -> DataFrame:
     return a.withColumn("status", F.coalesce(status, F.col("status"))).select(*cleanups.columns)
 
 
+def refused(tables: dict[str, DataFrame], queue: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
+    """``id, error`` of unapplied actions that a batch cannot carry out."""
+    live = queue.filter("applied_at IS NULL AND action <> 'skip'")
+    key = {"tag": "staged_tags", "edge": "staged_edges", "cleanup": "staged_cleanups"}
+    parts = []
+    for table, name in key.items():
+        mine = live.filter(F.col("target_table") == table)
+        at = tables[name].select(F.col("id").alias("target_id"), "status")
+        rows = mine.join(at, "target_id", "left")
+        parts.append(rows.select("id", F.when(F.col("status").isNull(), "unknown target").when(F.col("status") != "pending", "already resolved").alias("error")))
+    accepts = live.filter("target_table = 'cleanup' AND action = 'accept'").select("id", "target_id")
+    c = tables["staged_cleanups"]
+    lost = c.filter(~F.coalesce("words_preserved", F.lit(False))).select(F.col("id").alias("target_id"))
+    parts.append(accepts.join(lost, "target_id", "left_semi").select("id", F.lit("words not preserved").alias("error")))
+    if bodies is not None:
+        stale = fresh_cleanups(c, bodies).filter("stale").select(F.col("id").alias("target_id"))
+        parts.append(accepts.join(stale, "target_id", "left_semi").select("id", F.lit("stale body").alias("error")))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.filter("error IS NOT NULL").groupBy("id").agg(F.min("error").alias("error"))
+
+
+def apply_batch(store, at: Column, commit: bool = False, bodies: DataFrame | None = None) -> dict:
+    """Apply the queue to the store's tables; with ``commit``, all of them are published at once.
+
+    Returns ``errors`` (DataFrame id, error), ``tables`` (the next versions) and
+    ``versions`` (what was published; none without ``commit``).  Refused actions
+    are not marked as applied.
+    """
+    names = ["staged_tags", "staged_edges", "staged_cleanups", "edges", "nodes", "review_actions"]
+    t = {n: store.read(n) for n in names}
+    queue = t["review_actions"]
+    errors = refused(t, queue, bodies)
+    good = queue.join(errors.select("id"), "id", "left_anti")
+    tags, edges, nodes = apply_tags(t["staged_tags"], good, t["edges"], t["nodes"])
+    staged, edges = apply_edges(t["staged_edges"], good, edges)
+    done = mark_applied(good, at).unionByName(queue.join(errors.select("id"), "id", "left_semi"))
+    out = {"staged_tags": tags, "staged_edges": staged, "staged_cleanups": apply_cleanups(t["staged_cleanups"], good, bodies), "edges": edges, "nodes": nodes, "review_actions": done}
+    return {"errors": errors, "tables": out, "versions": store.commit(out) if commit else {}}
+
+
 def mark_applied(queue: DataFrame, at: Column) -> DataFrame:
     return queue.withColumn("applied_at", F.coalesce("applied_at", at))
 

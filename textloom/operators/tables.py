@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """New rows replace old ones with the same key."""
@@ -48,7 +50,7 @@ def match_by_body(old: DataFrame, new: DataFrame) -> DataFrame:
     """``old_id, new_id``: the i-th old id of a body with the i-th new id of the same; no partner: null."""
 
     def ranked(df, name):
-        h = F.sha2(F.trim("body"), 256).alias("h")
+        h = F.sha2(strip(F.col("body")), 256).alias("h")
         rows = df.select(F.col("id").alias(name), h)
         return rows.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy(name)))
 
@@ -133,6 +135,24 @@ def conditional_manifest(df: DataFrame, counts: dict[str, Column]) -> DataFrame:
     return one.unpivot([], list(counts), "label", "n")
 
 
+def latest(df: DataFrame, n: int, by: str, key: str = "id") -> DataFrame:
+    """The n newest rows, the newest first; of equal times the larger key."""
+    return df.orderBy(F.desc(by), F.desc(key)).limit(n)
+
+
+def rename_columns(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Columns renamed; a name that is not there, or that is taken, is an error."""
+    gone, taken = set(names) - set(df.columns), set(names.values()) & (set(df.columns) - set(names))
+    if gone or taken:
+        raise ValueError(f"cannot rename: missing {sorted(gone)}, taken {sorted(taken)}")
+    return df.withColumnsRenamed(names)
+
+
+def add_columns(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Columns (name, type) added as null where they are not there yet."""
+    return df.withColumns({k: F.lit(None).cast(t) for k, t in kinds.items() if k not in df.columns})
+
+
 def missing_tables(spark, expected: list[str], found: list[str]) -> list[str]:
     """Expected tables that are not there; raise on them before use."""
     return sorted(set(expected) - set(found))

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 
 class Store:
-    """Tables as ``<root>/<table>/v=<n>``; ``<root>/<table>/current`` names the published version.
+    """Tables as ``<root>/<table>/v=<n>``; ``<root>/published.json`` names each one's published version.
 
-    A version is written whole before the pointer moves, so a reader sees the
-    old table or the new one.
+    Versions are written whole before the one pointer is replaced, in a single
+    rename, so a reader sees the old tables or the new ones, and several tables
+    can be published together.  One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -26,8 +27,11 @@ class Store:
         out = self._fs.create(self._path(f"{path}.new"), True)
         out.write(bytearray(text.encode()))
         out.close()
-        self._fs.delete(self._path(path), False)
-        self._fs.rename(self._path(f"{path}.new"), self._path(path))
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        how = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        how[0] = hadoop.Options.Rename.OVERWRITE
+        files = hadoop.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        files.rename(self._fs.makeQualified(self._path(f"{path}.new")), self._fs.makeQualified(self._path(path)), how)
 
     def _get(self, path: str) -> str:
         return "\n".join(r.value for r in self.spark.read.text(path).collect())
@@ -39,9 +43,12 @@ class Store:
         names = [s.getPath().getName() for s in self._fs.listStatus(at)]
         return sorted(int(n[2:]) for n in names if n.startswith("v="))
 
+    def published(self) -> dict[str, int]:
+        at = f"{self.root}/published.json"
+        return json.loads(self._get(at)) if self._fs.exists(self._path(at)) else {}
+
     def current(self, table: str) -> int | None:
-        at = f"{self.root}/{table}/current"
-        return int(self._get(at)) if self._fs.exists(self._path(at)) else None
+        return self.published().get(table)
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
         v = self.current(table) if version is None else version
@@ -58,7 +65,17 @@ class Store:
         return v
 
     def publish(self, table: str, version: int) -> None:
-        self._put(f"{self.root}/{table}/current", str(version))
+        self._publish({table: version})
+
+    def _publish(self, versions: dict[str, int]) -> None:
+        self._put(f"{self.root}/published.json", json.dumps(self.published() | versions, sort_keys=True))
+
+    def commit(self, replaced: dict[str, DataFrame], appended: dict[str, DataFrame] | None = None) -> dict[str, int]:
+        """Replace some tables, append to others, and publish them all at once."""
+        new = dict(replaced) | {t: self.read(t).unionByName(d) if self.current(t) else d for t, d in (appended or {}).items()}
+        versions = {t: self.write(t, d, publish=False) for t, d in new.items()}
+        self._publish(versions)
+        return versions
 
     def append(self, table: str, df: DataFrame) -> int:
         old = self.read(table).unionByName(df) if self.current(table) else df
