@@ -7,6 +7,7 @@ staged tags, events for review actions, lineitem and orders for tags.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.html import html_main_text
@@ -129,10 +130,35 @@ def clean_footnotes(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", cleaning.FOOTNOTE, "").alias("body"))
 
 
-@_query(r"""WITH c AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '(?s)End of the Project Gutenberg.*$', ''), '(Scanned|Digitized|Transcribed|Proofed) (at|by|and)[^.]{0,120}\.', '', 'g'), '\s*\[\d{1,3}\]', '', 'g') AS cleaned FROM documents)
-SELECT doc_id, cleaned, round(1 - length(cleaned) / length(text), 6) AS shrink, 1 - length(cleaned) / length(text) > 0.25 AS refused FROM c""")
+#: What a text gets by its id's remainder, so that every cleaning step has work; (before, after).
+RESIDUE = [
+    ("", "\n\nNext: Chapter 3"),
+    ("Sacred-Texts Home\n\n", ""),
+    ("", " scanned at a library by hand."),
+    ("left [Pg 12] right ", ""),
+    ("", "\n\nEnd of the Project Gutenberg EBook\nmore"),
+    ("Errata\n\n", ""),
+    ("native {p. vi} word ", ""),
+    ("lxvii} ", " {p. "),
+    ("p. 81\n\n", ""),
+    ("see [1], and [27]. ", " J.B. Hare, redactor of it."),
+    ("", ""),
+]
+_PLANTED = "CASE doc_id % 11 " + " ".join(f"WHEN {i} THEN '{a}' || text || '{z}'" for i, (a, z) in enumerate(RESIDUE)) + " END"
+
+
+@_query(rf"""WITH d AS (SELECT doc_id, {_PLANTED} AS text FROM documents),
+p AS (SELECT doc_id, text, string_split(text, chr(10) || chr(10)) AS parts FROM d),
+k AS (SELECT doc_id, text, parts, list_filter(parts, lambda x, i: NOT regexp_matches(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '^(Next:\s.{{0,120}}$|Errata\b|p\.\s*\d+$)') AND NOT (i = 1 AND regexp_matches(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '^(Sacred-[Tt]exts?\b|Index\s+Previous\s+Next\b)'))) AS kept FROM p),
+c0 AS (SELECT doc_id, text, CASE WHEN len(kept) = len(parts) THEN text ELSE coalesce(array_to_string(kept, chr(10) || chr(10)), '') END AS c FROM k),
+c1 AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(c, '(?s)End of the Project Gutenberg.*$', ''), '((?i:scanned|digitized|transcribed|proofed) (at|by|and)|J\.\s?B\. Hare, redactor)[^.]{{0,120}}(\.com[^.]{{0,120}})?\.', '', 'g'), '\s*\[Pg \d+\]\s*', ' ', 'g') AS c FROM c0),
+c2 AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '\s*\{{p\.\s*[0-9ivxlcdm]+\}}\s*', ' ', 'g'), '\s*\{{p\.\s*$', ''), '^\s*[0-9ivxlcdm]+\}}\s*', ''), '\s*\[\d{{1,3}}\]', '', 'g') AS cleaned FROM c1)
+SELECT doc_id, CASE WHEN 1 - length(cleaned) / length(text) > 0.25 THEN text ELSE cleaned END AS cleaned, round(1 - length(cleaned) / length(text), 6) AS shrink, 1 - length(cleaned) / length(text) > 0.25 AS refused FROM c2""")
 def clean_bodies(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
+    planted = F.col("text")
+    for i, (a, z) in enumerate(RESIDUE):
+        planted = F.when(F.col("doc_id") % 11 == i, F.concat(F.lit(a), "text", F.lit(z))).otherwise(planted)
+    d = _t(spark, sf_dir, "documents").select("doc_id", planted.alias("body"))
     return cleaning.clean_guarded(d, key="doc_id").select("doc_id", "cleaned", F.round("shrink", 6).alias("shrink"), "refused")
 
 
@@ -212,8 +238,8 @@ def untagged_anti(spark, sf_dir):
     return tables.drop_ids(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source")
 
 
-@_query("""WITH o AS (SELECT doc_id, sha256(trim(text)) AS h, row_number() OVER (PARTITION BY sha256(trim(text)) ORDER BY doc_id) AS k FROM documents WHERE doc_id % 2 = 0),
-n AS (SELECT doc_id, sha256(trim(text)) AS h, row_number() OVER (PARTITION BY sha256(trim(text)) ORDER BY doc_id) AS k FROM documents WHERE doc_id % 2 = 1)
+@_query("""WITH o AS (SELECT doc_id, sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS h, row_number() OVER (PARTITION BY sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) ORDER BY doc_id) AS k FROM documents WHERE doc_id % 2 = 0),
+n AS (SELECT doc_id, sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS h, row_number() OVER (PARTITION BY sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) ORDER BY doc_id) AS k FROM documents WHERE doc_id % 2 = 1)
 SELECT o.doc_id AS old_id, coalesce(n.doc_id, -1) AS new_id FROM o LEFT JOIN n USING (h, k)""")
 def body_remap(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
@@ -307,11 +333,11 @@ def manifest_counts(spark, sf_dir):
     return m.unionByName(tables.conditional_manifest(_t(spark, sf_dir, "events"), {"pending": F.col("event_type") == "view", "large": F.col("value") > 50}))
 
 
-@_query("SELECT source AS label, string_agg(doc_id, ',' ORDER BY doc_id) AS members FROM documents WHERE doc_id < 200 GROUP BY source")
+@_query("SELECT source, 'part-' || doc_id AS member, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents")
 def natural_order(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").filter("doc_id < 200").select("source", F.concat(F.lit("part-"), "doc_id").alias("m"), "doc_id")
-    keys = F.array_sort(F.collect_list(F.struct(natural_key(F.col("m")).alias("k"), "doc_id")))
-    return d.groupBy(F.col("source").alias("label")).agg(F.array_join(F.transform(keys, lambda x: x["doc_id"].cast("string")), ",").alias("members"))
+    d = _t(spark, sf_dir, "documents").select("source", F.concat(F.lit("part-"), "doc_id").alias("member"))
+    place = F.row_number().over(Window.partitionBy("source").orderBy(natural_key(F.col("member"))))
+    return d.select("source", "member", place.cast("long").alias("place"))
 
 
 @_query("SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
@@ -370,10 +396,10 @@ def enqueue_outcomes(spark, sf_dir):
 COS = "list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
 
 
-@_query(f"SELECT query_id, vec_id, similarity, rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round({COS}, 6) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id WHERE {COS} >= 0.1) WHERE rank <= 10")
+@_query(f"SELECT query_id, vec_id, similarity, rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round({COS}, 6) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id WHERE {COS} >= 0.1) WHERE rank <= 10")
 def cosine_topk(spark, sf_dir):
     e = _t(spark, sf_dir, "embeddings")
-    return vectors.top_k(e, e.filter("vec_id % 100 = 0"), 10, 0.1).withColumn("similarity", F.round("similarity", 6))
+    return vectors.top_k(e, e.filter("vec_id % 20 = 0"), 10, 0.1).withColumn("similarity", F.round("similarity", 6))
 
 
 @_query(f"SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b, round(s, 6) AS similarity FROM (SELECT q.vec_id AS a, v.vec_id AS b, {COS} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, v.vec_id) AS r FROM embeddings q JOIN embeddings v ON q.label <> v.label AND q.vec_id % 20 = 0) WHERE r <= 5")
@@ -382,35 +408,37 @@ def cross_group_pairs(spark, sf_dir):
     return vectors.cross_group_pairs(e, e.filter("vec_id % 20 = 0"), 5, -1.0).withColumn("similarity", F.round("similarity", 6))
 
 
-FUSED = f"""WITH f AS (SELECT v.vec_id, v.label, {COS} AS similarity FROM embeddings q JOIN embeddings v ON q.vec_id = 0 AND v.vec_id <> 0 WHERE {COS} >= 0.0),
-w AS (SELECT vec_id, label, CASE vec_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 ELSE 0.4 END::DOUBLE AS tier_weight, (vec_id % 5) / 5.0::DOUBLE AS graph_score FROM embeddings WHERE vec_id % 2 = 1),
-b AS (SELECT coalesce(f.vec_id, w.vec_id) AS vec_id, coalesce(f.label, w.label) AS label, 0.7::DOUBLE * coalesce(similarity, 0) + 0.3::DOUBLE * greatest(coalesce(tier_weight, 0), coalesce(graph_score, 0)) AS base FROM f FULL JOIN w ON f.vec_id = w.vec_id),
-s AS (SELECT vec_id, label, base + CASE WHEN row_number() OVER (PARTITION BY label ORDER BY base DESC, vec_id) = 1 THEN 0.1::DOUBLE ELSE 0 END AS score FROM b)"""
+FUSED = f"""WITH f AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, {COS} AS similarity FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id WHERE {COS} >= 0.0),
+w AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, CASE v.vec_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 ELSE 0.4 END::DOUBLE AS tier_weight, (v.vec_id % 5) / 5.0::DOUBLE AS graph_score FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND v.label = q.label AND v.vec_id <> q.vec_id),
+b AS (SELECT coalesce(f.query_id, w.query_id) AS query_id, coalesce(f.vec_id, w.vec_id) AS vec_id, coalesce(f.label, w.label) AS label, 0.7::DOUBLE * coalesce(similarity, 0) + 0.3::DOUBLE * greatest(coalesce(tier_weight, 0), coalesce(graph_score, 0)) AS base FROM f FULL JOIN w ON f.vec_id = w.vec_id AND f.query_id = w.query_id),
+s AS (SELECT query_id, vec_id, label, base + CASE WHEN row_number() OVER (PARTITION BY query_id, label ORDER BY base DESC, vec_id) = 1 THEN 0.1::DOUBLE ELSE 0 END AS score FROM b)"""
 
 
 def _fused(spark, sf_dir):
     e = _t(spark, sf_dir, "embeddings")
-    found = vectors.top_k(e, e.filter("vec_id = 0"), 1 << 30, 0.0).join(e.select("vec_id", "label"), "vec_id").select("vec_id", "label", "similarity")
+    q = e.filter("vec_id % 20 = 0")
+    found = vectors.above(e, q, 0.0).join(e.select("vec_id", "label"), "vec_id").select("query_id", "vec_id", "label", "similarity")
     tier = F.element_at(F.array(F.lit("verified"), F.lit("proposed"), F.lit("inferred")), (F.col("vec_id") % 3 + 1).cast("int"))
-    walked = e.filter("vec_id % 2 = 1").select("vec_id", "label", graph.tier_weight(tier).alias("tier_weight"), ((F.col("vec_id") % 5) / 5.0).alias("graph_score"))
-    return vectors.fuse(found, walked, "vec_id", "label")
+    walked = e.select("vec_id", "label").join(q.select(F.col("vec_id").alias("query_id"), "label"), "label").filter("vec_id <> query_id")
+    walked = walked.select("query_id", "vec_id", "label", graph.tier_weight(tier).alias("tier_weight"), ((F.col("vec_id") % 5) / 5.0).alias("graph_score"))
+    return vectors.fuse(found, walked, "vec_id", "label", query="query_id")
 
 
-@_query(FUSED + " SELECT vec_id, label, round(score, 6) AS score FROM s")
+@_query(FUSED + " SELECT query_id, vec_id, label, round(score, 6) AS score FROM s")
 def fusion_rank(spark, sf_dir):
-    return _fused(spark, sf_dir).select("vec_id", "label", F.round("score", 6).alias("score"))
+    return _fused(spark, sf_dir).select("query_id", "vec_id", "label", F.round("score", 6).alias("score"))
 
 
-@_query(FUSED + " SELECT vec_id, label, round(score, 6) AS score, group_rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS group_rank FROM s) WHERE group_rank <= 3")
+@_query(FUSED + " SELECT query_id, vec_id, label, round(score, 6) AS score, group_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS group_rank FROM s) WHERE group_rank <= 3")
 def knn_label_cap(spark, sf_dir):
-    return vectors.cap_per_group(_fused(spark, sf_dir), 3, "label", "score", "vec_id").select("vec_id", "label", F.round("score", 6).alias("score"), "group_rank")
+    return vectors.cap_per_group(_fused(spark, sf_dir), 3, "label", "score", "vec_id", "query_id").select("query_id", "vec_id", "label", F.round("score", 6).alias("score"), "group_rank")
 
 
 @_query("""SELECT a.vec_id AS id_a, b.vec_id AS id_b, CASE WHEN a.vec_id <= b.vec_id THEN 'ab' ELSE 'ba' END AS presentation_order, least(a.vec_id, b.vec_id) AS pair_a, greatest(a.vec_id, b.vec_id) AS pair_b, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity
-FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 3) % 500""")
+FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 3) % (SELECT count(*) FROM embeddings)""")
 def similarity_backfill(spark, sf_dir):
     e = _t(spark, sf_dir, "embeddings")
-    p = e.select(F.col("vec_id").alias("id_a"), ((F.col("vec_id") * 7 + 3) % 500).alias("id_b"))
+    p = e.select(F.col("vec_id").alias("id_a"), ((F.col("vec_id") * 7 + 3) % e.count()).alias("id_b"))
     p = vectors.backfill_similarity(p, e, "id_a", "id_b", "vec_id", "embedding")
     return graph.canonical_pairs(p, "id_a", "id_b").withColumn("similarity", F.round("similarity", 6))
 
@@ -476,12 +504,12 @@ def span_summary(spark, sf_dir):
     return graph.plan_summary(_plan(spark, sf_dir))
 
 
-@_query("""WITH t AS (SELECT o_custkey AS id, l_partkey AS concept, max(CASE l_linenumber WHEN 1 THEN 1.0 WHEN 2 THEN 0.7 ELSE 0.4 END::DOUBLE) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey < 40 GROUP BY ALL),
+@_query("""WITH t AS (SELECT o_custkey AS id, l_partkey AS concept, max(CASE l_linenumber WHEN 1 THEN 1.0 WHEN 2 THEN 0.7 ELSE 0.4 END::DOUBLE) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
 m AS (SELECT q.query_id, c.concept FROM (SELECT unnest([0, 1, 2]) AS query_id) q JOIN (SELECT DISTINCT concept FROM t) c ON c.concept % 3 = q.query_id),
 n AS (SELECT query_id, count(*) AS n_of FROM m GROUP BY query_id)
 SELECT m.query_id, t.id::VARCHAR AS id, max(w) AS tier_weight, round(count(DISTINCT t.concept) / any_value(n_of), 6) AS graph_score FROM t JOIN m USING (concept) JOIN n USING (query_id) GROUP BY 1, 2""")
 def graph_walk(spark, sf_dir):
-    li, o = _t(spark, sf_dir, "lineitem").filter("l_partkey < 40"), _t(spark, sf_dir, "orders")
+    li, o = _t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "orders")
     tier = F.when(F.col("l_linenumber") == 1, "verified").when(F.col("l_linenumber") == 2, "proposed").otherwise("inferred")
     e = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(F.col("o_custkey").cast("string").alias("source_id"), F.concat(F.lit("concept."), "l_partkey").alias("target_id"), F.lit("EXPRESSES").alias("type"), tier.alias("tier"))
     m = e.select(F.expr("substr(target_id, 9)").alias("concept_id")).distinct().select((F.col("concept_id").cast("int") % 3).alias("query_id"), "concept_id")
@@ -533,3 +561,6 @@ def ext_rollup(spark, sf_dir):
 @_query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 def ext_cube(spark, sf_dir):
     return _t(spark, sf_dir, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+from . import review_queries as _review_queries  # noqa: E402, F401  (registers itself)
