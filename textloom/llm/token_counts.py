@@ -38,7 +38,7 @@ PLAIN = re.compile(r"[^\n\r\t -~¡-įı-ɏ]")
 SPACED = re.compile(r"[\t\r]|[ \n][ \n]|^[ \n]|[ \n]$")
 #: The characters with Unicode's White_Space property.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-WORDS_KEPT = 200_000
+WORDS_KEPT = 400_000
 PAIRS_KEPT = 1_000_000
 SLICE = 256  # texts that are Python strings at a time
 
