@@ -183,7 +183,8 @@ def build_graph(coded: DataFrame) -> DataFrame:
         kept = nxt.join(graph.select("node", "nb"), ["node", "nb"], "left_semi").count()
         discard(graph)
         graph = nxt
-        if n * K - kept < SETTLED * n * K:
+        edges = graph.count()  # fewer than K a node where the table has no more
+        if edges - kept <= SETTLED * edges:
             break
     return graph
 
