@@ -22,13 +22,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, shared_dir, written
+from .common import discard, shared_dir, shuffles_dropped, written
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 END = 50256  # the free id after the vocabulary: ends a document and fills its last sequence
 LENGTH = 512
 PER_SHARD = 8192
 ROUNDS = 6
+PASSES = 4  # ranges of shards that are dealt and written one after another
 WIDTH = 2  # bytes of an id; END is below 2 ** 16
 #: A record ends in a line feed: 2 * LENGTH bytes of ids, and one byte that marks the record's end.
 STRIDE = LENGTH * WIDTH + 1
@@ -153,8 +154,16 @@ class Order:
         schema = f"slot long, shard long, byte_offset long, doc_id {self.kind}, seq int, n_tokens int"
         return self.starts.select("start", "doc_id", "n_seqs", "n_ids").mapInArrow(run, schema)
 
-    def records(self) -> DataFrame:
-        """``slot, shard, ids`` (16-bit little-endian): dealt to tasks by ranges of slots, in slot order."""
+    def numbered(self) -> DataFrame:
+        """``start, n_seqs, packed``: every row's ids, with the number of its first sequence."""
+        return self.seqs.join(self.starts.select("uid", "start"), "uid").select("start", "n_seqs", "packed")
+
+    @property
+    def shards(self) -> int:
+        return max(1, -(-self.total // self.per_shard))
+
+    def records(self, numbered: DataFrame, first: int, last: int) -> DataFrame:
+        """``slot, shard, ids`` (16-bit little-endian) of shards first .. last - 1: dealt to tasks by ranges of slots, in slot order."""
         length, per_shard, total, key = self.length, self.per_shard, self.total, self.key
 
         def place(batches):
@@ -162,26 +171,28 @@ class Order:
             open_, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
             for b in batches:
                 n = b.column(1).to_numpy().astype(np.int64)
-                seq = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                slot = p.slot(np.repeat(b.column(0).to_numpy(), n) + seq)
+                start = np.cumsum(n) - n
+                slot = p.slot(np.repeat(b.column(0).to_numpy() - start, n) + np.arange(n.sum()))
+                shard = slot // per_shard
+                mine = np.flatnonzero((shard >= first) & (shard < last))
+                bounds = np.searchsorted(mine, [start, start + n]).T.tolist()
                 ids = []
-                for k, raw in zip(n.tolist(), b.column(2).to_pylist(), strict=True):
-                    own = np.frombuffer(open_(raw), "<u2")
-                    full = np.full(k * length, END, "<u2")
-                    full[: len(own)] = own
-                    ids += [pack(x.tobytes()) for x in full.reshape(k, length)]
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard), pa.array(ids, pa.binary())], names=["slot", "shard", "ids"])
+                for k, lo, (i, j), raw in zip(n.tolist(), start.tolist(), bounds, b.column(2).to_pylist(), strict=True):
+                    if i < j:
+                        own = np.frombuffer(open_(raw), "<u2")
+                        full = np.full(k * length, END, "<u2")
+                        full[: len(own)] = own
+                        ids += [pack(x.tobytes()) for x in full.reshape(k, length)[mine[i:j] - lo]]
+                yield pa.RecordBatch.from_arrays([pa.array(slot[mine]), pa.array(shard[mine]), pa.array(ids, pa.binary())], names=["slot", "shard", "ids"])
 
         def unpack(batches):
             open_ = zstandard.ZstdDecompressor().decompress
             for b in batches:
                 yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([open_(x) for x in b.column(2).to_pylist()], pa.binary())], names=b.schema.names)
 
-        numbered = self.seqs.join(self.starts.select("uid", "start"), "uid").select("start", "n_seqs", "packed")
         placed = numbered.mapInArrow(place, "slot long, shard long, ids binary")
-        shards = max(1, -(-total // per_shard))
-        tasks = min(shards, 100_000)
-        dealt = placed.repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int"))
+        tasks = min(last - first, 100_000)
+        dealt = placed.repartitionById(tasks, F.floor((F.col("shard") - first) * tasks / (last - first)).cast("int"))
         return dealt.mapInArrow(unpack, dealt.schema).sortWithinPartitions("shard", "slot")
 
 
@@ -194,18 +205,25 @@ def training_order(docs: DataFrame, key: str = "textloom", length: int = LENGTH,
     """
     path = path or f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
     order = Order(docs, key, length, per_shard)
-    write_shards(order.records(), path)
-    discard(order.seqs)
+    write_shards(order, path)
     return order.index().join(read_digests(docs.sparkSession, path, length, per_shard), ["slot", "byte_offset"])
 
 
-def write_shards(records: DataFrame, path: str) -> None:
+def write_shards(order: Order, path: str) -> None:
     """Write ``shard=<k>/part-*`` files of fixed-length records, in slot order, by Spark's own writer.
 
     The bytes go through the text source: a record is its ids and a line feed.
+    Every pass writes a range of the shards, so that beside the numbered ids
+    and the shards the disk holds one pass's shuffle alone.  Uses up ``order.seqs``.
     """
-    rows = records.select("shard", F.col("ids").cast("string").alias("value"))
-    rows.write.partitionBy("shard").option("lineSep", "\n").option("compression", "none").text(path)
+    with shuffles_dropped(order.seqs.sparkSession):
+        numbered = written(order.numbered(), "numbered")
+        discard(order.seqs)
+        step = -(-order.shards // PASSES)
+        for first in range(0, order.shards, step):
+            rows = order.records(numbered, first, min(first + step, order.shards)).select("shard", F.col("ids").cast("string").alias("value"))
+            rows.write.mode("append").partitionBy("shard").option("lineSep", "\n").option("compression", "none").text(path)
+        discard(numbered)
 
 
 def _read(spark, paths: list[str] | str, stride: int, per_shard: int, rows, schema: str) -> DataFrame:
