@@ -50,7 +50,9 @@ def find_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, thr
     ``threshold``.  ``text_hash`` (xxhash64 of the text) tells rows with equal
     or null ids apart; rows equal in both are one.  Null or wordless texts on
     either side match nothing, null ids are kept as null, other columns are
-    ignored, and empty tables give no rows.
+    ignored, and empty tables give no rows.  An item of fewer than ``width``
+    words is found as a whole text alone, not inside a longer one; a very long
+    text is read whole, a shingle at a time.
     """
     own = _shingles(items.filter("text IS NOT NULL"), ["item_id"], F.col("text"), width)
     own = own.select("item_id", _hash(width).alias("h"), _text(width).alias("shingle")).distinct()
