@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, fill_in_middle, language, nn_descent, quality, sharding, simhash, suffix_dedup, training_order
+from . import bpe, decontamination, fill_in_middle, language, nn_descent, quality, sharding, simhash, suffix_dedup, training_order, vector_codes, voronoi
 from .common import crc_remainder, table
 from .token_counts import count_tokens
 
@@ -54,10 +54,18 @@ def op10_sharding(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
 def op12_fill_in_middle(spark, sf_dir):
     return fill_in_middle.digests(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")))
 
 
+def op13_exact_top_k(spark, sf_dir):
+    return voronoi.search(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -114,5 +122,39 @@ FROM p
 """
 
 
+USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _op11_sql(parts=8, entries=16, rounds=6, scale=4096):
+    """Every round a pair of tables: each part's nearest entry, and the entries that follow."""
+    sql = [
+        f"v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE {USABLE})",
+        f"x AS MATERIALIZED (SELECT vec_id, part, q[part * (len(q) // {parts}) + 1:(part + 1) * (len(q) // {parts})] AS x FROM v, range(0, {parts}) AS t(part))",
+        f"c0 AS MATERIALIZED (SELECT part, entry, x AS c FROM (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry FROM x) WHERE entry < {entries})",
+    ]
+    for r in range(rounds + 1):
+        d = f"d{r} AS (SELECT vec_id, part, entry, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM x JOIN c{r} USING (part))"
+        sql += [d, f"a{r} AS MATERIALIZED (SELECT vec_id, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM d{r} GROUP BY vec_id, part)"]
+        if r < rounds:
+            sql += [
+                f"s{r} AS (SELECT part, entry, k, sum(x) AS s, count(*) AS n FROM (SELECT part, entry, unnest(x) AS x, generate_subscripts(x, 1) AS k FROM a{r} JOIN x USING (vec_id, part)) GROUP BY ALL)",
+                f"m{r} AS (SELECT part, entry, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY k) AS c FROM s{r} GROUP BY ALL)",
+                f"c{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (part, entry))",
+            ]
+    return f"""WITH {", ".join(sql)},
+e AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM c{rounds}) AS codebooks_sha256
+FROM e JOIN v USING (vec_id)"""
+
+
+OP13_SQL = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings WHERE {USABLE}),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
 def oracle_sql():
-    return {"op12_fill_in_middle": OP12_SQL, "op3_decontamination": OP3_SQL, "op10_sharding": OP10_SQL}
+    return {"op11_vector_codes": _op11_sql(), "op13_exact_top_k": OP13_SQL, "op12_fill_in_middle": OP12_SQL, "op3_decontamination": OP3_SQL, "op10_sharding": OP10_SQL}
