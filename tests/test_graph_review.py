@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import graph, review, tables, vectors
+from textloom.operators import graph, parallels, review, spans, tables, vectors
 from textloom.sources import store
 
 TAG = "id long, chunk_id string, concept_id string, score int, is_new_concept boolean, new_concept_def string, status string, model string, reviewed_by string"
@@ -85,20 +85,20 @@ def test_repair_and_rejects(spark):
 def test_parallels_and_concept_match(spark):
     x = spark.createDataFrame([("a", "k", "verified"), ("b", "k", "proposed"), ("c", "k", "inferred"), ("a", "j", "inferred"), ("b", "j", "verified")], "chunk_id string, concept_id string, tier string")
     t = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "x")], "chunk_id string, tradition string")
-    assert rows(graph.derived_parallels(x, t)) == [("a", "b", 1.1, "j,k"), ("b", "c", 0.4, "k")]
+    assert rows(parallels.derived_parallels(x, t)) == [("a", "b", 1.1, "j,k"), ("b", "c", 0.4, "k")]
     q = spark.createDataFrame([("What is divine light?", "divine_light"), ("an ox", "of_ox"), ("lightning", "inner_light")], "q string, c string")
     assert [r.m for r in q.select(graph.concept_matches(F.col("q"), F.col("c")).alias("m")).collect()] == [True, False, True]
 
 
 def test_spans(spark):
     c = spark.createDataFrame([("w", i, 2500) for i in range(5)] + [("v", 0, 9000)], "work string, seq long, token_count long")
-    plan = graph.span_plan(c)
+    plan = spans.span_plan(c)
     assert rows(plan, "work", "span", "chunks", "tokens") == [("v", 1, 1, 9000), ("w", 1, 2, 5000), ("w", 2, 2, 5000), ("w", 3, 1, 2500)]
-    assert rows(graph.plan_summary(plan), "work", "spans", "degenerate") == [("v", 1, True), ("w", 3, False)]
-    assert graph.fold_spans(plan, 0).count() == 0 and graph.fold_spans(plan, 10_000).filter("work = 'w'").count() == 2
-    assert graph.plan_hash(plan).first() == graph.plan_hash(plan.orderBy(F.desc("span"))).first()
-    other = graph.span_plan(c.filter("seq < 4"))
-    assert rows(graph.plan_diff(plan, other, ["work", "span"])) == [("w", 3, "removed")]
+    assert rows(spans.plan_summary(plan), "work", "spans", "degenerate") == [("v", 1, True), ("w", 3, False)]
+    assert spans.fold_spans(plan, 0).count() == 0 and spans.fold_spans(plan, 10_000).filter("work = 'w'").count() == 2
+    assert spans.plan_hash(plan).first() == spans.plan_hash(plan.orderBy(F.desc("span"))).first()
+    other = spans.span_plan(c.filter("seq < 4"))
+    assert rows(spans.plan_diff(plan, other, ["work", "span"])) == [("w", 3, "removed")]
 
 
 @pytest.fixture
@@ -197,8 +197,8 @@ def test_a_batch_is_published_at_once(spark, tmp_path):
 def test_plan_hash_sees_moved_ends(spark):
     plan = lambda *r: spark.createDataFrame(list(r), "work string, span int, first_seq int, last_seq int, chunks long, tokens long")
     a = plan(("w", 1, 1, 3, 3, 10), ("w", 2, 4, 9, 6, 10))
-    assert graph.plan_hash(a).first() != graph.plan_hash(plan(("w", 1, 1, 5, 5, 10), ("w", 2, 6, 9, 4, 10))).first()
-    assert graph.plan_hash(a).first() == graph.plan_hash(a.orderBy(F.desc("span"))).first()
+    assert spans.plan_hash(a).first() != spans.plan_hash(plan(("w", 1, 1, 5, 5, 10), ("w", 2, 6, 9, 4, 10))).first()
+    assert spans.plan_hash(a).first() == spans.plan_hash(a.orderBy(F.desc("span"))).first()
 
 
 def test_lookup_and_merge(spark):

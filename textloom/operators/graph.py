@@ -131,66 +131,29 @@ def concept_matches(query: Column, concept: Column, min_len: int = 3) -> Column:
     return (F.instr(q, F.replace(F.lower(concept), F.lit("_"), F.lit(" "))) > 0) | F.exists(F.split(F.lower(concept), "_"), lambda w: (F.char_length(w) >= min_len) & q.contains(w))
 
 
-def derived_parallels(expresses: DataFrame, traditions: DataFrame, least: int = 1) -> DataFrame:
-    """Pairs of chunks of different traditions that share concepts: ``source, target, weight, annotation``.
-
-    ``expresses``: chunk_id, concept_id, tier; ``traditions``: chunk_id,
-    tradition.  The weight adds, over shared concepts, the lower tier weight.
-    """
-    e = expresses.select("chunk_id", "concept_id", tier_weight(F.col("tier")).alias("w")).groupBy("chunk_id", "concept_id").agg(F.max("w").alias("w"))
-    e = e.join(traditions, "chunk_id")
-    a, b = e.alias("a"), e.alias("b")
-    pairs = a.join(b, (F.col("a.concept_id") == F.col("b.concept_id")) & (F.col("a.chunk_id") < F.col("b.chunk_id")) & (F.col("a.tradition") != F.col("b.tradition")))
-    out = pairs.groupBy(F.col("a.chunk_id").alias("source"), F.col("b.chunk_id").alias("target")).agg(F.count("*").alias("n"), F.sum(F.least("a.w", "b.w")).alias("weight"), F.array_join(F.array_sort(F.collect_set("a.concept_id")), ",").alias("annotation"))
-    return out.filter(F.col("n") >= least).select("source", "target", F.round("weight", 6).alias("weight"), "annotation")
+#: Letters of a name or word by which concepts and queries are brought together.
+GRAM = 3
 
 
-def span_plan(chunks: DataFrame, target: int = 6000, work: str = "work", order: str = "seq", tokens: str = "token_count") -> DataFrame:
-    """``work, span, first_seq, last_seq, chunks, tokens``: chunks packed in reading order.
+def match_concepts(queries: DataFrame, concepts: DataFrame, query: str = "query", concept: str = "concept", min_len: int = 3) -> DataFrame:
+    """All rows of both tables in which the query names the concept (see ``concept_matches``).
 
-    A chunk opens a new span if the open one would exceed the target with it.
+    A query that holds a name or a word holds its first letters: an equi-join on
+    these finds the candidates, each checked once.  Both tables are whole rows;
+    a pair of rows that meets in several words comes out once.
     """
-    seq = F.array_sort(F.collect_list(F.struct(F.col(order).alias("seq"), F.col(tokens).cast("long").alias("tok"))))
-    kind = chunks.schema[order].dataType.simpleString()
-    empty = F.array().cast(f"array<struct<first_seq:{kind},last_seq:{kind},chunks:bigint,tokens:bigint>>")
-
-    def add(s, x):
-        last = F.try_element_at(s, F.lit(-1))
-        one = F.struct(x["seq"].alias("first_seq"), x["seq"].alias("last_seq"), F.lit(1).cast("long").alias("chunks"), x["tok"].alias("tokens"))
-        more = F.struct(last["first_seq"].alias("first_seq"), x["seq"].alias("last_seq"), (last["chunks"] + 1).alias("chunks"), (last["tokens"] + x["tok"]).alias("tokens"))
-        fits = F.coalesce(last["tokens"] + x["tok"] <= target, F.lit(False))
-        return F.when(fits, F.concat(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.array(more))).otherwise(F.concat(s, F.array(one)))
-
-    spans = chunks.groupBy(work).agg(seq.alias("c")).select(work, F.aggregate("c", empty, add).alias("spans"))
-    return spans.select(work, F.posexplode("spans").alias("span", "s")).select(work, (F.col("span") + 1).alias("span"), "s.*")
-
-
-def plan_summary(plan: DataFrame, work: str = "work") -> DataFrame:
-    """``work, spans, tokens, degenerate``; pairs to call = spans of works that are not degenerate."""
-    return plan.groupBy(work).agg(F.count("*").alias("spans"), F.sum("tokens").alias("tokens")).withColumn("degenerate", F.col("spans") == 1)
-
-
-def fold_spans(plan: DataFrame, input_budget: int, work: str = "work") -> DataFrame:
-    """Second-level groups of spans under a budget; without one, none."""
-    if input_budget <= 0:
-        return plan.limit(0).select(work, F.col("span").alias("fold"), F.col("span").alias("first_seq"), F.col("span").alias("last_seq"), F.lit(0).cast("long").alias("chunks"), "tokens")
-    return span_plan(plan, input_budget, work, "span", "tokens").withColumnRenamed("span", "fold")
-
-
-def plan_hash(plan: DataFrame, work: str = "work") -> DataFrame:
-    """One row: a digest of all spans; a work's spans make its digest, and the works' digests the plan's."""
-    spans = F.array_sort(F.collect_list(F.struct(*[c for c in plan.columns if c != work])))
-    rows = plan.groupBy(work).agg(spans.alias("spans")).select(F.sha2(F.to_json(F.struct(work, "spans")), 256).alias("j"))
-    return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("j")), "\n"), 256).alias("plan_hash"))
-
-
-def plan_diff(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
-    """Spans that only one plan has, or that changed: ``key, state``."""
-    rest = [c for c in a.columns if c not in key]
-    x = a.select(*key, F.struct(*rest).alias("x"))
-    y = b.select(*key, F.struct(*rest).alias("y"))
-    state = F.when(F.col("x").isNull(), "added").when(F.col("y").isNull(), "removed").when(~F.col("x").eqNullSafe(F.col("y")), "changed")
-    return x.join(y, key, "full_outer").select(*key, state.alias("state")).filter("state IS NOT NULL")
+    begin = lambda c: F.substring(c, 1, GRAM)
+    name = F.lower(concept)
+    words = F.filter(F.split(name, "_"), lambda w: F.char_length(w) >= min_len)
+    keys = F.array_distinct(F.concat(F.array(begin(F.replace(name, F.lit("_"), F.lit(" ")))), F.transform(words, begin)))
+    c = concepts.withColumn("__gram", F.explode(keys))
+    text = F.lower(query)
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+    q = queries.withColumn("__gram", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[grams(n) for n in range(1, GRAM + 1)]))))
+    met = q.join(c, "__gram").filter(concept_matches(F.col(query), F.col(concept), min_len))
+    # of the grams by which a pair meets, the first of the concept's own counts
+    held = F.filter(keys, lambda g: F.instr(text, g) > 0)
+    return met.filter(F.col("__gram") == F.try_element_at(held, F.lit(1))).drop("__gram")
 
 
 def top_of_group(df: DataFrame, by: str, order: list[Column | str], n: int) -> DataFrame:

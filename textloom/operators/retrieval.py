@@ -28,7 +28,7 @@ class Ranking:
 
 def matched_concepts(questions: DataFrame, concepts: DataFrame, most: int = 5, min_word_len: int = 3) -> DataFrame:
     """``query_id, concept_id``: concepts that a question (query_id, question) names, at most ``most`` (0: all)."""
-    hit = questions.join(concepts.select("concept_id"), graph.concept_matches(F.col("question"), F.col("concept_id"), min_word_len))
+    hit = graph.match_concepts(questions, concepts.select("concept_id"), "question", "concept_id", min_word_len)
     w = Window.partitionBy("query_id").orderBy("concept_id")
     ranked = hit.select("query_id", "concept_id", F.row_number().over(w).alias("r"))
     return (ranked.filter(F.col("r") <= most) if most else ranked).select("query_id", "concept_id")
@@ -52,11 +52,7 @@ def retrieve(questions: DataFrame, stored: DataFrame, edges: DataFrame, concepts
     ``chunks``: id, tradition, body.  Returns ``query_id, rank, id, tradition,
     score, body``; a chunk without a body has ''.
     """
-    if questions.limit(vectors.QUERY_ROWS + 1).count() > vectors.QUERY_ROWS:
-        raise ValueError(f"more than {vectors.QUERY_ROWS} questions: retrieve in blocks")
-    q = questions.select("query_id", F.col("vector").alias("__q"))
-    sim = stored.join(F.broadcast(q)).select("query_id", "id", vectors.cosine(F.col("vector"), F.col("__q")).alias("similarity")).filter(F.col("similarity") >= r.min_similarity)
-    top = sim.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))).filter(F.col("k") <= r.top_k).drop("k")
+    top = vectors.top_k(stored, questions.withColumnRenamed("query_id", "__question"), r.top_k, r.min_similarity, "id", "vector", query_key="__question").drop("rank")
     walked = graph_walk(matched_concepts(questions, concepts, r.max_concepts, r.min_word_len), edges)
     both = top.join(walked, ["query_id", "id"], "full_outer").join(chunks.select("id", "tradition"), "id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))

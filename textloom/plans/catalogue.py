@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.html import html_main_text
 from ..functions.llm_output import overflowed, repaired_json
 from ..functions.text import elide, natural_key, slug, token_estimate
-from ..operators import chunking, cleaning, graph, retrieval, review, tables, vectors
+from ..operators import chunking, cleaning, graph, parallels, retrieval, review, spans, tables, vectors
 from ..sources.files import downloader, scoped_links
 from ..streaming.review_stream import sessions, tumbling
 
@@ -408,20 +408,24 @@ def cross_group_pairs(spark, sf_dir):
     return vectors.cross_group_pairs(e, e.filter("vec_id % 20 = 0"), 5, -1.0).withColumn("similarity", F.round("similarity", 6))
 
 
-FUSED = f"""WITH f AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, {COS} AS similarity FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id WHERE {COS} >= 0.0),
-w AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, CASE v.vec_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 ELSE 0.4 END::DOUBLE AS tier_weight, (v.vec_id % 5) / 5.0::DOUBLE AS graph_score FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND v.label = q.label AND v.vec_id <> q.vec_id),
+FUSED = f"""WITH f AS (SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id, v.label, {COS} AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, v.vec_id) AS r FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id WHERE {COS} >= 0.0) WHERE r <= 10),
+t AS (SELECT vec_id, label, CASE vec_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 ELSE 0.4 END::DOUBLE AS tier_weight, (vec_id % 5) / 5.0::DOUBLE AS graph_score FROM embeddings),
+w AS (SELECT * FROM (SELECT q.vec_id AS query_id, t.*, row_number() OVER (PARTITION BY q.vec_id ORDER BY greatest(tier_weight, graph_score) DESC, t.vec_id) AS r FROM embeddings q JOIN t ON q.vec_id % 20 = 0 AND t.label = q.label AND t.vec_id <> q.vec_id) WHERE r <= 10),
 b AS (SELECT coalesce(f.query_id, w.query_id) AS query_id, coalesce(f.vec_id, w.vec_id) AS vec_id, coalesce(f.label, w.label) AS label, 0.7::DOUBLE * coalesce(similarity, 0) + 0.3::DOUBLE * greatest(coalesce(tier_weight, 0), coalesce(graph_score, 0)) AS base FROM f FULL JOIN w ON f.vec_id = w.vec_id AND f.query_id = w.query_id),
 s AS (SELECT query_id, vec_id, label, base + CASE WHEN row_number() OVER (PARTITION BY query_id, label ORDER BY base DESC, vec_id) = 1 THEN 0.1::DOUBLE ELSE 0 END AS score FROM b)"""
 
 
 def _fused(spark, sf_dir):
+    """The 10 best of each side are fused; all chunks of a label are walked to from its queries."""
     e = _t(spark, sf_dir, "embeddings")
     q = e.filter("vec_id % 20 = 0")
-    found = vectors.above(e, q, 0.0).join(e.select("vec_id", "label"), "vec_id").select("query_id", "vec_id", "label", "similarity")
+    found = vectors.top_k(e, q, 10, 0.0).join(e.select("vec_id", "label"), "vec_id").select("query_id", "vec_id", "label", "similarity")
     tier = F.element_at(F.array(F.lit("verified"), F.lit("proposed"), F.lit("inferred")), (F.col("vec_id") % 3 + 1).cast("int"))
-    walked = e.select("vec_id", "label").join(q.select(F.col("vec_id").alias("query_id"), "label"), "label").filter("vec_id <> query_id")
-    walked = walked.select("query_id", "vec_id", "label", graph.tier_weight(tier).alias("tier_weight"), ((F.col("vec_id") % 5) / 5.0).alias("graph_score"))
-    return vectors.fuse(found, walked, "vec_id", "label", query="query_id")
+    node = e.select("vec_id", "label", graph.tier_weight(tier).alias("tier_weight"), ((F.col("vec_id") % 5) / 5.0).alias("graph_score"))
+    best = [F.greatest("tier_weight", "graph_score").desc(), F.col("vec_id")]
+    node = graph.top_of_group(node, "label", best, 11).drop("group_rank")  # enough for 10 without the query itself
+    walked = node.join(q.select(F.col("vec_id").alias("query_id"), "label"), "label").filter("vec_id <> query_id")
+    return vectors.fuse(found, graph.top_of_group(walked, "query_id", best, 10).drop("group_rank"), "vec_id", "label", query="query_id")
 
 
 @_query(FUSED + " SELECT query_id, vec_id, label, round(score, 6) AS score FROM s")
@@ -448,11 +452,36 @@ def similarity_backfill(spark, sf_dir):
 EXPRESSES = "x AS (SELECT DISTINCT o_custkey AS chunk_id, l_partkey AS concept_id, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey), t AS (SELECT chunk_id, concept_id, CASE min(l_linenumber) WHEN 1 THEN 1.0 WHEN 2 THEN 0.7 ELSE 0.4 END::DOUBLE AS w FROM x GROUP BY ALL), e AS (SELECT t.*, c_nationkey AS tradition FROM t JOIN customer ON c_custkey = chunk_id)"
 
 
-@_query(f"WITH {EXPRESSES} SELECT a.chunk_id AS source, b.chunk_id AS target, round(sum(least(a.w, b.w)), 6) AS weight, string_agg(a.concept_id, ',' ORDER BY a.concept_id::VARCHAR) AS annotation FROM e a JOIN e b ON a.concept_id = b.concept_id AND a.chunk_id < b.chunk_id AND a.tradition <> b.tradition GROUP BY 1, 2 HAVING count(*) >= 2")
-def derived_parallels(spark, sf_dir):
+def _expressed(spark, sf_dir):
     li, o, c = (_t(spark, sf_dir, n) for n in ("lineitem", "orders", "customer"))
     x = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(F.col("o_custkey").alias("chunk_id"), F.col("l_partkey").cast("string").alias("concept_id"), F.when(F.col("l_linenumber") == 1, "verified").when(F.col("l_linenumber") == 2, "proposed").otherwise("inferred").alias("tier"))
-    return graph.derived_parallels(x, c.select(F.col("c_custkey").alias("chunk_id"), F.col("c_nationkey").alias("tradition")), 2)
+    return x, c.select(F.col("c_custkey").alias("chunk_id"), F.col("c_nationkey").alias("tradition"))
+
+
+@_query(f"WITH {EXPRESSES} SELECT a.chunk_id AS source, b.chunk_id AS target, round(sum(least(a.w, b.w)), 6) AS weight, string_agg(a.concept_id, ',' ORDER BY a.concept_id::VARCHAR) AS annotation FROM e a JOIN e b ON a.concept_id = b.concept_id AND a.chunk_id < b.chunk_id AND a.tradition <> b.tradition GROUP BY 1, 2 HAVING count(*) >= 2")
+def derived_parallels(spark, sf_dir):
+    return parallels.derived_parallels(*_expressed(spark, sf_dir), 2)
+
+
+@_query(f"WITH {EXPRESSES}, k AS (SELECT DISTINCT concept_id::VARCHAR AS concept_id FROM e ORDER BY 1 LIMIT 500) SELECT a.chunk_id AS source, b.chunk_id AS target, round(sum(least(a.w, b.w)), 6) AS weight, string_agg(a.concept_id, ',' ORDER BY a.concept_id::VARCHAR) AS annotation FROM e a JOIN e b ON a.concept_id = b.concept_id AND a.chunk_id < b.chunk_id AND a.tradition <> b.tradition WHERE a.concept_id::VARCHAR IN (FROM k) GROUP BY 1, 2")
+def derived_parallels_limited(spark, sf_dir):
+    """A run limited to 500 concepts: the limit is the feature."""
+    return parallels.derived_parallels(*_expressed(spark, sf_dir), limit_concepts=500)
+
+
+HOT = "x AS (SELECT doc_id, lang, source AS concept, CASE doc_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 ELSE 0.4 END::DOUBLE AS w FROM documents UNION ALL SELECT d.doc_id, d.lang, 'item ' || (d.doc_id % 97), 0.7::DOUBLE FROM documents d)"
+
+
+@_query(f"""WITH {HOT}, p AS (SELECT a.doc_id AS source, b.doc_id AS target, bool_or(a.concept NOT LIKE 'item %') AS implied, bool_or(a.concept LIKE 'item %') AS light FROM x a JOIN x b ON a.concept = b.concept AND a.doc_id < b.doc_id AND a.lang <> b.lang GROUP BY 1, 2)
+SELECT count(*) FILTER (light) AS rows, count(*) FILTER (implied)::BIGINT AS implied, count(*)::BIGINT AS links FROM p""")
+def derived_links(spark, sf_dir):
+    """Documents' sources as heavy concepts: the links are counted without a row a pair."""
+    d = _t(spark, sf_dir, "documents")
+    tier = F.element_at(F.array(F.lit("verified"), F.lit("proposed"), F.lit("inferred")), (F.col("doc_id") % 3 + 1).cast("int"))
+    e = d.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("concept_id"), tier.alias("tier"))
+    e = e.unionAll(d.select("doc_id", F.concat(F.lit("item "), F.col("doc_id") % 97), F.lit("proposed")))
+    mean = d.count() // 40  # sources have more documents than this, items fewer
+    return parallels.link_counts(parallels.factored(e, d.select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("tradition")), heavy=mean))
 
 
 @_query("""WITH c AS (SELECT DISTINCT p_type AS concept FROM part), q AS (SELECT DISTINCT p_name AS query FROM part)
@@ -461,9 +490,7 @@ def concept_match(spark, sf_dir):
     p = _t(spark, sf_dir, "part")
     c = p.select(F.col("p_type").alias("concept")).distinct()
     q = p.select(F.col("p_name").alias("query")).distinct()
-    if c.limit(5001).count() <= 5000:
-        c = F.broadcast(c)
-    return q.join(c, graph.concept_matches(F.col("query"), F.col("concept"))).select("query", "concept")
+    return graph.match_concepts(q, c).select("query", "concept")
 
 
 @_query("""WITH d AS (SELECT source, count(*) AS n, count(DISTINCT lang) AS langs, min(doc_id) AS first_doc FROM documents GROUP BY source)
@@ -491,7 +518,7 @@ p AS (SELECT work, span::INT AS span, min(seq) AS first_seq, max(seq) AS last_se
 
 def _plan(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select(F.col("source").alias("work"), F.col("doc_id").alias("seq"), token_estimate(F.col("text")).alias("token_count"))
-    return graph.span_plan(d)
+    return spans.span_plan(d)
 
 
 @_query(SPANS + " SELECT * FROM p")
@@ -499,9 +526,16 @@ def span_plan(spark, sf_dir):
     return _plan(spark, sf_dir)
 
 
+@_query(SPANS.replace("AS work, doc_id", "AS work, lang AS member, doc_id").replace("PARTITION BY source ORDER BY", "PARTITION BY source, lang ORDER BY").replace("f AS (SELECT work,", "f AS (SELECT work, member,").replace("SELECT c.work,", "SELECT c.work, c.member,").replace("c.work = f.work AND", "c.work = f.work AND c.member IS NOT DISTINCT FROM f.member AND").replace("p AS (SELECT work, span::INT", "p AS (SELECT work, member, row_number() OVER (PARTITION BY work ORDER BY member, span)::INT").replace("GROUP BY work, span)", "GROUP BY work, member, span)") + " SELECT * FROM p")
+def span_plan_members(spark, sf_dir):
+    """A span never crosses from one member of a grouped work to the next."""
+    d = _t(spark, sf_dir, "documents").select(F.col("source").alias("work"), F.col("lang").alias("member"), F.col("doc_id").alias("seq"), token_estimate(F.col("text")).alias("token_count"))
+    return spans.span_plan(d, member="member")
+
+
 @_query(SPANS + " SELECT work, count(*) AS spans, sum(tokens)::BIGINT AS tokens, count(*) = 1 AS degenerate FROM p GROUP BY work")
 def span_summary(spark, sf_dir):
-    return graph.plan_summary(_plan(spark, sf_dir))
+    return spans.plan_summary(_plan(spark, sf_dir))
 
 
 @_query("""WITH t AS (SELECT o_custkey AS id, l_partkey AS concept, max(CASE l_linenumber WHEN 1 THEN 1.0 WHEN 2 THEN 0.7 ELSE 0.4 END::DOUBLE) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_params, render
-from ..operators import chunking, cleaning, graph, review, tables
+from ..operators import chunking, cleaning, graph, review, spans, tables
 from ..sources.files import bodies_for
 from .catalogue import _query, _t
 
@@ -263,4 +263,4 @@ SELECT coalesce(p.work, q.work) AS work, coalesce(p.span, q.span) AS span, CASE
 def plan_changes(spark, sf_dir):
     p = _t(spark, sf_dir, "documents").select(F.col("source").alias("work"), F.col("doc_id").alias("span"), F.floor(F.char_length("text") / 4).alias("tokens"))
     q = p.filter("span % 7 <> 0").withColumn("tokens", F.when(F.col("span") % 9 == 0, 0).otherwise(F.col("tokens")).cast("long"))
-    return graph.plan_diff(p, q.union(spark.createDataFrame([("new", 1, 5)], "work string, span long, tokens long")), ["work", "span"])
+    return spans.plan_diff(p, q.union(spark.createDataFrame([("new", 1, 5)], "work string, span long, tokens long")), ["work", "span"])
