@@ -1,9 +1,12 @@
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from tokenizers import Tokenizer
 
+from textloom.llm import token_counts
 from textloom.llm.token_counts import PrefixCounter, count_tokens, prefix_counts, truncation_points, window_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -62,3 +65,31 @@ def test_long_pieces_take_linear_time_and_are_not_kept(both):
         assert got[-1] == len(t.encode(x, add_special_tokens=False).ids)
         assert got[1999] == len(t.encode(x[:2000], add_special_tokens=False).ids)
     assert max(map(len, c.pieces)) <= 128
+
+
+def test_pieces_of_more_tokens_than_16_bits_hold(spark, both):
+    c, t = both
+    texts = [" " * 100_000, "\t" + "qx" * 50_000, "漢字" * 25_000, " \n" * 40_000 + "x", "'" * 70_000, "a <|endoftext|>" + "\x85" * 40_000]
+    n = {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counted = count_tokens(df)
+    assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in counted.collect()} == {i: (len(x.encode()), n[i], n[i] > 1024) for i, x in enumerate(texts)}
+    for at in (10, 999, 33_000, 45_001):
+        got = {r.doc_id: r.n_tokens for r in window_tokens(counted, at).collect()}
+        assert got == {i: len(t.encode(x[:at], add_special_tokens=False).ids) for i, x in enumerate(texts)}, at
+
+
+def test_a_change_that_16_bits_do_not_hold():
+    for changes in ([1, 40_000, -50_000, 0], [1, 0, -1], []):
+        x = np.array(changes, np.int32)
+        assert token_counts._changes(token_counts._packed(x, zstandard.compress)).tolist() == changes
+
+
+def test_registered_query_over_whole_texts(spark, both, sf_dir):
+    from textloom.llm.queries import queries
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    want = {d.doc_id: (len((d.text or "").encode()), len(both[1].encode(d.text or "", add_special_tokens=False).ids)) for d in docs}
+    got = queries()["op1_token_counts"](spark, sf_dir).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in got} == want and len(got) == len(docs)
+    assert all(r.over_limit == (r.n_tokens > 1024) for r in got)

@@ -119,7 +119,7 @@ class PrefixCounter:
             before = len(run.encode())
             last = (whole or self.pieces[run.encode().decode("latin-1")])[before - 1] - tokens
             out = [whole[before + e - 1] - tokens for e in ends[:white]] + list(out[white:])
-        steps = np.diff(np.array(out, np.int16), prepend=np.int16(last)).tobytes()
+        steps = np.diff(np.array(out, np.int64), prepend=last).astype(np.int32).tobytes()
         return (steps, run + x, tokens + counts[-1]) if white == len(x) else (steps, "", 0)
 
     def _plain(self, text: str) -> int:
@@ -140,7 +140,7 @@ class PrefixCounter:
                 counts = [self._plain(x[: i + 1]) for i in range(len(x))]
             out.append(counts[0])
             out += map(sub, counts[1:], counts)
-        return array("h", out).tobytes()
+        return array("i", out).tobytes()
 
     def _cut(self, text: str) -> list[str]:
         """The pieces of a text without special strings."""
@@ -161,10 +161,10 @@ class PrefixCounter:
                 own = self._along(parts[k - 1])
                 done = int(own.sum())
                 inside = [int(self._along(parts[k - 1] + part[:i]).sum()) - done for i in range(1, len(part))]
-                out.append(np.diff(np.array([*inside, 1], np.int16), prepend=np.int16(0)).tobytes())
+                out.append(np.diff(np.array([*inside, 1], np.int64), prepend=0).astype(np.int32).tobytes())
             elif part:
                 out.append(self._along(part).tobytes())
-        return np.frombuffer(b"".join(out), np.int16)
+        return np.frombuffer(b"".join(out), np.int32)
 
     def _along(self, part: str) -> np.ndarray:
         out: list[bytes] = []
@@ -182,7 +182,7 @@ class PrefixCounter:
                 first, *rest = line.split(" ")
                 out.append(words[first])
                 out += [words[" " + x] for x in rest]
-        return np.frombuffer(b"".join(out), np.int16)
+        return np.frombuffer(b"".join(out), np.int32)
 
     def count(self, text: str) -> int:
         """Tokens of a whole text: the last of its prefix counts."""
@@ -210,7 +210,20 @@ def counter(name: str) -> PrefixCounter:
     return _counters[name]
 
 
+#: Comes before changes of 32 bits; changes of 16 begin with the compressor's own first byte.
+WIDE = b"W"
+
+
+def _packed(changes: np.ndarray, compress) -> bytes:
+    """Changes in 16 bits each, or in 32 where one is too large."""
+    if len(changes) and max(int(changes.max()), -int(changes.min())) >= 1 << 15:
+        return WIDE + compress(changes.tobytes())
+    return compress(changes.astype(np.int16).tobytes())
+
+
 def _changes(packed: bytes) -> np.ndarray:
+    if packed[:1] == WIDE:
+        return np.frombuffer(zstandard.decompress(packed[1:]), np.int32)
     return np.frombuffer(zstandard.decompress(packed), np.int16)
 
 
@@ -225,11 +238,12 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", budget:
 
     Returns one row per input row: ``doc_id``, ``n_bytes`` (UTF-8), ``n_tokens``,
     ``over_limit`` (n_tokens > budget), ``fit_chars`` (the most characters that
-    fit the budget) and ``prefix_changes``: 16-bit changes of the count at each
-    character, compressed (see ``prefix_counts``).  A null text counts as empty
+    fit the budget) and ``prefix_changes``: the changes of the count at each
+    character, in 16 bits or, for a text with a larger one, 32, compressed (see
+    ``prefix_counts``).  A null text counts as empty
     (0 tokens, no changes); a null doc_id stays null; repeated rows each give a
     row; columns other than doc_id and text are neither read nor kept; an empty
-    table gives none.  Whole texts: memory is two bytes a character of the
+    table gives none.  Whole texts: memory is a few bytes a character of the
     longest one, and long pieces are not remembered.  One pass, no shuffle.
     """
 
@@ -243,7 +257,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", budget:
                     size.append(len((x or "").encode()))
                     n.append(int(own.sum()))
                     fit.append(_longest(own, budget) if n[-1] > budget else len(x or ""))
-                    packed.append(pack(own.tobytes()))
+                    packed.append(_packed(own, pack))
             cols = [pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > budget for x in n], pa.bool_()), pa.array(fit, pa.int64()), pa.array(packed, pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars", "prefix_changes"])
 
