@@ -138,6 +138,40 @@ def test_apply_tags(spark):
     assert rows(same) == rows(edges)
 
 
+def test_a_spawned_row_takes_part_in_its_batch(spark):
+    t = spark.createDataFrame([(i, "c", f"k{i}", 3, False, None, "pending", "m", None) for i in range(1, 7)], TAG)
+    one = spark.range(1).select(*[review.spawned_id(F.lit(i).cast("long"), F.lit("z")).alias(f"s{i}") for i in range(1, 8)]).first()
+    deep = spark.range(1).select(review.spawned_id(F.lit(one.s4).cast("long"), F.lit("y")).alias("d")).first().d
+    acts = [
+        ("tag", 1, "reassign", "z", None, "1a"), ("tag", one.s1, "accept", None, None, "1b"),
+        ("tag", 2, "reassign", "z", None, "2a"), ("tag", one.s2, "reject", None, None, "2b"), ("tag", one.s2, "skip", None, None, "2c"),
+        ("tag", one.s3, "reject", None, None, "3a"), ("tag", 3, "reassign", "z", None, "3b"),  # before there is such a row
+        ("tag", 4, "reassign", "z", None, "4a"), ("tag", one.s4, "reassign", "y", None, "4b"), ("tag", deep, "reject", None, None, "4c"),
+        ("tag", 5, "reassign", "z", None, "5a"), ("tag", one.s5, "reject", None, None, "5b"), ("tag", 5, "accept", None, None, "5c"),  # the spawned row is gone
+        ("tag", one.s7, "accept", None, None, "7"),  # of no tag
+    ]
+    e = spark.createDataFrame([], "source_id string, target_id string, type string, tier string")
+    n = spark.createDataFrame([], "id string, type string, label string, definition string")
+    q = actions(spark, *acts)
+    tags, edges, _ = review.apply_tags(t, q, e, n)
+    got = dict(rows(tags, "id", "status"))
+    assert got == {1: "reassigned", one.s1: "accepted", 2: "reassigned", one.s2: "rejected", 3: "reassigned", one.s3: "accepted", 4: "reassigned", one.s4: "reassigned", deep: "rejected", 5: "accepted", 6: "pending"}
+    assert {r.id: r.concept_id for r in tags.filter("id > 100").collect()} == {one.s1: "z", one.s2: "z", one.s3: "z", one.s4: "z", deep: "y"}
+    assert rows(edges, "target_id") == [("concept.k5",), ("concept.z",)]
+    empty = {"staged_edges": spark.createDataFrame([], "id long, status string"), "staged_cleanups": spark.createDataFrame([], "id long, status string, words_preserved boolean")}
+    assert rows(review.refused({"staged_tags": t, **empty}, q)) == [(14, "unknown target")]
+    again = review.apply_tags(tags, q, edges, n)
+    assert rows(again[0]) == rows(tags) and rows(again[1]) == rows(edges)
+
+
+def test_many_actions_on_one_tag(spark):
+    """They pass through in order; the last decides."""
+    t = spark.createDataFrame([(1, "c", "k", 3, False, None, "pending", "m", None)], TAG)
+    verb = F.element_at(F.array(F.lit("accept"), F.lit("reject"), F.lit("reassign")), (F.col("id") % 3 + 1).cast("int"))
+    q = spark.range(30_000).select("id", F.lit("tag").alias("target_table"), F.lit(1).cast("long").alias("target_id"), verb.alias("action"), F.when(verb == "reassign", "z").alias("reassign_to"), F.lit(None).cast("string").alias("reclassify_to"), F.lit("me").alias("reviewer"), F.col("id").cast("string").alias("client_action_id"), F.lit(None).cast("string").alias("applied_at"))
+    assert rows(review.fold_tag_actions(t, q), "parent", "verb") == [(1, None), (None, "reassign")]
+
+
 def test_apply_edges_and_cleanups(spark):
     s = spark.createDataFrame([(1, "a", "b", "PARALLELS", 0.9, "pending", "proposed"), (2, "a", "c", "PARALLELS", 0.8, "pending", "proposed"), (3, "a", "d", "PARALLELS", 0.1, "pending", "inferred"), (4, "a", "e", "PARALLELS", 0.9, "pending", "proposed")], "id long, source_chunk string, target_chunk string, edge_type string, confidence double, status string, tier string")
     e = spark.createDataFrame([("a", "c", "PARALLELS", "inferred"), ("a", "z", "BELONGS_TO", "verified")], "source_id string, target_id string, type string, tier string")

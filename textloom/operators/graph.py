@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .tables import insert_ignore
 
 TIER_WEIGHTS = {"verified": 1.0, "proposed": 0.7, "inferred": 0.4}
@@ -98,6 +99,25 @@ def canonical_pairs(pairs: DataFrame, a: str = "source_chunk", b: str = "target_
     return pairs.withColumns({"pair_a": F.least(a, b), "pair_b": F.greatest(a, b), "presentation_order": F.when(F.col(a) <= F.col(b), "ab").otherwise("ba")})
 
 
+def walk(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """``seed, id, depth``: all nodes within ``depth`` edges (source_id to target_id) of each seed (id), at their least depth.
+
+    Each step goes on from the nodes that the step before has found, and a node
+    seen from a seed is not seen again: cycles end.  The steps' tables stay in the
+    shared folder, which the result reads.
+    """
+    e = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("to")).distinct()
+    new = seeds.select(F.col("id").alias("seed"), "id").distinct().withColumn("depth", F.lit(0))
+    seen = new
+    for k in range(1, depth + 1):
+        step = new.join(e, "id").select("seed", F.col("to").alias("id")).distinct().join(seen.select("seed", "id"), ["seed", "id"], "left_anti")
+        new = stored(step.withColumn("depth", F.lit(k)), "frontier")
+        if new.isEmpty():
+            break
+        seen = seen.unionByName(new)
+    return seen
+
+
 def works(texts: DataFrame, declared: DataFrame) -> DataFrame:
     """``work_id, label, tradition, members, grouped``: declared works, and each other text on its own."""
     member = declared.select("id", F.explode("members").alias("text_id"))

@@ -6,9 +6,13 @@ versions of the staged tables, edges and nodes; nothing is updated in place.
 
 from __future__ import annotations
 
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .cleaning import fresh_cleanups
 
 VERBS = {"tag": ["accept", "reject", "skip", "reassign"], "edge": ["accept", "reject", "skip", "reclassify"], "cleanup": ["accept", "reject", "skip", "reclassify"]}
@@ -85,21 +89,103 @@ def _last(queue: DataFrame, table: str) -> DataFrame:
     return live.groupBy(F.col("target_id").alias("id")).agg(F.max_by(F.struct("action", "reassign_to", "reclassify_to", "reviewer"), "id").alias("act"))
 
 
+def spawned_id(row: Column, concept: Column) -> Column:
+    """The id of the row that a reassignment of ``row`` to ``concept`` spawns."""
+    return F.lit(SPAWNED) + (F.xxhash64(row, concept) % SPAWNED)
+
+
+def _rooted(tags: DataFrame, live: DataFrame) -> DataFrame:
+    """The actions with ``root``, the staged tag that their target is or descends from; without those of no tag.
+
+    A step up the chain of reassignments is a join, of the actions alone whose
+    target is not found yet.
+    """
+    parent = live.filter("action = 'reassign'").select(F.col("spawn").alias("__at"), F.col("target_id").alias("__parent")).distinct()
+    there = tags.select(F.col("id").alias("__at"))
+    rest = live.withColumn("__at", F.col("target_id"))
+    found = rest.join(there, "__at", "left_semi")
+    rest = rest.join(there, "__at", "left_anti")
+    while not rest.isEmpty():
+        rest = rest.join(parent, "__at").withColumn("__at", F.col("__parent")).drop("__parent")
+        found = found.unionByName(rest.join(there, "__at", "left_semi"))
+        rest = rest.join(there, "__at", "left_anti")
+    return found.withColumnRenamed("__at", "root")
+
+
+def _fold_tag(actions) -> list[tuple]:
+    """The rows (id, parent, concept, verb, reviewer) of one tag after its actions in order.
+
+    An action on a row replaces what an earlier one did to it; a row spawned by a
+    reassignment that no longer stands is gone, with what was done to it.
+    """
+    rows: dict[int, list] = {}
+    for root, target, verb, to, who, spawn in actions:
+        row = rows.setdefault(root, [None, None, None, None, None])
+        row = rows.get(target)
+        if row is None:
+            continue
+        child = row[4]
+        while child is not None:
+            child = rows.pop(child)[4]
+        row[2:] = [verb, who, spawn if verb == "reassign" else None]
+        if verb == "reassign":
+            rows[spawn] = [target, to, None, who, None]
+    return [(i, *r[:4]) for i, r in rows.items()]
+
+
+def fold_tag_actions(tags: DataFrame, queue: DataFrame) -> DataFrame:
+    """``root, id, parent, concept_id, verb, reviewer``: what unapplied tag actions, in the order of their ids, make of each
+    tag and of the rows that reassignments in the batch spawn (``parent`` null: the tag itself).
+
+    Skips have no effect, nor have actions on rows that are gone.  The actions of
+    one tag pass through a task in order and are not gathered.
+    """
+    live = queue.filter("target_table = 'tag' AND applied_at IS NULL AND action <> 'skip'").select("id", "target_id", "action", "reassign_to", "reviewer")
+    live = live.withColumn("spawn", spawned_id(F.col("target_id"), F.col("reassign_to")))
+    kind = queue.schema["target_id"].dataType.simpleString()
+    cols = ["root", "target_id", "action", "reassign_to", "reviewer", "spawn"]
+    in_order = _rooted(tags, live).repartition("root").sortWithinPartitions("root", "id").select(*cols)
+    out_type = [("root", 0), ("id", 0), ("parent", 0), ("concept_id", 3), ("verb", 2), ("reviewer", 4)]
+
+    def fold(batches):
+        def rows():
+            nonlocal types
+            for b in batches:
+                types = b.schema
+                yield from zip(*(b.column(c).to_pylist() for c in range(len(cols))))
+
+        types, made = None, []
+        for root, own in groupby(rows(), key=lambda r: r[0]):
+            made += [(root, *r) for r in _fold_tag(own)]
+            if len(made) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, types.field(k).type) for c, (_, k) in zip(zip(*made), out_type)], names=[n for n, _ in out_type])
+                made = []
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(c, types.field(k).type) for c, (_, k) in zip(zip(*made), out_type)], names=[n for n, _ in out_type])
+
+    return in_order.mapInArrow(fold, f"root {kind}, id {kind}, parent {kind}, concept_id string, verb string, reviewer string")
+
+
 def apply_tags(tags: DataFrame, queue: DataFrame, edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The next staged_tags, edges and nodes.
 
     accept: an EXPRESSES edge (score 2 or 3: verified, else proposed) and, for
     a new concept, its node with the definition.  reject: the edge goes, unless
     another tag of the pair is accepted.  reassign: the row is 'reassigned' and
-    an accepted one for the other concept follows it.  Tags already resolved
-    are not touched.
+    an accepted one for the other concept follows it, on which later actions of
+    the batch can act (see ``spawned_id``).  Tags already resolved are not
+    touched.
     """
-    a = tags.join(_last(queue, "tag"), "id", "left")
-    acts = (F.col("status") == "pending") & F.col("act").isNotNull()
-    status = F.when(acts & (F.col("act.action") == "accept"), "accepted").when(acts & (F.col("act.action") == "reject"), "rejected").when(acts & (F.col("act.action") == "reassign"), "reassigned").otherwise(F.col("status"))
-    done = a.withColumn("__new", F.when(acts, status)).withColumn("reviewed_by", F.when(acts, F.col("act.reviewer")).otherwise(F.col("reviewed_by"))).withColumn("status", status)
-    spawned = done.filter("__new = 'reassigned'").withColumns({"concept_id": F.col("act.reassign_to"), "status": F.lit("accepted"), "__new": F.lit("accepted"), "is_new_concept": F.lit(False), "id": F.lit(SPAWNED) + (F.xxhash64("id", "act.reassign_to") % SPAWNED)})
-    done = done.unionByName(spawned)
+    pending = tags.filter("status = 'pending'")
+    folded = stored(fold_tag_actions(pending, queue), "folded")  # read for tags, edges and nodes alike
+    own = folded.filter("parent IS NULL").select(F.col("root").alias("id"), F.col("verb").alias("__verb"), F.col("reviewer").alias("__who"))
+    named = lambda verb: F.when(verb == "accept", "accepted").when(verb == "reject", "rejected").when(verb == "reassign", "reassigned")
+    a = tags.join(own, "id", "left")
+    done = a.withColumns({"__new": named(F.col("__verb")), "status": F.coalesce(named(F.col("__verb")), "status"), "reviewed_by": F.coalesce("__who", "reviewed_by")}).drop("__verb", "__who")
+    child = folded.filter("parent IS NOT NULL").select(F.col("root").alias("__root"), F.col("id").alias("__id"), F.col("concept_id").alias("__concept"), F.col("verb").alias("__verb"), F.col("reviewer").alias("__who"))
+    state = F.coalesce(named(F.col("__verb")), F.lit("accepted"))
+    spawned = pending.join(child, F.col("id") == F.col("__root")).withColumns({"id": F.col("__id"), "concept_id": F.col("__concept"), "__new": state, "status": state, "is_new_concept": F.lit(False), "reviewed_by": F.col("__who")})
+    done = done.unionByName(spawned.select(*done.columns))
     tier = F.when(F.col("score") >= 2, "verified").otherwise("proposed")
     key = ["source_id", "target_id", "type"]
     pair = [F.col("chunk_id").alias("source_id"), F.concat(F.lit("concept."), "concept_id").alias("target_id"), F.lit("EXPRESSES").alias("type")]
@@ -156,6 +242,9 @@ def refused(tables: dict[str, DataFrame], queue: DataFrame, bodies: DataFrame |
     for table, name in key.items():
         mine = live.filter(F.col("target_table") == table)
         at = tables[name].select(F.col("id").alias("target_id"), "status")
+        if table == "tag":  # rows that the batch itself spawns are open to it
+            born = mine.filter("action = 'reassign'").select(spawned_id(F.col("target_id"), F.col("reassign_to")).alias("target_id"), F.lit("pending").alias("status")).distinct()
+            at = at.unionByName(born.join(at, "target_id", "left_anti"))
         rows = mine.join(at, "target_id", "left")
         parts.append(rows.select("id", F.when(F.col("status").isNull(), "unknown target").when(F.col("status") != "pending", "already resolved").alias("error")))
     accepts = live.filter("target_table = 'cleanup' AND action = 'accept'").select("id", "target_id")
@@ -171,23 +260,24 @@ def refused(tables: dict[str, DataFrame], queue: DataFrame, bodies: DataFrame |
     return rows.filter("error IS NOT NULL").groupBy("id").agg(F.min("error").alias("error"))
 
 
-def apply_batch(store, at: Column, commit: bool = False, bodies: DataFrame | None = None) -> dict:
-    """Apply the queue to the store's tables; with ``commit``, all of them are published at once.
+def apply_batch(store, at: Column, commit: bool = False, bodies: DataFrame | None = None, queue: DataFrame | None = None, **how) -> dict:
+    """Apply the queue (``queue``, or the store's) to the store's tables; with ``commit``, all of them are published
+    at once (``how``: see ``Store.commit``).
 
     Returns ``errors`` (DataFrame id, error), ``tables`` (the next versions) and
     ``versions`` (what was published; none without ``commit``).  Refused actions
-    are not marked as applied.
+    are not marked as applied.  What the tables are made from stays in the shared
+    folder until they are written.
     """
-    names = ["staged_tags", "staged_edges", "staged_cleanups", "edges", "nodes", "review_actions"]
-    t = {n: store.read(n) for n in names}
-    queue = t["review_actions"]
-    errors = refused(t, queue, bodies)
-    good = queue.join(errors.select("id"), "id", "left_anti")
+    t = {n: store.read(n) for n in ("staged_tags", "staged_edges", "staged_cleanups", "edges", "nodes")}
+    queue = store.read("review_actions") if queue is None else queue
+    errors = stored(refused(t, queue, bodies), "refused")
+    good = stored(queue.join(errors.select("id"), "id", "left_anti"), "good")  # each of the tables reads it
     tags, edges, nodes = apply_tags(t["staged_tags"], good, t["edges"], t["nodes"])
     staged, edges = apply_edges(t["staged_edges"], good, edges)
     done = mark_applied(good, at).unionByName(queue.join(errors.select("id"), "id", "left_semi"))
     out = {"staged_tags": tags, "staged_edges": staged, "staged_cleanups": apply_cleanups(t["staged_cleanups"], good, bodies), "edges": edges, "nodes": nodes, "review_actions": done}
-    return {"errors": errors, "tables": out, "versions": store.commit(out) if commit else {}}
+    return {"errors": errors, "tables": out, "versions": store.commit(out, **how) if commit else {}}
 
 
 def mark_applied(queue: DataFrame, at: Column) -> DataFrame:

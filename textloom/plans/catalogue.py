@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.html import html_main_text
 from ..functions.llm_output import overflowed, repaired_json
 from ..functions.text import elide, natural_key, slug, token_estimate
-from ..operators import chunking, cleaning, graph, parallels, retrieval, review, spans, tables, vectors
+from ..operators import chunking, cleaning, graph, parallels, retrieval, review, spans, tables, temporal, vectors
 from ..sources.files import downloader, scoped_links
 from ..streaming.review_stream import sessions, tumbling
 
@@ -570,6 +570,40 @@ def overflow_canary(spark, sf_dir):
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", overflowed(F.col("text")).alias("overflow"))
 
 
+# --- joins by time, walks ---
+
+
+@_query("""WITH p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), c AS (SELECT event_id AS click_id, user_id, ts AS click_ts FROM events WHERE event_type = 'click')
+SELECT event_id, user_id, ts, click_id, click_ts FROM (SELECT p.*, click_id, click_ts, row_number() OVER (PARTITION BY event_id ORDER BY click_ts DESC, click_id DESC) AS r FROM p LEFT JOIN c ON c.user_id = p.user_id AND c.click_ts <= p.ts) WHERE r = 1""")
+def as_of_click(spark, sf_dir):
+    """Each purchase with the user's last click before it."""
+    e = _t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    p = e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    c = e.filter("event_type = 'click'").select(F.col("event_id").alias("click_id"), "user_id", F.col("ts").alias("click_ts"))
+    out = temporal.as_of(p, c, ["user_id"], "ts", "click_ts", ["click_id"], width=7 * 86400)
+    return out.withColumns({k: F.col(k).cast("timestamp_ntz") for k in ("ts", "click_ts")})
+
+
+@_query("""WITH i AS (SELECT event_id AS purchase_id, user_id, ts AS s, ts + INTERVAL 1 MINUTE * (60 + event_id % 5 * 2000) AS e FROM events WHERE event_type = 'purchase')
+SELECT v.event_id, i.purchase_id, v.user_id FROM events v JOIN i ON v.user_id = i.user_id AND v.ts >= i.s AND v.ts < i.e WHERE v.event_type = 'view'""")
+def views_after_purchase(spark, sf_dir):
+    """Views within one hour to six days of a purchase, as the purchase says."""
+    e = _t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    i = e.filter("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), "user_id", F.col("ts").alias("s"), F.expr("ts + make_dt_interval(0, 0, 60 + event_id % 5 * 2000)").alias("e"))
+    v = e.filter("event_type = 'view'").select("event_id", "user_id", "ts")
+    return temporal.in_intervals(v, i, ["user_id"], "ts", "s", "e").select("event_id", "purchase_id", "user_id")
+
+
+@_query("""WITH RECURSIVE n AS (SELECT count(*) AS n FROM embeddings), e AS (SELECT vec_id AS a, (vec_id * 7 + 3) % n AS b FROM embeddings, n UNION SELECT vec_id, (vec_id * vec_id + 1) % n FROM embeddings, n),
+w AS (SELECT vec_id AS seed, vec_id AS id, 0 AS depth FROM embeddings WHERE vec_id % 20 = 0 UNION SELECT w.seed, e.b, w.depth + 1 FROM w JOIN e ON e.a = w.id WHERE w.depth < 4)
+SELECT seed, id, min(depth)::INT AS depth FROM w GROUP BY seed, id""")
+def walk_four_edges(spark, sf_dir):
+    v = _t(spark, sf_dir, "embeddings")
+    n, i = v.count(), F.col("vec_id")
+    to = F.explode(F.array((i * 7 + 3) % n, (i * i + 1) % n))
+    return graph.walk(v.select(i.alias("source_id"), to.alias("target_id")), v.filter("vec_id % 20 = 0").select(i.alias("id")), 4)
+
+
 # --- extensions beyond the reference ---
 
 

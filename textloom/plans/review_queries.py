@@ -141,6 +141,27 @@ def apply_tags_edges(spark, sf_dir):
     return review.apply_tags(t, _acts(spark, sf_dir), _edges(t), nodes)[1].select("source_id", "target_id", "tier")
 
 
+@_query(f"""WITH {TAGS}, {ACTS}, w AS (SELECT target_id AS id, arg_max(id, id) AS e FROM acts WHERE action <> 'skip' GROUP BY target_id),
+d AS (SELECT t.*, CASE WHEN t.status = 'pending' THEN k.act END AS act, k.who, w.e FROM tags t LEFT JOIN deciding k ON k.id = t.id LEFT JOIN w ON w.id = t.id)
+SELECT id AS tag, 0 AS generation, concept_id, CASE act WHEN 'accept' THEN 'accepted' WHEN 'reject' THEN 'rejected' WHEN 'reassign' THEN 'reassigned' ELSE status END AS status, CASE WHEN act IS NOT NULL THEN who END AS reviewed_by FROM d
+UNION ALL SELECT id, 1, 'k9', CASE e % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'reassigned' END, 'second' FROM d WHERE act = 'reassign'
+UNION ALL SELECT id, 2, 'k8', CASE WHEN e % 5 < 2 THEN 'rejected' ELSE 'accepted' END, 'third' FROM d WHERE act = 'reassign' AND e % 3 = 2""")
+def respawned_tags(spark, sf_dir):
+    """Rows that a reassignment spawns are accepted again, rejected or reassigned in the same batch."""
+    t = _tags(spark, sf_dir)
+    first = _acts(spark, sf_dir).withColumn("e", F.col("id"))
+    spawn = lambda row, to: review.spawned_id(row, F.lit(to))
+    born = first.filter("action = 'reassign'").withColumn("target_id", spawn(F.col("target_id"), "k9"))
+    verb = F.element_at(F.array(F.lit("accept"), F.lit("reject"), F.lit("reassign")), (F.col("e") % 3 + 1).cast("int"))
+    second = born.withColumns({"id": F.col("e") * 4 + 1, "action": verb, "reassign_to": F.when(verb == "reassign", "k8"), "reviewer": F.lit("second")})
+    third = second.filter("action = 'reassign'").withColumns({"id": F.col("e") * 4 + 2, "target_id": spawn(F.col("target_id"), "k8"), "action": F.when(F.col("e") % 5 < 2, "reject").otherwise("accept"), "reassign_to": F.lit(None).cast("string"), "reviewer": F.lit("third")})
+    queue = first.withColumn("id", F.col("e") * 4).unionByName(second).unionByName(third).drop("e")
+    nodes = spark.createDataFrame([], "id string, type string, label string, definition string")
+    done = review.apply_tags(t, queue, _edges(t), nodes)[0]
+    generation = F.when(F.col("id") < review.SPAWNED / 2, 0).when(F.col("concept_id") == "k9", 1).otherwise(2)
+    return done.select(F.regexp_extract("new_concept_def", r"(\d+)", 1).cast("long").alias("tag"), generation.alias("generation"), "concept_id", "status", "reviewed_by")
+
+
 @_query("""WITH s AS (SELECT vec_id AS id, CASE vec_id % 3 WHEN 0 THEN 'accepted' ELSE 'pending' END AS status FROM embeddings),
 a AS (SELECT user_id AS id, arg_max(event_id % 3, event_id) AS v FROM events GROUP BY user_id)
 SELECT s.id, CASE WHEN s.status = 'pending' AND v = 2 THEN 'unrelated' ELSE 'PARALLELS' END AS edge_type, CASE WHEN s.status = 'pending' AND v = 0 THEN 'accepted' WHEN s.status = 'pending' AND v IS NOT NULL THEN 'rejected' ELSE s.status END AS status,
