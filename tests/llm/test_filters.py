@@ -241,3 +241,23 @@ def test_sharded_files_hold_every_row_once(spark, tmp_path):
     sharding.write_shards(df, str(tmp_path / "out"), limit=70)
     got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("doc_id", "text", "n_bytes").collect()]
     assert sorted(got, key=str) == sorted(rows, key=str)
+
+
+def test_write_shards_beside_columns_of_its_names(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "text " * 5, f"own{i}", i, "r") for i in range(40)], "doc_id long, text string, shard string, __row int, bits string")
+    sharding.write_shards(docs, str(tmp_path / "out"), limit=100)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert set(back.columns) == {*docs.columns, "shard_"}
+    assert sorted(map(tuple, back.select(*docs.columns).collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_a_dirty_label_column(spark):
+    """600 labels for 600 rows: the most frequent are learned, in bounded time and memory."""
+    clean = [(i, "the cat and the dog are here" if i % 2 else "el gato y el perro estan alli", "en" if i % 2 else "es") for i in range(60)]
+    rows = clean + [(100 + i, f"word{i} and so on", f"junk{i:03}") for i in range(600)] + [(900, "x " * 400_000, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    crf = language.train(docs, labels=8, size=1 << 20)
+    assert {"en", "es"} < set(crf.langs) and len(crf.langs) == 8
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs.filter("doc_id < 10"), crf).collect()}
+    assert got == {i: "en" if i % 2 else "es" for i in range(10)}
+    assert len(language.train(docs).langs) == language.LABELS

@@ -13,12 +13,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS = 16
 #: At most this many labelled rows for each language, those with the smallest hash, are learned from, whole.
 SAMPLE = 400
+#: Languages that are learned, the most frequent ones, and the bytes of text that they are learned from.
+LABELS = 64
+SAMPLE_BYTES = 64 << 20
 STEP = 64  # words in a segment of the chain
 WORDS_KEPT = 150_000
 SLICE = 1024  # texts that are Python strings at a time
@@ -153,9 +156,9 @@ def fit(rows: list[tuple[str, list[str]]], steps: int = 260, batch: int = 32, le
             beta[t] = b / b.sum(1, keepdims=True)
         p = alpha * beta
         p /= p.sum(2, keepdims=True)
-        pair = alpha[:-1, :, :, None] * m * (e[1:] * beta[1:])[:, :, None, :]
-        pair /= pair.sum((2, 3), keepdims=True)
-        g_m = -pair.sum((0, 1)) / batch
+        after = e[1:] * beta[1:]  # the chance of a transition is before * m * after, normed at each place
+        before = alpha[:-1] / ((alpha[:-1] @ m) * after).sum(2, keepdims=True)
+        g_m = -m * (before.reshape(-1, n_lang).T @ after.reshape(-1, n_lang)) / batch
         np.add.at(g_m, (gold[:-1].ravel(), gold[1:].ravel()), 1 / batch)
         g = -p
         np.put_along_axis(g, gold[:, :, None], np.take_along_axis(g, gold[:, :, None], 2) + 1, 2)
@@ -175,12 +178,23 @@ def _each(words: list[str]) -> list[np.ndarray]:
     return np.split(flat, np.cumsum(n)[:-1])
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Crf:
-    """Fit on at most ``sample`` whole rows a language of ``docs`` (text, lang)."""
+def train(docs: DataFrame, sample: int = SAMPLE, labels: int = LABELS, size: int = SAMPLE_BYTES) -> Crf:
+    """Fit on at most ``sample`` whole rows a language of ``docs`` (text, lang), for the ``labels`` most frequent
+    languages (ties: by name), in all at most ``size`` bytes of text.
+
+    Rows of other labels count as not labelled, as do null labels and null texts.  A
+    language gets an equal share of the bytes; a row longer than it is not learned
+    from.  Repeated rows may be drawn each; a table without labels gives a model that
+    answers ``und``.
+    """
     rows = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
     # a row's hash falls under the bound for about ``sample`` rows of its language; a row a language
-    n = rows.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("of"), (1.3 * sample / F.col("n")).alias("share"))
+    n = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(labels).select(F.col("lang").alias("of"), (1.3 * sample / F.col("n")).alias("share"))
     rows = rows.join(F.broadcast(n), F.col("lang") == F.col("of")).filter((F.pmod("h", F.lit(1 << 30)) / (1 << 30)) < F.col("share"))
+    most = size // max(1, n.count())
+    rows = rows.withColumn("bytes", F.octet_length("text")).filter(F.col("bytes") <= most)
+    sofar = F.sum("bytes").over(Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("sofar", sofar).filter(F.col("sofar") <= most)
 
     def lettered_rows(batches):
         for b in batches:
@@ -244,7 +258,8 @@ class Labeller:
 def identify(docs: DataFrame, crf: Crf, keep: list[str] | None = None) -> DataFrame:
     """Adds ``lang_pred`` and ``score`` to the columns ``keep`` (default: doc_id).
 
-    Whole texts; ``und`` with score 0 if the text is null, empty or has no
+    Whole texts, of any length: segments are labelled side by side, in memory in
+    proportion to the text; ``und`` with score 0 if the text is null, empty or has no
     letter, or nothing was learned.  Ids may be null or repeat; an empty table
     gives no rows; the labels of ``docs`` are not read.
     """

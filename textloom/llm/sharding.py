@@ -11,6 +11,7 @@ go on to the next block.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -70,12 +71,17 @@ def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, tasks: int = 20
 
     Every row is written once: the shard travels by a row number that a table
     in the shared folder fixes, so null and repeated ids are allowed.  A task
-    writes several shards, each whole, where there are more than ``tasks``.
+    writes several shards, each whole, where there are more than ``tasks``.  All
+    columns are kept as they are; where one is named ``shard``, the folders are
+    named ``shard_``.  An empty table writes no folders.
     """
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    at = written(assign_shards(rows, limit=limit, row="__row"), "shards")
-    whole = rows.join(at.select("__row", F.concat(F.lit("b"), "shard").alias("shard")), "__row").drop("__row")
+    row, folder = f"row-{uuid.uuid4().hex}", "shard"
+    while folder.lower() in map(str.lower, docs.columns):
+        folder += "_"
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    at = written(assign_shards(rows, limit=limit, row=row), "shards")
+    whole = rows.join(at.select(row, F.concat(F.lit("b"), "shard").alias(folder)), row).drop(row)
     n = max(1, at.select("shard").distinct().count())
-    whole.repartition(min(n, tasks), "shard").write.partitionBy("shard").parquet(path)
+    whole.repartition(min(n, tasks), folder).write.partitionBy(folder).parquet(path)
     discard(rows)
     return at.groupBy("shard").agg(F.max("shard_bytes").alias("shard_bytes"), F.max("shard_docs").alias("shard_docs"))
