@@ -1,6 +1,7 @@
 """Cleaning, readability, chunking and model-output operators, by example."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,3 +205,15 @@ def test_odd_html_and_json_do_not_crash(spark):
     assert html.main_text("<body><h2>Footnotes</h2><p>kept</p><font size='-2'>small</font></body>") == "Footnotes\nkept\nsmall"
     assert llm_output.repair_json("[" * n) == [] and llm_output.repair_json("[" * n + "]" * n) == []
     assert llm_output._dumped('[{"a": 1}, {"b"') == '[{"a": 1}]'
+
+
+def test_html_and_json_in_linear_time():
+    n = 100_000
+    began = time.perf_counter()
+    page = html.main_text("<main>" + "".join(f"<a name=x{i}>w{i} <b>" for i in range(n)))
+    assert len(page.split()) == n
+    assert html.main_text("<main>" + "<h3>t<a>" * 20_000).split() == ["t"] * 20_000
+    half = ",".join(['{"k":1}'] * (n // 2))
+    assert len(llm_output.repair_json(f"[{half},{{oops}},{half}")) == n // 2
+    assert len(llm_output.repair_json(f"[{half},{half},{{")) == n
+    assert time.perf_counter() - began < 60  # quadratic, it takes many minutes

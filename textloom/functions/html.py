@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "main", "ul", "ol", "table", "blockquote", "pre"}
 #: Elements that end an open element of these names when they start.
-ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "a": {"a"}}
 SKIP = {"script", "style", "nav", "header", "footer", "noscript", "template"}
 
 
@@ -46,7 +46,7 @@ class _Tree(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         own = ENDS.get(tag, {"p"} if tag in BLOCKS else ())
-        while self.open[-1].tag in own or (tag in ENDS and self.open[-1].tag == "p"):
+        while self.open[-1].tag in own or (tag in ENDS and tag != "a" and self.open[-1].tag == "p"):
             self._close()
         n = Node(tag, attrs)
         self.open[-1].children.append(n)
@@ -94,18 +94,48 @@ def containers(root: Node, tags=("main", "article")) -> list[Node]:
     return out
 
 
+def _shown(root: Node) -> set[int]:
+    """The ids of nodes that hold text or a picture, told from the leaves up in one pass."""
+    nodes = [root, *_walk(root)]  # parents before children
+    text, picture = set(), set()
+    for n in reversed(nodes):
+        for c in n.children:
+            if isinstance(c, str):
+                if c.strip():
+                    text.add(id(n))
+            else:
+                if id(c) in text and c.tag not in SKIP:
+                    text.add(id(n))
+                if c.tag == "img" or id(c) in picture:
+                    picture.add(id(n))
+    return text | picture
+
+
+def _begin(n: Node, most: int) -> str:
+    """The beginning of a node's text without the space around it: no more of it is read than ``most`` letters need."""
+    out, size, todo = [], 0, [n]
+    while todo and size <= most:
+        n = todo.pop()
+        if isinstance(n, str):
+            out.append(n)
+            size += len(n.strip())
+        elif n.tag not in SKIP:
+            todo += reversed(n.children)
+    return "".join(out).strip()
+
+
 def strip_apparatus(n: Node) -> Node:
     """Drop small print, superscripts, empty anchors, and an h3 'Footnotes' with all that follows it."""
-    todo = [n]
+    todo, shown = [n], _shown(n)
     while todo:
         own, kept = todo.pop(), []
         for c in own.children:
             if not isinstance(c, str):
                 if c.tag == "sup" or c.tag == "font" and c.attrs.get("size") == "1":
                     continue
-                if c.tag == "a" and not c.text().strip() and not any(x.tag == "img" for x in _walk(c)):
+                if c.tag == "a" and id(c) not in shown:
                     continue
-                if c.tag == "h3" and c.text().strip().lower().rstrip(":") == "footnotes":
+                if c.tag == "h3" and _begin(c, 20).lower().rstrip(":") == "footnotes":
                     break
                 todo.append(c)
             kept.append(c)

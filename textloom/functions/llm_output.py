@@ -6,6 +6,7 @@ Named for what they read; nothing here calls a model.
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,39 +16,51 @@ from pyspark.sql.types import StringType
 OVERFLOW_FLOOR = 5000
 
 
+#: A string, whole or cut off by the end, or a bracket.
+MARKS = re.compile(r'"(?:[^"\\]|\\.)*+(?:"|\\?\Z)|[\[\]{}]', re.DOTALL)
+SPACE = re.compile(r"[ \t\n\r]*")
+DECODE = json.JSONDecoder().raw_decode
+
+
+def _elements(text: str, at: int) -> list:
+    """The elements of an array that begins at ``at``, up to the last object or array before the first that cannot be read."""
+    out, whole = [], 0
+    i = SPACE.match(text, at + 1).end()
+    while i < len(text):
+        try:
+            x, i = DECODE(text, i)
+        except ValueError:
+            break
+        out.append(x)
+        if isinstance(x, (dict, list)):
+            whole = len(out)
+        i = SPACE.match(text, i).end()
+        if text[i : i + 1] != ",":
+            break
+        i = SPACE.match(text, i + 1).end()
+    return out[:whole]
+
+
 def repair_json(text: str | None):
-    """The first JSON object or array in a text; of a truncated array, its complete elements; else []."""
+    """The first JSON object or array in a text; of one that is never closed, if it is an array, the elements before the
+    first that is broken or cut off; else [].  Takes time in proportion to the text."""
     text = text or ""
     at = min((i for i in (text.find("["), text.find("{")) if i >= 0), default=-1)
     if at < 0:
         return []
-    depth, quoted, escaped, ends, first = 0, False, False, [], text[at]
-    for i in range(at, len(text)):
-        c = text[i]
-        if quoted:
-            quoted, escaped = escaped or c != '"', not escaped and c == "\\"
-        elif c == '"':
-            quoted = True
-        elif c in "[{":
-            depth += 1
-        elif c in "]}":
-            depth -= 1
-            if depth == 0:
-                try:
-                    return json.loads(text[at : i + 1])
-                except (ValueError, RecursionError):
-                    return []
-            if depth == 1:
-                ends.append(i)
-    if first == "[":
-        for i in reversed(ends):
-            try:
-                return json.loads(text[at : i + 1] + "]")
-            except ValueError:
-                continue
-            except RecursionError:
-                return []
-    return []
+    depth = 0
+    try:
+        for m in MARKS.finditer(text, at):
+            c = m.group()
+            if c in "[{":
+                depth += 1
+            elif c in "]}":
+                depth -= 1
+                if depth == 0:
+                    return json.loads(text[at : m.end()])
+        return _elements(text, at) if text[at] == "[" else []
+    except (ValueError, RecursionError):
+        return []
 
 
 def _dumped(x: str | None) -> str:

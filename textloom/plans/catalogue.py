@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.html import html_main_text
-from ..functions.llm_output import overflowed, repaired_json
+from ..functions.llm_output import json_elements, overflowed, repaired_json
 from ..functions.text import elide, natural_key, slug, token_estimate
 from ..operators import chunking, cleaning, graph, parallels, retrieval, review, spans, tables, temporal, vectors
 from ..sources.files import downloader, scoped_links
@@ -90,6 +90,17 @@ def chunk_regex(spark, sf_dir):
     return chunking.split_regex(_t(spark, sf_dir, "documents"), r"^(\w+)[.,]", label="Sutra {n}", group_size=2)
 
 
+NUMBERED = r"""l AS (SELECT doc_id, k, regexp_replace(parts[k], '^\s+|\s+$', '', 'g') AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)))"""
+
+
+@_query(f"WITH {NUMBERED} SELECT doc_id, ((k + 1) // 2)::INT AS n, 'Part ' || min(k) AS section, coalesce(string_agg(line, chr(10) || chr(10) ORDER BY k) FILTER (line <> ''), '') AS body FROM l GROUP BY doc_id, (k + 1) // 2")
+def chunk_regex_numbered(spark, sf_dir):
+    """Documents whose lines are numbered sections, in bundles of two."""
+    line = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("#"), i + 1, F.lit("# "), x))
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("before\n"), F.array_join(line, "\n")).alias("text"))
+    return chunking.split_regex(d, r"^#(\d+)#", label="Part {n}", group_size=2)
+
+
 @_query("SELECT doc_id, (length(text) // 4)::BIGINT AS tokens FROM documents")
 def token_estimates(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", token_estimate(F.col("text")).alias("tokens"))
@@ -219,6 +230,15 @@ def html_text(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", html_main_text("html").alias("body"))
 
 
+@_query(f"WITH {NUMBERED} SELECT doc_id, string_agg(regexp_replace(line, '[ \\t\\r\\f\\v]+', ' ', 'g'), chr(10) ORDER BY k) AS body FROM l WHERE line <> '' GROUP BY doc_id")
+def html_planted(spark, sf_dir):
+    """Documents as pages: a paragraph a line, with a menu, unclosed anchors, small print and footnotes that go."""
+    escaped = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    body = F.array_join(F.transform(F.split(escaped, "\n"), lambda x, i: F.concat(F.lit("<a name='n"), i, F.lit("'><p>"), x, F.lit("<sup>7</sup></p>"))), "")
+    page = F.concat(F.lit("<html><head><style>a{}</style></head><body><nav>menu</nav><main>"), body, F.lit("<font size=1>small</font><a href='#'></a></main><article><h3>Footnotes:</h3><p>gone</p></article></body></html>"))
+    return _t(spark, sf_dir, "documents").select("doc_id", html_main_text(page).alias("body")).filter("body <> ''")
+
+
 @_query(r"""SELECT page_id, CASE WHEN regexp_matches(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '(^|\.)gnosis\.org$') THEN 'gnosis_org' WHEN page_id % 4 = 0 THEN 'sacred_texts' WHEN page_id % 4 = 1 THEN 'generic_html' WHEN page_id % 4 = 2 THEN 'sefaria' END AS module FROM pages""")
 def downloader_dispatch(spark, sf_dir):
     kind = F.element_at(F.array(*map(F.lit, ["html_multi", "html", "sefaria_api", "pdf"])), (F.col("page_id") % 4 + 1).cast("int"))
@@ -565,6 +585,22 @@ def json_repair(spark, sf_dir):
     return c.select("conv_id", "turn", repaired_json("text").alias("fixed"))
 
 
+@_query("""WITH p AS (SELECT user_id, list(json_extract_string(props, '$.k')::INT ORDER BY event_id) AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY user_id)
+SELECT user_id, len(kept)::INT AS n, coalesce(list_sum(kept), 0)::BIGINT AS total FROM (SELECT user_id, CASE WHEN user_id % 4 = 2 THEN k[1:len(k) // 2] WHEN user_id % 4 = 3 THEN [] ELSE k END AS kept FROM p)""")
+def json_planted(spark, sf_dir):
+    """A user's events as model output: a whole array, one cut off in an element, one with a broken element half-way, one closed but broken."""
+    k = F.get_json_object("props", "$.k")
+    e = _t(spark, sf_dir, "events").filter(k.isNotNull()).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "props"))).alias("e"))
+    own = F.transform("e", lambda x: x["props"])
+    half = (F.size("e") / 2).cast("int")
+    joined = lambda a: F.array_join(a, ", ")
+    broken = F.concat(joined(F.slice(own, F.lit(1), half)), F.when(half > 0, ", ").otherwise(""), F.lit("{oops}, "), joined(F.slice(own, half + 1, F.size("e"))))
+    kind = F.col("user_id") % 4
+    tail = F.when(kind == 0, F.concat(joined(own), F.lit("]\n```"))).when(kind == 1, F.concat(joined(own), F.lit(', {"k": "cut ]'))).when(kind == 2, broken).otherwise(F.concat(broken, F.lit("]")))
+    fixed = json_elements(F.concat(F.lit("Here it is:\n["), tail), "struct<k:int>")
+    return e.select("user_id", fixed.alias("x")).select("user_id", F.size("x").alias("n"), F.aggregate("x", F.lit(0).cast("long"), lambda s, x: s + x["k"]).alias("total"))
+
+
 @_query("SELECT conv_id, turn, length(text) > 5000 AND regexp_matches(text, 'Thinking Process|Final list') AND NOT regexp_matches(text, '[\\]}]') AS overflow FROM conversations")
 def overflow_canary(spark, sf_dir):
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", overflowed(F.col("text")).alias("overflow"))
