@@ -83,9 +83,11 @@ def merge_concept(edges: DataFrame, tags: DataFrame, nodes: DataFrame, alias: Da
     """The next edges, tags, nodes and alias rows once concepts (alias, canonical) are one.
 
     Edges and tags move to the canonical concept, the old name becomes an
-    alias, and a concept node that nothing names any more goes.
+    alias, and a concept node that nothing names any more goes.  Aliases may be
+    given as node ids ('concept.x') or as concept ids ('x').
     """
-    bare = lambda c: F.expr(f"substr({c}, 9)")
+    bare = lambda c: F.regexp_replace(c, r"^concept\.", "")
+    alias = alias.select(*[F.concat(F.lit("concept."), bare(c)).alias(c) for c in ("alias", "canonical")])
     moved = retarget_concept(edges, alias)
     m = alias.select(bare("alias").alias("concept_id"), bare("canonical").alias("__to"))
     new_tags = tags.join(m, "concept_id", "left").withColumn("concept_id", F.coalesce("__to", "concept_id")).select(*tags.columns)

@@ -160,3 +160,26 @@ def missing_tables(spark, expected: list[str], found: list[str]) -> list[str]:
 
 def drop_ids(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return df.join(ids.select(key), key, "left_anti")
+
+
+def changes(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """``change, n``: how many rows of a table are added, removed and changed, told by its key."""
+    rest = [c for c in old.columns if c not in key]
+    a = old.select(*key, F.struct(*rest).alias("__a"), F.lit(True).alias("__old"))
+    b = new.select(*key, F.struct(*rest).alias("__b"), F.lit(True).alias("__new"))
+    same = [a[c].eqNullSafe(b[c]) for c in key]
+    what = F.when(F.col("__old").isNull(), "added").when(F.col("__new").isNull(), "removed").when(~F.col("__a").eqNullSafe(F.col("__b")), "changed")
+    return a.join(b, same, "full_outer").select(what.alias("change")).filter("change IS NOT NULL").groupBy("change").agg(F.count("*").alias("n"))
+
+
+def plan_or_apply(store, new: dict[str, DataFrame], keys: dict[str, list[str]], commit: bool = False) -> dict:
+    """What a change of the store's tables would do: ``plan`` (table, change, n); with ``commit``, it is published at once.
+
+    Without ``commit`` nothing is written.  ``versions``: what was published.
+    """
+    parts = [changes(store.read(t), df, keys[t]).select(F.lit(t).alias("table"), "change", "n") for t, df in new.items()]
+    plan = parts[0]
+    for p in parts[1:]:
+        plan = plan.unionByName(p)
+    rows = [tuple(r) for r in plan.orderBy("table", "change").collect()]  # three rows a table
+    return {"plan": rows, "versions": store.commit(new) if commit else {}}

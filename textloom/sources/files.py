@@ -13,7 +13,7 @@ CHUNK = "path string, id string, tradition string, text_name string, section str
 TEXT = "path string, tradition_dir string, tradition string, text_id string, text_name string, translator string, source_url string, sections_format string, chunk_count int"
 
 
-def _toml(spark: SparkSession, root: str, glob: str, schema: str, row) -> DataFrame:
+def _toml(spark: SparkSession, root: str | list[str], glob: str, schema: str, row) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     names = [x.strip().rpartition(" ")[0] for x in schema.split(", ")]
 
@@ -50,6 +50,11 @@ def read_chunks(spark: SparkSession, root: str) -> DataFrame:
     return _toml(spark, root, "*.toml", CHUNK, _chunk)
 
 
+def read_chunk_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The chunks of these files alone."""
+    return _toml(spark, paths, "*.toml", CHUNK, _chunk)
+
+
 def read_texts(spark: SparkSession, root: str) -> DataFrame:
     """A row for each ``metadata.toml``; the text's name defaults to its id."""
     return _toml(spark, root, "metadata.toml", TEXT, _text)
