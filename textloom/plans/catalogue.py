@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import splitters
 from ..functions.html import html_main_text
 from ..functions.llm_output import json_elements, overflowed, repaired_json
 from ..functions.text import elide, natural_key, slug, token_estimate
-from ..operators import chunking, cleaning, graph, parallels, retrieval, review, spans, tables, temporal, vectors
+from ..operators import chunking, cleaning, graph, parallels, retrieval, review, sketches, spans, tables, temporal, vectors
 from ..sources.files import downloader, scoped_links
 from ..streaming.review_stream import sessions, tumbling
 
@@ -101,6 +102,19 @@ def chunk_regex_numbered(spark, sf_dir):
     return chunking.split_regex(d, r"^#(\d+)#", label="Part {n}", group_size=2)
 
 
+@_query(_SQL["chunk_regex_numbered"])
+def split_by_table_function(spark, sf_dir):
+    """The same sections from SQL: the configuration decides the columns."""
+    line = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("#"), i + 1, F.lit("# "), x))
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("before\n"), F.array_join(line, "\n")).alias("text"))
+    return splitters.split_by(d, kind="regex", pattern=r"^#(\d+)#", label="Part {n}", group_size=2)
+
+
+@_query(f"WITH {LINES} SELECT doc_id, i::INT AS n, line AS body FROM lines")
+def lines_by_table_function(spark, sf_dir):
+    return splitters.split_by(_t(spark, sf_dir, "documents"), kind="lines")
+
+
 @_query("SELECT doc_id, (length(text) // 4)::BIGINT AS tokens FROM documents")
 def token_estimates(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", token_estimate(F.col("text")).alias("tokens"))
@@ -640,6 +654,19 @@ def walk_four_edges(spark, sf_dir):
     return graph.walk(v.select(i.alias("source_id"), to.alias("target_id")), v.filter("vec_id % 20 = 0").select(i.alias("id")), 4)
 
 
+@_query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS exact, true AS distinct_holds, true AS quantiles_hold FROM events GROUP BY event_type")
+def sketches_over_versions(spark, sf_dir):
+    """Sketches of each week, merged: distinct users within 6 % and quantiles within 0.04 of their rank."""
+    e = _t(spark, sf_dir, "events").withColumn("week", F.date_trunc("week", "ts"))
+    shares = [0.1, 0.5, 0.9]
+    m = sketches.merged(sketches.sketched(e, ["event_type", "week"], "user_id", "value"), ["event_type"], shares)
+    rank = [F.avg((F.col("value") <= F.col("quantiles")[k]).cast("double")) - s for k, s in enumerate(shares)]
+    near = F.greatest(*[F.abs(r) for r in rank]) <= 0.04
+    off = F.abs(F.first("n_distinct") / F.count_distinct("user_id") - 1) <= 0.06
+    both = e.join(m.withColumnRenamed("n", "counted"), "event_type").groupBy("event_type")
+    return both.agg(F.first("counted").alias("n"), F.count_distinct("user_id").alias("exact"), off.alias("distinct_holds"), near.alias("quantiles_hold"))
+
+
 # --- extensions beyond the reference ---
 
 
