@@ -7,15 +7,20 @@ staged tags, events for review actions, lineitem and orders for tags.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import splitters
+from ..functions import models, splitters
 from ..functions.html import html_main_text
 from ..functions.llm_output import json_elements, overflowed, repaired_json
 from ..functions.text import elide, natural_key, slug, token_estimate
 from ..operators import chunking, cleaning, graph, parallels, retrieval, review, sketches, spans, tables, temporal, vectors
-from ..sources.files import downloader, scoped_links
+from ..sources import chunk_writer
+from ..sources.files import downloader, read_chunks, scoped_links
+from ..sources.shared import shared_dir
+from ..sources.store import Store
 from ..streaming.review_stream import sessions, tumbling
 
 _QUERIES: dict = {}
@@ -163,10 +168,10 @@ RESIDUE = [
     ("left [Pg 12] right ", ""),
     ("", "\n\nEnd of the Project Gutenberg EBook\nmore"),
     ("Errata\n\n", ""),
-    ("native {p. vi} word ", ""),
-    ("lxvii} ", " {p. "),
-    ("p. 81\n\n", ""),
-    ("see [1], and [27]. ", " J.B. Hare, redactor of it."),
+    ("the river {p. xiv} bends ", ""),
+    ("xiii} ", " {p. "),
+    ("p. 304\n\n", ""),
+    ("see [3], and [44]. ", " J.B. Hare, redactor of it."),
     ("", ""),
 ]
 _PLANTED = "CASE doc_id % 11 " + " ".join(f"WHEN {i} THEN '{a}' || text || '{z}'" for i, (a, z) in enumerate(RESIDUE)) + " END"
@@ -567,6 +572,14 @@ def span_plan_members(spark, sf_dir):
     return spans.span_plan(d, member="member")
 
 
+@_query(SPANS + """, o AS (SELECT work, span, tokens, row_number() OVER (PARTITION BY work ORDER BY span) AS i FROM p),
+g AS (SELECT work, span, tokens, i, 1 AS fold, tokens AS acc FROM o WHERE i = 1 UNION ALL
+SELECT o.work, o.span, o.tokens, o.i, CASE WHEN g.acc + o.tokens <= 20000 THEN g.fold ELSE g.fold + 1 END, CASE WHEN g.acc + o.tokens <= 20000 THEN g.acc + o.tokens ELSE o.tokens END FROM g JOIN o ON o.work = g.work AND o.i = g.i + 1)
+SELECT work, fold::INT AS fold, min(span) AS first_seq, max(span) AS last_seq, count(*) AS chunks, sum(tokens)::BIGINT AS tokens FROM g GROUP BY work, fold""")
+def span_folds(spark, sf_dir):
+    return spans.fold_spans(_plan(spark, sf_dir), 20_000)
+
+
 @_query(SPANS + " SELECT work, count(*) AS spans, sum(tokens)::BIGINT AS tokens, count(*) = 1 AS degenerate FROM p GROUP BY work")
 def span_summary(spark, sf_dir):
     return spans.plan_summary(_plan(spark, sf_dir))
@@ -590,6 +603,63 @@ def picker_filter(spark, sf_dir):
     return retrieval.picker(n, "1", "1")
 
 
+@_query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def not_embedded(spark, sf_dir):
+    done = _t(spark, sf_dir, "labels").select("doc_id")
+    return models.missing(_t(spark, sf_dir, "documents"), done, "doc_id").select("doc_id")
+
+
+# --- the store and chunk files, in the shared folder ---
+
+
+@_query("""SELECT 'customer' AS name, count(*) AS rows, 'restored' AS state FROM customer UNION ALL SELECT 'nation', count(*), 'kept' FROM nation
+UNION ALL SELECT 'part', (SELECT count(*) FROM part WHERE p_partkey % 2 = 0), 'replaced' UNION ALL SELECT 'swept', 2, 'versions'""")
+def snapshot_restored(spark, sf_dir):
+    """Tables are pinned, replaced and published again; what nothing names is swept."""
+    s = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    t = {n: _t(spark, sf_dir, n) for n in ("customer", "nation", "part")}
+    s.commit(t)
+    s.snapshot(["customer", "nation"], "first", {"balances": ("customer", "c_acctbal > 0")})
+    s.commit({"customer": t["customer"].filter("c_acctbal > 0"), "part": t["part"].filter("p_partkey % 2 = 0")})
+    s.restore("first")
+    gone = sum(map(len, s.sweep().values()))
+    states = {"customer": "restored", "nation": "kept", "part": "replaced"}
+    found = tables.manifest({n: s.read(n) for n in states}).select(F.col("label").alias("name"), F.col("n").alias("rows"))
+    named = F.create_map(*[F.lit(x) for kv in states.items() for x in kv])
+    return found.withColumn("state", named[F.col("name")]).unionByName(spark.range(1).select(F.lit("swept").alias("name"), F.lit(gone).cast("long").alias("rows"), F.lit("versions").alias("state")))
+
+
+def _chunk_files(spark, sf_dir):
+    root = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    c = _t(spark, sf_dir, "documents").select(F.concat_ws(".", "source", "lang", F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("tradition"), F.col("text").alias("body"))
+    chunk_writer.write_chunks(c, root, commit=True)
+    return root
+
+
+CHUNKS_SQL = "SELECT source || '.' || lang || '.' || doc_id AS id, source AS tradition, length(text) // 4 AS token_count, md5(text) AS digest FROM documents"
+
+
+@_query(CHUNKS_SQL)
+def chunk_files(spark, sf_dir):
+    """Documents written as a TOML file a chunk, and read back."""
+    back = read_chunks(spark, _chunk_files(spark, sf_dir))
+    return back.select("id", "tradition", F.col("token_count").cast("long").alias("token_count"), F.md5(F.col("body").cast("binary")).alias("digest"))
+
+
+@_query(CHUNKS_SQL.replace("documents", "documents WHERE doc_id % 10 <> 3") + " UNION ALL SELECT source || '.' || lang || '.' || doc_id, source, (length(text) + 1) // 4, md5(text || '!') FROM documents WHERE doc_id % 10 = 3")
+def bodies_refreshed(spark, sf_dir):
+    """A tenth of the chunk files changes; the body table rereads those alone."""
+    root = _chunk_files(spark, sf_dir)
+    s = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    first = chunk_writer.refresh_bodies(spark, s, root)
+    c = _t(spark, sf_dir, "documents").filter("doc_id % 10 = 3").select(F.concat_ws(".", "source", "lang", F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("tradition"), F.concat("text", F.lit("!")).alias("body"))
+    chunk_writer.write_chunks(c, root, commit=True)
+    again = chunk_writer.refresh_bodies(spark, s, root)
+    if again["parsed"] + again["kept"] != first["parsed"] or again["gone"]:
+        raise ValueError(f"files parsed: {first}, then {again}")
+    return s.read("chunk_bodies").select("id", "tradition", F.col("token_count").cast("long").alias("token_count"), F.md5(F.col("body").cast("binary")).alias("digest"))
+
+
 # --- model output ---
 
 

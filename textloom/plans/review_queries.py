@@ -6,13 +6,17 @@ review actions, documents for chunks.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_params, render
 from ..operators import chunking, cleaning, graph, review, spans, tables
 from ..sources.files import bodies_for
-from .catalogue import _query, _t
+from ..sources.shared import shared_dir
+from ..sources.store import Store
+from .catalogue import _SQL, _query, _t
 
 TAGS = """tags AS (SELECT doc_id AS id, 'd' || (doc_id // 2) AS chunk_id, 'k' || (doc_id // 2 % 3) AS concept_id, (quality + 2 * toxic)::INT AS score, doc_id % 5 = 0 AS is_new_concept, 'about ' || doc_id AS new_concept_def,
   CASE doc_id % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'pending' END AS status, CASE WHEN doc_id % 7 < 4 THEN 'm1' ELSE 'm2' END AS model FROM labels)"""
@@ -141,6 +145,21 @@ def apply_tags_edges(spark, sf_dir):
     return review.apply_tags(t, _acts(spark, sf_dir), _edges(t), nodes)[1].select("source_id", "target_id", "tier")
 
 
+@_query(_SQL["apply_tags_edges"])
+def batch_applied(spark, sf_dir):
+    """The whole batch through the store: refused actions aside, all tables published at once, the edges read back."""
+    s = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    t = _tags(spark, sf_dir)
+    none = {
+        "staged_edges": "id long, source_chunk string, target_chunk string, edge_type string, confidence double, status string, tier string",
+        "staged_cleanups": "id long, chunk_id string, words_preserved boolean, status string, original_body string",
+        "nodes": "id string, type string, label string, definition string",
+    }
+    s.commit({"staged_tags": t, "edges": _edges(t), "review_actions": _acts(spark, sf_dir)} | {n: spark.createDataFrame([], k) for n, k in none.items()})
+    review.apply_batch(s, F.lit("2026-01-01"), commit=True)
+    return s.read("edges").select("source_id", "target_id", "tier")
+
+
 @_query(f"""WITH {TAGS}, {ACTS}, w AS (SELECT target_id AS id, arg_max(id, id) AS e FROM acts WHERE action <> 'skip' GROUP BY target_id),
 d AS (SELECT t.*, CASE WHEN t.status = 'pending' THEN k.act END AS act, k.who, w.e FROM tags t LEFT JOIN deciding k ON k.id = t.id LEFT JOIN w ON w.id = t.id)
 SELECT id AS tag, 0 AS generation, concept_id, CASE act WHEN 'accept' THEN 'accepted' WHEN 'reject' THEN 'rejected' WHEN 'reassign' THEN 'reassigned' ELSE status END AS status, CASE WHEN act IS NOT NULL THEN who END AS reviewed_by FROM d
