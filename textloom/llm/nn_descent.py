@@ -249,15 +249,14 @@ def nearest(rows: DataFrame, is_query, k: int = 10) -> DataFrame:
     members = ids.join(nodes, "v").select("node", "vec_id")
     coded = written(_coded(nodes), "coded")
     graph = build_graph(coded)
-    asked = rows.filter(is_query).groupBy("v").agg(F.collect_set("vec_id").alias("asked"))
-    own = nodes.join(asked, "v").select(F.col("node").alias("q"), F.col("v").alias("qv"), "asked")
-    own = written(own, "queries")
+    asked = written(rows.filter(is_query).distinct().join(nodes, "v").select(F.col("node").alias("q"), F.col("vec_id").alias("query_id")), "asked")  # a row a query, however many share a vector
+    own = written(nodes.join(asked.select(F.col("q").alias("node")).distinct(), "node").select(F.col("node").alias("q"), F.col("v").alias("qv")), "queries")
     entries = nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(ENTRIES)
     starts = own.select("q", F.col("q").alias("node")).unionByName(own.select("q").join(F.broadcast(entries)))
     found = search(graph, coded, coded.join(own.select(F.col("q").alias("node")), "node", "left_semi"), starts)
     found = written(_measured(found, nodes, own.select("q", "qv")), "found")
     discard(coded)
     discard(graph)
-    rows = found.join(members, "node").join(own.select("q", F.explode("asked").alias("query_id")), "q").filter("vec_id <> query_id")
+    rows = found.join(members, "node").join(asked, "q").filter("vec_id <> query_id")
     w = Window.partitionBy("query_id").orderBy("d", "vec_id")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("d").alias("score"))
