@@ -77,23 +77,25 @@ def group_paragraphs(df: DataFrame, key: str = "doc_id", text: str = "text", sep
     holds ``target`` paragraphs.  A paragraph is never split; a text without
     one gives a single empty chunk.
     """
-    tokens = lambda c: F.floor(F.char_length(c) / 4)
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n"))
-
-    def add(s, p):
-        joined = F.concat(s["cur"], F.lit(separator), p)
-        over = (s["n"] > 0) & (tokens(joined) > max_tokens)
-        cur = F.when((s["n"] == 0) | over, p).otherwise(joined)
-        n = F.when((s["n"] == 0) | over, 1).otherwise(s["n"] + 1)
-        done = F.when(over, F.array_append(s["done"], s["cur"])).otherwise(s["done"])
-        full = n >= target
-        return F.struct(F.when(full, F.array_append(done, cur)).otherwise(done).alias("done"), F.when(full, "").otherwise(cur).alias("cur"), F.when(full, 0).otherwise(n).alias("n"))
+    # the fold is over lengths: it keeps where chunks end, and every body is joined once
+    start = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("size"))
+
+    def add(s, size):
+        joined = s["size"] + len(separator) + size
+        over = (s["n"] > 0) & (F.floor(joined / 4) > max_tokens)
+        new = over | (s["n"] == 0)
+        ends = F.when(over, F.array_append(s["ends"], s["at"])).otherwise(s["ends"])
+        full = F.when(new, 1).otherwise(s["n"] + 1) >= target
+        n = F.when(full, 0).when(new, 1).otherwise(s["n"] + 1)
+        return F.struct(F.when(full, F.array_append(ends, s["at"] + 1)).otherwise(ends).alias("ends"), (s["at"] + 1).alias("at"), n.alias("n"), F.when(new, size).otherwise(joined).alias("size"))
 
     def end(s):
-        return F.when((s["n"] > 0) | (F.size(s["done"]) == 0), F.array_append(s["done"], s["cur"])).otherwise(s["done"])
+        return F.when((s["n"] > 0) | (F.size(s["ends"]) == 0), F.array_append(s["ends"], s["at"])).otherwise(s["ends"])
 
-    bodies = F.aggregate(paragraphs(F.col(text), separator), start, add, end)
-    rows = df.select(key, F.posexplode(bodies).alias("at", "body"))
+    cut = df.select(key, paragraphs(F.col(text), separator).alias("p"))
+    cut = cut.select(key, "p", F.aggregate(F.transform("p", F.char_length), start, add, end).alias("ends"))
+    body = lambda e, k: F.array_join(F.slice("p", F.coalesce(F.get("ends", k - 1), F.lit(0)) + 1, e - F.coalesce(F.get("ends", k - 1), F.lit(0))), separator)
+    rows = cut.select(key, F.posexplode(F.transform("ends", body)).alias("at", "body"))
     n = F.col("at") + 1
     named = F.replace(F.replace(F.lit(label), F.lit("{heading}"), F.concat(F.lit("Section "), n.cast("string"))), F.lit("{n}"), n.cast("string"))
     return rows.select(key, n.alias("n"), named.alias("section"), "body", token_estimate(F.col("body")).alias("token_count"))
@@ -106,21 +108,20 @@ def split_headings(df: DataFrame, heading: str, key: str = "doc_id", text: str =
     heading line is not in the body; a bundle takes its first section's
     heading, and bodies that are empty do not join.
     """
-    lines = df.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\R")).alias("pos", "line"))
-    lines = lines.withColumn("is_head", strip(F.col("line")).rlike(f"^(?:{heading})").cast("int"))
-    lines = lines.withColumn("sec", F.sum("is_head").over(Window.partitionBy(key).orderBy("pos")))
-    body = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: x["line"]), "\n")
-    secs = lines.groupBy(key, "sec").agg(
-        F.max(F.when(F.col("is_head") == 1, strip(F.col("line")))).alias("heading"),
-        body(F.collect_list(F.when(F.col("is_head") == 0, F.struct("pos", "line")))).alias("body"),
-    )
-    secs = secs.withColumn("body", strip(F.col("body"))).filter((F.col("sec") > 0) | (F.col("body") != ""))
-    secs = secs.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy("sec")))
-    secs = secs.withColumn("n", (F.floor((F.col("k") - 1) / group_size) + 1).cast("int"))
-    out = secs.groupBy(key, "n").agg(F.coalesce(F.min_by("heading", "k"), F.lit("")).alias("heading"), F.array_sort(F.collect_list(F.struct("k", "body"))).alias("parts"))
-    joined = F.array_join(F.filter(F.transform("parts", lambda p: p["body"]), lambda b: b != ""), "\n\n")
-    named = F.replace(F.replace(F.lit(label), F.lit("{n}"), F.col("n").cast("string")), F.lit("{heading}"), F.col("heading"))
-    return out.select(key, "n", named.alias("section"), joined.alias("body"))
+    cut = df.select(key, F.split(F.coalesce(F.col(text), F.lit("")), r"\R").alias("l"))
+    at = F.transform("l", lambda x, i: F.when(strip(x).rlike(f"^(?:{heading})"), i))
+    cut = cut.select(key, "l", F.filter(at, lambda i: i.isNotNull()).alias("h"))
+    joined = lambda lo, n: strip(F.array_join(F.slice("l", lo, n), "\n"))
+    one = lambda x, k: F.struct(strip(F.get("l", x)).alias("heading"), joined(x + 2, F.coalesce(F.get("h", k + 1), F.size("l")) - x - 1).alias("body"))
+    before = joined(F.lit(1), F.coalesce(F.get("h", F.lit(0)), F.size("l")))
+    cut = cut.select(key, F.transform("h", one).alias("own"), before.alias("before"))
+    first = F.when(F.col("before") != "", F.array(F.struct(F.lit("").alias("heading"), F.col("before").alias("body")))).otherwise(F.array().cast("array<struct<heading:string,body:string>>"))
+    cut = cut.select(key, F.concat(first, "own").alias("secs")).filter(F.size("secs") > 0)
+    bundles = F.transform(F.sequence(F.lit(1), F.size("secs"), F.lit(group_size)), lambda k: F.slice("secs", k, group_size))
+    out = cut.select(key, F.posexplode(bundles).alias("at", "parts")).withColumn("n", F.col("at") + 1)
+    body = F.array_join(F.filter(F.transform("parts", lambda p: p["body"]), lambda b: b != ""), "\n\n")
+    named = F.replace(F.replace(F.lit(label), F.lit("{n}"), F.col("n").cast("string")), F.lit("{heading}"), F.get("parts", F.lit(0))["heading"])
+    return out.select(key, "n", named.alias("section"), body.alias("body"))
 
 
 def split_regex(df: DataFrame, pattern: str, key: str = "doc_id", text: str = "text", label: str = "{n}", group_size: int = 1) -> DataFrame:
