@@ -261,3 +261,17 @@ def test_a_dirty_label_column(spark):
     got = {r.doc_id: r.lang_pred for r in language.identify(docs.filter("doc_id < 10"), crf).collect()}
     assert got == {i: "en" if i % 2 else "es" for i in range(10)}
     assert len(language.train(docs).langs) == language.LABELS
+
+
+def test_a_label_with_many_documents(spark):
+    """An id that a hundred rows share is learned from once."""
+    docs = spark.createDataFrame([(1, f"b text {i}") for i in range(100)] + [(1, "a text"), (2, None), (3, "other words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (4, 1), (None, 1), (3, 7), (3, None)], "doc_id long, quality int")
+    seen = []
+    real = quality.fit
+    try:
+        quality.fit = lambda rows, *a, **k: seen.extend(rows) or real(rows, *a, **k)
+        model = quality.train(docs, labels)
+    finally:
+        quality.fit = real
+    assert len(seen) == 4 and quality.score_quality(docs, model).count() == 103

@@ -98,7 +98,14 @@ def score(model: tuple[np.ndarray, float], x: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     """Fit on at most ``sample`` rows of ``labels`` (doc_id, quality 0 or 1) that have a document,
-    and on no more than INDICATORS of them in all, in the order of the ids' hashes."""
+    and on no more than INDICATORS of them in all, in the order of the ids' hashes.
+
+    Labels that are null or neither 0 nor 1, and null ids, are not learned from; of
+    documents with one id the least text is; a label that repeats counts each time,
+    and one of each kind for an id counts as both.  A null text counts as empty.  An
+    empty table, or one class alone, gives a model without evidence.  Whole texts,
+    of any length.
+    """
     ids = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id", F.col("quality").cast("int").alias("y"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
 
@@ -108,9 +115,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
             x = [f(t or "").astype(np.int32) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int32())), b.column(1), b.column(2)], names=["x", "y", "doc_id"])
 
-    # ids has at most ``sample`` rows
+    # ids has at most ``sample`` rows, and a document's copies under one id are one
     kind = docs.schema["doc_id"].dataType.simpleString()
-    table = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y", "doc_id").mapInArrow(featured, f"x array<int>, y int, doc_id {kind}")
+    named = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    table = named.join(F.broadcast(ids), "doc_id").select("text", "y", "doc_id").mapInArrow(featured, f"x array<int>, y int, doc_id {kind}")
     table = written(table.withColumn("h", F.xxhash64("doc_id")), "indicators")
     held, last = 0, None
     for r in sorted(table.select("h", F.size("x").alias("n")).collect()):
@@ -127,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
 
 
 def score_quality(docs: DataFrame, model) -> DataFrame:
-    """``doc_id, score, predicted`` of every row; whole texts.
+    """``doc_id, score, predicted`` of every row; whole texts, of any length.
 
     A null or empty text scores as the bias alone; ids may be null or repeat;
     other columns are ignored; an empty table gives no rows.

@@ -116,6 +116,7 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     and empty texts have fingerprint zero and link like any other; null ids
     take part, but a component's id is null only if all its ids are; repeated
     rows each give a row; other columns are ignored; an empty table gives none.
+    Whole texts, of any length.
     """
     fps = written(fingerprints(docs, width), "fingerprints")
     each = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")

@@ -292,7 +292,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: list[str] | None
     ``with_text`` also ``kept_text`` (the remaining bytes; of a character cut
     in two, nothing) and ``removed`` (array of start, end).  A null text counts
     as empty; ids may be null or repeat (equal rows are copies of one
-    another); other columns are ignored; an empty table gives no rows.
+    another); other columns are ignored; an empty table gives no rows.  A text
+    may be of any length: its windows are dealt apart, its bytes are cut in one
+    task.
     """
     keep = keep or ["doc_id"]
     spans = repeated_spans(docs, length)
