@@ -33,8 +33,7 @@ def made(seed):
     return rows + [("one", "m", 1, 5), ("giant", "m", 1, 9_000), ("giant", "m", 2, 9_000), ("giant", "m", 3, 1)]
 
 
-@pytest.mark.parametrize("large", [1_000_000, 10])
-@pytest.mark.parametrize("width", [1, 3, 512])
+@pytest.mark.parametrize(("width", "large"), [(1, 10), (3, 1_000_000), (512, 10)])
 def test_like_a_fold(spark, monkeypatch, width, large):
     monkeypatch.setattr(spans, "BIN_SPANS", width)
     monkeypatch.setattr(spans, "LARGE", large)
