@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import letter_suffix, replace_all, strip, token_estimate
+from .spans import numbered
 
 STRATEGIES = {
     "paragraph": "paragraph",
@@ -216,16 +217,21 @@ def chunk_texts(df: DataFrame, config: ChunkConfig, key: str = "doc_id", text: s
     return group_paragraphs(df, key, text, "\n\n", config.paragraphs_per_chunk or 3, config.max_tokens, config.section_label_format)
 
 
-def enumeration_faults(chunks: DataFrame, expected: dict[str, int], template: str, text_id: str = "text_id", seq: str = "seq", label: str = "section") -> DataFrame:
-    """Texts whose count is not the canon's, and chunks whose label is not their ordinal's."""
-    spark = chunks.sparkSession
-    canon = spark.createDataFrame(list(expected.items()), "of string, expected int")
-    count = chunks.groupBy(text_id).count()
-    wrong = F.broadcast(canon).join(count, count[text_id] == canon["of"], "left").filter(F.coalesce("count", F.lit(0)) != F.col("expected"))
-    named = chunks.withColumn("k", F.row_number().over(Window.partitionBy(text_id).orderBy(seq)))
-    want = F.replace(F.lit(template), F.lit("{n}"), F.col("k").cast("string"))
-    labels = named.filter(F.col(text_id).isin(list(expected)) & (F.col(label) != want))
-    return wrong.select(F.col("of").alias(text_id), F.lit("count").alias("fault"), F.lit(None).cast("int").alias("ordinal")).unionByName(labels.select(text_id, F.lit("label").alias("fault"), F.col("k").alias("ordinal")))
+def enumeration_faults(chunks: DataFrame, expected: dict[str, int] | DataFrame, template: str, text_id: str = "text_id", seq: str = "seq", label: str = "section") -> DataFrame:
+    """Texts whose count is not the canon's, and chunks whose label is not their ordinal's.
+
+    ``expected``: the count of each text of the canon, as a dictionary or a table
+    (``text_id``, expected); other texts are not looked at, and a text without
+    chunks has 0.  Ordinals of long texts are counted by ranges (see ``spans``).
+    """
+    canon = expected if isinstance(expected, DataFrame) else chunks.sparkSession.createDataFrame(list(expected.items()), f"{text_id} string, expected int")
+    own = chunks.join(canon.select(text_id), text_id, "left_semi")
+    count = own.groupBy(text_id).agg(F.count("*").alias("found"))
+    wrong = canon.join(count, text_id, "left").filter(F.coalesce("found", F.lit(0)) != F.col("expected"))
+    named = numbered(own.select(text_id, seq, label), [text_id], [seq])
+    want = F.replace(F.lit(template), F.lit("{n}"), F.col("pos").cast("string"))
+    labels = named.filter(~F.col(label).eqNullSafe(want))
+    return wrong.select(text_id, F.lit("count").alias("fault"), F.lit(None).cast("int").alias("ordinal")).unionByName(labels.select(text_id, F.lit("label").alias("fault"), F.col("pos").cast("int").alias("ordinal")))
 
 
 def shared_bodies(df: DataFrame, body: str = "body", key: str = "id") -> DataFrame:

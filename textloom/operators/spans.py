@@ -48,6 +48,11 @@ def _placed(chunks: DataFrame, unit: list[str], tie: list[str]) -> DataFrame:
     return out
 
 
+def numbered(rows: DataFrame, unit: list[str], order: list[str]) -> DataFrame:
+    """Adds ``pos``: the place of each row in its unit, from 1."""
+    return _placed(rows.withColumn("tok", F.lit(0).cast("long")), unit, order).drop("tok", "start")
+
+
 def _successors(pos: np.ndarray, start: np.ndarray, tok: np.ndarray, own: int, target: int) -> np.ndarray:
     """For each of the first ``own`` chunks, the index of the chunk after its span."""
     end = start + tok

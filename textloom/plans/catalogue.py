@@ -532,12 +532,25 @@ def concept_match(spark, sf_dir):
     return graph.match_concepts(q, c).select("query", "concept")
 
 
-@_query("""WITH d AS (SELECT source, count(*) AS n, count(DISTINCT lang) AS langs, min(doc_id) AS first_doc FROM documents GROUP BY source)
-SELECT source AS work_id, CASE WHEN langs > 1 THEN 'span traditions' END AS fault, langs::VARCHAR AS detail FROM d WHERE langs > 1""")
+@_query("""WITH d AS (SELECT source, count(DISTINCT lang) AS langs FROM documents WHERE doc_id % 7 <> 0 GROUP BY source),
+a AS (SELECT min(doc_id) AS lo, max(doc_id) AS hi, arg_min(source, doc_id) AS lo_source, arg_max(source, doc_id) AS hi_source, arg_max(lang, doc_id) AS hi_lang FROM documents WHERE doc_id % 7 <> 0)
+SELECT source AS work_id, 'span traditions' AS fault, langs::VARCHAR AS detail FROM d WHERE langs > 1
+UNION ALL SELECT 'ghost', 'not in corpus', 'no-such-text'
+UNION ALL SELECT least(lo_source, 'twice'), 'claimed twice', lo::VARCHAR FROM a
+UNION ALL SELECT least(hi_source, 'odd'), 'claimed twice', hi::VARCHAR FROM a
+UNION ALL SELECT 'odd', 'wrong tradition', hi_lang FROM a
+UNION ALL SELECT min(doc_id)::VARCHAR, 'id is a text''s', min(doc_id)::VARCHAR FROM documents WHERE doc_id % 7 = 0""")
 def works_faults(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("text_id"), F.col("lang").alias("tradition"), "source")
+    """Sources as works, and planted works with each kind of fault."""
+    all_ = _t(spark, sf_dir, "documents")
+    texts = all_.select(F.col("doc_id").cast("string").alias("text_id"), F.col("lang").alias("tradition"), "source")
+    d = texts.filter("cast(text_id AS long) % 7 <> 0")
     declared = d.groupBy(F.col("source").alias("id")).agg(F.min("tradition").alias("tradition"), F.array_sort(F.collect_list("text_id")).alias("members"))
-    return graph.work_faults(d, declared)
+    a = all_.filter("doc_id % 7 <> 0").agg(F.min(F.struct("doc_id", "lang")).alias("lo"), F.max(F.struct("doc_id", "lang")).alias("hi"))
+    one = lambda name, tradition, member: F.struct(F.lit(name).alias("id"), tradition.alias("tradition"), F.array(member.cast("string")).alias("members"))
+    planted = a.select(F.explode(F.array(one("ghost", F.lit("x"), F.lit("no-such-text")), one("twice", F.col("lo.lang"), F.col("lo.doc_id")), one("odd", F.lit("xx"), F.col("hi.doc_id")))).alias("w")).select("w.*")
+    like = all_.filter("doc_id % 7 = 0").agg(F.min("doc_id").cast("string").alias("id")).select("id", F.lit("x").alias("tradition"), F.array().cast("array<string>").alias("members"))
+    return graph.work_faults(texts, declared.unionByName(planted).unionByName(like))
 
 
 @_query("""SELECT source AS work_id, true AS grouped, count(*) AS members FROM documents WHERE doc_id % 2 = 0 GROUP BY source

@@ -287,15 +287,16 @@ def filter_params(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", canonical_params(m).alias("params"))
 
 
-@_query("""WITH d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE source IN (SELECT min(source) FROM documents))
-SELECT source AS text_id, 'count' AS fault, NULL::INT AS ordinal FROM d GROUP BY source UNION ALL SELECT source, 'label', k::INT FROM d WHERE doc_id % 3 = 0""")
+@_query("""WITH d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents)
+SELECT source AS text_id, 'count' AS fault, NULL::INT AS ordinal FROM d GROUP BY source HAVING max(doc_id) % 2 = 1 UNION ALL SELECT 'no such text', 'count', NULL UNION ALL SELECT source, 'label', k::INT FROM d WHERE doc_id % 3 = 0""")
 def enumeration_audit(spark, sf_dir):
+    """All sources as enumerated texts: the canon of some has one more, and a third of the labels are wrong."""
     d = _t(spark, sf_dir, "documents")
-    first = d.agg(F.min("source")).first()[0]
-    own = d.filter(F.col("source") == first)
     k = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    chunks = own.select(F.col("source").alias("text_id"), F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 3 == 0, "other").otherwise(F.concat(F.lit("Saying "), k)).alias("section"))
-    return chunking.enumeration_faults(chunks, {first: -1}, "Saying {n}")
+    chunks = d.select(F.col("source").alias("text_id"), F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 3 == 0, "other").otherwise(F.concat(F.lit("Saying "), k)).alias("section"))
+    canon = d.groupBy(F.col("source").alias("text_id")).agg((F.count("*") + F.max("doc_id") % 2).alias("expected"))
+    canon = canon.unionByName(spark.range(1).select(F.lit("no such text").alias("text_id"), F.lit(3).cast("long").alias("expected")))
+    return chunking.enumeration_faults(chunks, canon, "Saying {n}")
 
 
 @_query("""WITH p AS (SELECT source AS work, doc_id AS span, (length(text) // 4)::BIGINT AS tokens FROM documents), q AS (SELECT source AS work, doc_id AS span, CASE WHEN doc_id % 9 = 0 THEN 0 ELSE length(text) // 4 END::BIGINT AS tokens FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT 'new', 1, 5)
