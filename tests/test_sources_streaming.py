@@ -40,6 +40,8 @@ def test_dispatch_and_links(spark):
     assert [r.m for r in df.select(files.downloader(F.col("url"), F.col("form")).alias("m")).collect()] == ["gnosis_org", "sacred_texts", "generic_html", "sefaria", None, None]
     page = spark.createDataFrame([("http://a.org/t/index.htm", '<a href="one.htm"> <a href="/t/two.htm"> <a href="../up.htm"> <a href="http://b.org/t/x"> <a href="#top">')], "url string, html string")
     assert sorted(r.link for r in files.scoped_links(page).collect()) == ["http://a.org/t/one.htm", "http://a.org/t/two.htm"]
+    page = spark.createDataFrame([("http://a.org/t/", "<a href='three.htm#x'> <A HREF = four.htm> <a class=b href=five.htm> <a href=''> <a href='#y'> <a href=six.htm#z>")], "url string, html string")
+    assert sorted(r.link.rpartition("/")[2] for r in files.scoped_links(page).collect()) == ["five.htm", "four.htm", "six.htm", "three.htm"]
 
 
 def test_store(spark, tmp_path):

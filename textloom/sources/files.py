@@ -95,10 +95,15 @@ def downloader(url: Column, form: Column) -> Column:
     return F.when(host.rlike(r"(^|\.)gnosis\.org$"), "gnosis_org").when(form == "html_multi", "sacred_texts").when(form == "html", "generic_html").when(form == "sefaria_api", "sefaria")
 
 
+#: An attribute's address in either kind of quotes or none, up to a fragment.
+HREF = r"""(?i)\bhref\s*=\s*("[^"#]+|'[^'#]+|[^\s"'>#]+)"""
+
+
 def scoped_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``url, link``: links of an index page into its own folder, resolved."""
     base = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"[^/]*$", "")
-    rows = pages.select(url, base.alias("base"), F.explode(F.regexp_extract_all(html, F.lit(r'href="([^"#]+)'), F.lit(1))).alias("href")).distinct()
+    rows = pages.select(url, base.alias("base"), F.explode(F.regexp_extract_all(html, F.lit(HREF), F.lit(1))).alias("href"))
+    rows = rows.withColumn("href", F.regexp_replace("href", "^[\"']", "")).distinct()
     root = F.regexp_extract("base", r"^[a-z]+://[^/]+", 0)
     link = F.when(F.col("href").rlike("^[a-z]+:"), F.col("href")).when(F.col("href").startswith("/"), F.concat(root, "href")).otherwise(F.concat("base", "href"))
     return rows.withColumn("link", link).filter(F.col("link").startswith(F.col("base")) & ~F.substring_index("link", "/", -1).contains("..") & ~F.col("href").startswith("..")).select(url, "link")
