@@ -23,22 +23,32 @@ FOOTNOTE = r"\s*\[\d{1,3}\]"
 
 def _paragraphs(c: Column, keep) -> Column:
     """Paragraphs that ``keep`` accepts, given (paragraph, index); the text itself if all are."""
-    parts = F.split(c, "\n\n")
-    kept = F.filter(parts, keep)
-    return F.when(F.size(kept) == F.size(parts), c).otherwise(F.array_join(kept, "\n\n"))
+    cut = _bound(F.split(c, "\n\n"), lambda parts: F.struct(F.filter(parts, keep).alias("kept"), F.size(parts).alias("n")))
+    return _bound(cut, lambda x: F.when(F.size(x["kept"]) == x["n"], c).otherwise(F.array_join(x["kept"], "\n\n")))
+
+
+def _bound(c: Column, f) -> Column:
+    """``f`` of a value that is made once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def _where(c: Column, mark: str, pattern: str, to: str) -> Column:
+    """A replacement that is tried only in texts that hold ``mark``, as every match does."""
+    return _bound(c, lambda x: F.when(x.contains(mark), F.regexp_replace(x, pattern, to)).otherwise(x))
 
 
 def clean_body(c: Column, footnotes: bool = True) -> Column:
     """All cleaning steps in order; prose without residue comes back byte for byte."""
-    trimmed = lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")
-    c = _paragraphs(c, lambda p, i: ~trimmed(p).rlike(NAV_PARAGRAPH) & ~trimmed(p).rlike(ERRATA) & ~trimmed(p).rlike(PAGE_PARAGRAPH) & ~((i == 0) & trimmed(p).rlike(SITE_HEADER)))
-    c = F.regexp_replace(c, LICENCE_TAIL, "")
+    dropped = "|".join(f"(?:{p})" for p in (NAV_PARAGRAPH, ERRATA, PAGE_PARAGRAPH))
+    kept = lambda p, i: _bound(F.btrim(p, F.lit(" \t\n\x0b\f\r")), lambda t: ~t.rlike(dropped) & ~((i == 0) & t.rlike(SITE_HEADER)))
+    c = _paragraphs(c, kept)
+    c = _where(c, "End of the Project Gutenberg", LICENCE_TAIL, "")
     c = F.regexp_replace(c, CREDITS, "")
-    c = F.regexp_replace(c, PAGE_BRACKET, " ")
-    c = F.regexp_replace(c, CURLY_PAGE, " ")
-    c = F.regexp_replace(c, CURLY_OPEN_AT_END, "")
-    c = F.regexp_replace(c, CURLY_ORPHAN, "")
-    return F.regexp_replace(c, FOOTNOTE, "") if footnotes else c
+    c = _where(c, "[Pg ", PAGE_BRACKET, " ")
+    c = _where(c, "{p.", CURLY_PAGE, " ")
+    c = _where(c, "{p.", CURLY_OPEN_AT_END, "")
+    c = _where(c, "}", CURLY_ORPHAN, "")
+    return _where(c, "]", FOOTNOTE, "") if footnotes else c
 
 
 def shrink(old: Column, new: Column) -> Column:
