@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,8 +78,10 @@ def fresh_cleanups(cleanups: DataFrame, bodies: DataFrame) -> DataFrame:
     return cleanups.join(now, "chunk_id", "left").withColumn("stale", ~F.col("current_body").eqNullSafe(F.col("original_body")))
 
 
-def _share(c: Column, pattern: str, per: Column) -> Column:
-    return F.least(F.lit(1.0), F.coalesce(F.regexp_count(c, F.lit(pattern)) / F.greatest(per, F.lit(1)), F.lit(0.0)))
+def _share(c: Column, pattern: str, per: Column, *marks: str) -> Column:
+    """Matches per ``per``, at most 1; looked for where one of the marks is, if any are given, as in every match."""
+    share = F.least(F.lit(1.0), F.coalesce(F.regexp_count(c, F.lit(pattern)) / F.greatest(per, F.lit(1)), F.lit(0.0)))
+    return F.when(reduce(Column.__or__, [c.contains(m) for m in marks]), share).otherwise(0.0) if marks else share
 
 
 #: Each signal's weight in the score.
@@ -95,12 +99,12 @@ def readability_signals(c: Column) -> dict[str, Column]:
     hundreds = F.char_length(c) / 100.0
     return {
         "hard_wrap": F.when(breaks >= 2, _share(c, r"[a-z,;]\n[a-z]", breaks)).otherwise(0.0),
-        "hyphen_break": _share(c, r"[a-z]-\n[a-z]", breaks),
+        "hyphen_break": _share(c, r"[a-z]-\n[a-z]", breaks, "-\n"),
         "caps_runs": _share(c, r"\b[A-Z]{4,}(?:\s+[A-Z]{2,})+\b", hundreds),
         "page_marks": _share(c, r"\[(?:p\.|Pg) ?\d+\]|(?m:^\s*\d{1,4}\s*$)", hundreds),
-        "footnotes": _share(c, r"\[\d{1,3}\]|\{\d{1,3}\}|\^\d{1,3}", hundreds),
-        "brackets": _share(c, r"\[\.\.\.\]|\[sic\]|\(\?\)", hundreds),
-        "dot_leaders": _share(c, r"\.{4,}", hundreds),
+        "footnotes": _share(c, r"\[\d{1,3}\]|\{\d{1,3}\}|\^\d{1,3}", hundreds, "[", "{", "^"),
+        "brackets": _share(c, r"\[\.\.\.\]|\[sic\]|\(\?\)", hundreds, "[...]", "[sic]", "(?)"),
+        "dot_leaders": _share(c, r"\.{4,}", hundreds, "...."),
     }
 
 
