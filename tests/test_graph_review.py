@@ -245,3 +245,10 @@ def test_lookup_and_merge(spark):
         tables.rename_columns(d, {"id": "x"})
     body = spark.createDataFrame([("1", "a\n")], "id string, body string"), spark.createDataFrame([("2", "a")], "id string, body string")
     assert rows(tables.match_by_body(*body)) == [("1", "2")]
+
+
+def test_spawned_rows_are_numbered_apart_from_staged_ones(spark):
+    """Whatever the sign of the hash."""
+    ids = spark.range(2000).select(review.spawned_id(F.col("id"), F.lit("z")).alias("s"))
+    low, high, n = ids.agg(F.min("s"), F.max("s"), F.count_distinct("s")).first()
+    assert review.SPAWNED <= low and high < 2 * review.SPAWNED and n == 2000

@@ -17,7 +17,7 @@ from .cleaning import fresh_cleanups
 
 VERBS = {"tag": ["accept", "reject", "skip", "reassign"], "edge": ["accept", "reject", "skip", "reclassify"], "cleanup": ["accept", "reject", "skip", "reclassify"]}
 EDGE_TYPES = ["PARALLELS", "CONTRASTS", "surface_only", "unrelated"]
-#: Rows that a reassignment spawns are numbered around this, far from the ids of staged ones.
+#: Rows that a reassignment spawns are numbered from this on, far from the ids of staged ones.
 SPAWNED = 1 << 61
 NEGATIVE = ["surface_only", "unrelated"]
 
@@ -91,7 +91,7 @@ def _last(queue: DataFrame, table: str) -> DataFrame:
 
 def spawned_id(row: Column, concept: Column) -> Column:
     """The id of the row that a reassignment of ``row`` to ``concept`` spawns."""
-    return F.lit(SPAWNED) + (F.xxhash64(row, concept) % SPAWNED)
+    return F.lit(SPAWNED) + F.pmod(F.xxhash64(row, concept), F.lit(SPAWNED))
 
 
 def _rooted(tags: DataFrame, live: DataFrame) -> DataFrame:

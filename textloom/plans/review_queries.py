@@ -177,7 +177,7 @@ def respawned_tags(spark, sf_dir):
     queue = first.withColumn("id", F.col("e") * 4).unionByName(second).unionByName(third).drop("e")
     nodes = spark.createDataFrame([], "id string, type string, label string, definition string")
     done = review.apply_tags(t, queue, _edges(t), nodes)[0]
-    generation = F.when(F.col("id") < review.SPAWNED / 2, 0).when(F.col("concept_id") == "k9", 1).otherwise(2)
+    generation = F.when(F.col("id") < review.SPAWNED, 0).when(F.col("concept_id") == "k9", 1).otherwise(2)
     return done.select(F.regexp_extract("new_concept_def", r"(\d+)", 1).cast("long").alias("tag"), generation.alias("generation"), "concept_id", "status", "reviewed_by")
 
 
