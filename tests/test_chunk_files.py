@@ -114,3 +114,22 @@ def test_changes_are_planned_first(spark, tmp_path):
     runs["merge"](True)
     assert s.read("edges").filter("target_id = 'concept.j'").count() == 0 and s.read("concept_aliases").first().alias == "j"
     assert s.read("edges").filter(F.col("target_id") == "concept.k").count() == 2
+
+
+def test_many_changed_files_are_opened_by_name_and_no_others(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(chunk_writer, "NAMED", 1)
+    root, s = str(tmp_path / "corpus"), Store(spark, str(tmp_path / "db"))
+    chunk_writer.write_chunks(chunks(spark, *[(f"t.a b.{i}", f"b{i}") for i in range(300)]), root, commit=True)
+    assert chunk_writer.refresh_bodies(spark, s, root)["parsed"] == 300
+    broken = f"{root}/t/a b/chunks/7.toml"
+    kept = os.stat(broken)
+    with open(broken, "r+b") as f:
+        f.write(b"?")  # as old and as long as before: nobody opens it
+    os.utime(broken, ns=(kept.st_atime_ns, kept.st_mtime_ns))
+    for i in range(20, 40):
+        with open(f"{root}/t/a b/chunks/{i}.toml", "a") as f:
+            f.write("\n")
+    assert chunk_writer.refresh_bodies(spark, s, root) == {"parsed": 20, "kept": 280, "gone": 0}
+    assert files.read_chunk_files(spark, [f"{root}/t/a b/chunks/8.toml"]).first().body == "b8"
+    scan = files.small_files(spark, f"{root}/t/a b", "*.toml")
+    assert scan.rdd.getNumPartitions() <= files.many(spark)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import posixpath
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyarrow import fs
@@ -18,8 +19,10 @@ from .shared import stored
 
 STAGING = "_staging"
 FIELDS = ["id", "tradition", "text_name", "section", "translator", "source_url", "token_count"]
-#: Up to so many changed files are read by their names; more, by a scan of all that keeps theirs.
+#: Up to so many changed files are read by Spark's reader, by their names; more are opened in tasks that are dealt their names.
 NAMED = 10_000
+#: Files that are moved at a time when a run is committed.
+MOVES = 16
 
 
 def _quoted(x) -> str:
@@ -60,10 +63,10 @@ class _Writer(DataSourceWriter):
 
     def write(self, rows):
         store, _, at = self._at()
-        attempt, n = uuid.uuid4().hex, 0
+        attempt, n, there = uuid.uuid4().hex, 0, set()
         for row in rows:
             path = f"{at}/{attempt}/{relative_path(row['id'])}"
-            store.create_dir(posixpath.dirname(path), recursive=True)
+            _ensure(store, posixpath.dirname(path), there)
             with store.open_output_stream(path) as out:
                 out.write(chunk_toml(row.asDict()).encode())
             n += 1
@@ -82,6 +85,13 @@ class _Writer(DataSourceWriter):
         _remove_empty(store, f"{base}/{STAGING}")
 
 
+def _ensure(store, folder: str, there: set[str]) -> None:
+    """Create a folder unless it is among those known to be there."""
+    if folder not in there:
+        store.create_dir(folder, recursive=True)
+        there.add(folder)
+
+
 def _remove(store, at: str) -> None:
     if store.get_file_info(at).type == fs.FileType.Directory:
         store.delete_dir(at)
@@ -96,15 +106,16 @@ def _finish(store, base: str, at: str) -> None:
     """Move the files of a run whose commit has begun; a file that is in place already is not there to move."""
     with store.open_input_stream(f"{at}/commit.json") as f:
         attempts = json.loads(f.read())
+    there = set()
     for a in attempts:
         here = f"{at}/{a}"
         if store.get_file_info(here).type != fs.FileType.Directory:
             continue
-        for x in store.get_file_info(fs.FileSelector(here, recursive=True)):
-            if x.type == fs.FileType.File:
-                to = f"{base}/{x.path[len(here) + 1 :]}"
-                store.create_dir(posixpath.dirname(to), recursive=True)
-                store.move(x.path, to)
+        moves = [(x.path, f"{base}/{x.path[len(here) + 1 :]}") for x in store.get_file_info(fs.FileSelector(here, recursive=True)) if x.type == fs.FileType.File]
+        for _, to in moves:
+            _ensure(store, posixpath.dirname(to), there)
+        with ThreadPoolExecutor(MOVES) as pool:
+            list(pool.map(lambda m: store.move(*m), moves))
     _remove(store, at)
     _remove_empty(store, f"{base}/{STAGING}")
 
@@ -163,7 +174,8 @@ def write_chunks(chunks: DataFrame, root: str, commit: bool = False) -> DataFram
         return plan
     kept = stored(plan, "chunk_plan")  # read before the files change
     spark.dataSource.register(ChunkFiles)
-    new.join(kept.filter("action <> 'same'").select("id"), "id", "left_semi").select(*known).write.format("textloom_chunks").mode("append").save(root)
+    rows = new.join(kept.filter("action <> 'same'").select("id"), "id", "left_semi").select(*known)
+    rows.repartition(files.many(spark)).write.format("textloom_chunks").mode("append").save(root)
     return kept
 
 
@@ -171,17 +183,17 @@ def refresh_bodies(spark: SparkSession, store, root: str, table: str = "chunk_bo
     """Bring the store's table of chunk files up to date: a row a file with its time and size, parsed again only where
     these have changed.  Returns the numbers of files ``parsed``, ``kept`` and ``gone``; files that are not there have no row.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.toml").load(root)
-    now = listed.filter("path LIKE '%/chunks/%'").select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+    listed = files.small_files(spark, root, "*.toml")
+    now = stored(listed.filter("path LIKE '%/chunks/%'").select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size")), "listed")
     key = ["path", "modified", "size"]
     old = store.read(table) if store.current(table) else None
-    changed = now.join(old.select(*key), key, "left_anti") if old is not None else now
+    changed = stored(now.join(old.select(*key), key, "left_anti"), "changed") if old is not None else now
     n = changed.count()
     if n <= NAMED:
         paths = [r["path"] for r in changed.select("path").collect()]
         parsed = files.read_chunk_files(spark, paths) if paths else spark.createDataFrame([], files.CHUNK)
     else:
-        parsed = files.read_chunks(spark, root).join(changed.select("path"), "path", "left_semi")
+        parsed = files.open_chunk_files(changed.select("path"), root)
     rows = parsed.join(now, "path")
     kept = old.join(now, key, "left_semi") if old is not None else None
     counts = {"parsed": n, "kept": kept.count() if kept is not None else 0}

@@ -6,6 +6,7 @@ import tomllib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,17 +14,31 @@ CHUNK = "path string, id string, tradition string, text_name string, section str
 TEXT = "path string, tradition_dir string, tradition string, text_id string, text_name string, translator string, source_url string, sections_format string, chunk_count int"
 
 
-def _toml(spark: SparkSession, root: str | list[str], glob: str, schema: str, row) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+def many(spark: SparkSession) -> int:
+    """Tasks for many small files: a few a core, however many files there are."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def small_files(spark: SparkSession, root: str | list[str], glob: str) -> DataFrame:
+    """Spark's table of files, in few tasks: it would take one for every thirty files or so."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).coalesce(many(spark))
+
+
+def _toml(files: DataFrame, schema: str, row, contents=None) -> DataFrame:
+    """``row(path, content as TOML)`` of files (path, content); or of paths whose ``contents`` gives the second column."""
     names = [x.strip().rpartition(" ")[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]):
         kinds = pa.schema([(n, _KINDS[x.strip().rpartition(" ")[2]]) for n, x in zip(names, schema.split(", "), strict=True)])
         for b in batches:
-            rows = [r for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (r := row(p, tomllib.loads(c.decode())))]
-            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                paths = part.column(0).to_pylist()
+                texts = contents(paths) if contents else part.column(1).to_pylist()
+                rows = [r for p, c in zip(paths, texts, strict=True) if (r := row(p, tomllib.loads(c.decode())))]
+                yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-    return files.select("path", "content").mapInArrow(run, schema)
+    return files.mapInArrow(run, schema)
 
 
 _KINDS = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
@@ -47,17 +62,29 @@ def _text(path: str, t: dict) -> dict:
 
 def read_chunks(spark: SparkSession, root: str) -> DataFrame:
     """A row for each ``<tradition>/<text>/chunks/<seq>.toml``; compact to Parquet once, then read that."""
-    return _toml(spark, root, "*.toml", CHUNK, _chunk)
+    return _toml(small_files(spark, root, "*.toml").select("path", "content"), CHUNK, _chunk)
 
 
 def read_chunk_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The chunks of these files alone."""
-    return _toml(spark, paths, "*.toml", CHUNK, _chunk)
+    return _toml(small_files(spark, paths, "*.toml").select("path", "content"), CHUNK, _chunk)
+
+
+def open_chunk_files(paths: DataFrame, root: str) -> DataFrame:
+    """The chunks of the files (path) under ``root``, however many: each task opens those that it is dealt."""
+
+    def contents(names: list[str]) -> Iterator[bytes]:
+        store, base = fs.FileSystem.from_uri(root)
+        for p in names:
+            with store.open_input_stream(p[p.index(base) :]) as f:
+                yield f.read()
+
+    return _toml(paths.repartition(many(paths.sparkSession)), CHUNK, _chunk, contents)
 
 
 def read_texts(spark: SparkSession, root: str) -> DataFrame:
     """A row for each ``metadata.toml``; the text's name defaults to its id."""
-    return _toml(spark, root, "metadata.toml", TEXT, _text)
+    return _toml(small_files(spark, root, "metadata.toml").select("path", "content"), TEXT, _text)
 
 
 def read_config(text: str) -> dict:
