@@ -260,3 +260,10 @@ def test_readability_of_odd_texts_is_that_of_its_sql(spark, tmp_path, name):
     cols = [c[0] for c in want.description]
     got = [tuple(r[c] for c in cols) for r in catalogue.queries()[name](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want.fetchall())
+
+
+def test_pages_are_python_objects_one_at_a_time():
+    import pyarrow as pa
+
+    assert html.html_main_text.evalType == html.F.arrow_udf(lambda s: s, "string").evalType
+    assert html.html_main_text.func(pa.array(["<main><p>a</p></main>", None])).to_pylist() == ["a", ""]
