@@ -27,3 +27,22 @@ def test_picker_and_memory(spark):
     assert get() == 2
     m.forget()
     assert get() == 3
+
+
+def test_walk_tasks_hold_a_bounded_number_of_edges(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "TASK_EDGES", 50)
+    tiers = {"verified": 1.0, "proposed": 0.7, "inferred": 0.4}
+    rows = [(f"c{i % 37}", f"concept.{i % 91}", "EXPRESSES" if i % 11 else "BELONGS_TO", list(tiers)[i % 3]) for i in range(1000)]
+    e = spark.createDataFrame(rows, "source_id string, target_id string, type string, tier string")
+    m = [(q, str(c)) for q in (1, 2) for c in range(q, 91, 5)]
+    df = retrieval.graph_walk(spark.createDataFrame(m, "query_id long, concept_id string"), e)
+    most = max(4, -(-sum(r[2] == "EXPRESSES" for r in rows) // 50))
+    assert f", {most}), REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for s, t, kind, tier in rows:
+        for q, c in m:
+            if kind == "EXPRESSES" and t == f"concept.{c}":
+                w, seen = want.get((q, s), (0.0, set()))
+                want[q, s] = max(w, tiers[tier]), seen | {c}
+    of = {q: sum(x == q for x, _ in m) for q in (1, 2)}
+    assert {(r.query_id, r.id): (r.tier_weight, r.graph_score) for r in df.collect()} == {(q, s): (w, len(seen) / of[q]) for (q, s), (w, seen) in want.items()}

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from . import graph, vectors
 
 
+#: Edges that a task of the concept walk joins and counts.
+TASK_EDGES = 500_000
+
+
 @dataclass(frozen=True)
 class Ranking:
     """The ranking configuration; the defaults are the reference's published settings."""
@@ -38,10 +42,14 @@ def graph_walk(matched: DataFrame, edges: DataFrame) -> DataFrame:
     """``query_id, id, tier_weight, graph_score``: chunks one EXPRESSES edge away from matched concepts.
 
     The graph score is the share of the matched concepts that the chunk expresses.
+    Edges meet the concepts in tasks of about ``TASK_EDGES``: a partition that is
+    large enough by its bytes holds millions of these short rows.
     """
     n = matched.groupBy("query_id").agg(F.count("*").alias("of"))
-    e = edges.filter("type = 'EXPRESSES'").select(F.col("source_id").alias("id"), F.expr("substr(target_id, 9)").alias("concept_id"), "tier")
-    hit = e.join(matched, "concept_id").groupBy("query_id", "id").agg(F.max(graph.tier_weight(F.col("tier"))).alias("tier_weight"), F.count_distinct("concept_id").alias("hits"))
+    e = edges.filter("type = 'EXPRESSES'").select(F.col("source_id").alias("id"), F.expr("substr(target_id, 9)").alias("concept_id"), graph.tier_weight(F.col("tier")).alias("w"))
+    tasks = max(int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-e.count() // TASK_EDGES))  # fewer than the setting would be dealt anew by the join
+    e = e.repartition(tasks, "concept_id")
+    hit = e.join(matched, "concept_id").groupBy("query_id", "id").agg(F.max("w").alias("tier_weight"), F.count_distinct("concept_id").alias("hits"))
     return hit.join(n, "query_id").select("query_id", "id", "tier_weight", (F.col("hits") / F.col("of")).alias("graph_score"))
 
 
