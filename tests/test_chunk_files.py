@@ -133,3 +133,35 @@ def test_many_changed_files_are_opened_by_name_and_no_others(spark, tmp_path, mo
     assert files.read_chunk_files(spark, [f"{root}/t/a b/chunks/8.toml"]).first().body == "b8"
     scan = files.small_files(spark, f"{root}/t/a b", "*.toml")
     assert scan.rdd.getNumPartitions() <= files.many(spark)
+
+
+def test_files_are_listed_by_tasks_as_spark_lists_them(spark, tmp_path, monkeypatch):
+    root = tmp_path / "cor pus"
+    names = ["top.toml", "t/a/chunks/1.toml", "t/a/chunks/ü 2%20.toml", "t/a/chunks/deep/er/3.toml", "t/a/metadata.toml", "t/a/chunks/1.txt", "t/_x/chunks/4.toml", "t/_x=1/chunks/5.toml", "t/.h/chunks/6.toml", "_staging/r/t/a/chunks/7.toml", "t/a/chunks/_8.toml", "t/a/chunks/9.toml._COPYING_"]
+    for n in names:
+        (root / n).parent.mkdir(parents=True, exist_ok=True)
+        (root / n).write_text(f'[chunk]\nid = "{n}"\n')
+    want = files.small_files(spark, str(root), "*.toml").select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size")).collect()
+    one = files.small_files(spark, str(root), "*.toml").select("path", "content").filter(files.CHUNKS).select("path").collect()
+    monkeypatch.setattr(files, "small_files", None)  # the driver's listing
+    got = files.list_files(spark, str(root), ".toml")
+    assert sorted(got.collect()) == sorted(want) and len(want) == 6 and got.schema["modified"].dataType.typeName() == "timestamp"
+    assert sorted(r.path for r in files.read_chunks(spark, str(root)).collect()) == sorted(r.path for r in one)
+    assert [r.text_id for r in files.read_texts(spark, str(root)).collect()] == ["a"]
+
+
+def test_the_driver_holds_no_row_a_file(spark, tmp_path, monkeypatch):
+    """Neither as a listing nor as a broadcast."""
+    root, s = str(tmp_path / "corpus"), Store(spark, str(tmp_path / "db"))
+    os.makedirs(root)
+    plans, write = [], Store.write
+    monkeypatch.setattr(files, "small_files", None)
+    monkeypatch.setattr(chunk_writer, "NAMED", 1)
+    monkeypatch.setattr(Store, "write", lambda self, t, df: plans.append(df) or write(self, t, df))
+    chunk_writer.write_chunks(chunks(spark, *[(f"t.a{i % 3}.{i}", f"b{i}") for i in range(60)]), root, commit=True)
+    assert chunk_writer.refresh_bodies(spark, s, root)["parsed"] == 60
+    changed = chunks(spark, *[(f"t.a{i % 3}.{i}", f"c{i}") for i in range(20)])
+    plans.append(chunk_writer.write_chunks(changed, root))
+    chunk_writer.write_chunks(changed, root, commit=True)
+    assert chunk_writer.refresh_bodies(spark, s, root) == {"parsed": 20, "kept": 40, "gone": 0}
+    assert len(plans) == 3 and not any("Broadcast" in p._jdf.queryExecution().executedPlan().toString() for p in plans)

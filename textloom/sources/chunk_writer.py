@@ -21,6 +21,8 @@ STAGING = "_staging"
 FIELDS = ["id", "tradition", "text_name", "section", "translator", "source_url", "token_count"]
 #: Up to so many changed files are read by Spark's reader, by their names; more are opened in tasks that are dealt their names.
 NAMED = 10_000
+#: How tables of a row a file are joined: they are small on disk for what they hold, and a broadcast passes through the driver.
+SORTED = "merge"
 #: Files that are moved at a time when a run is committed.
 MOVES = 16
 
@@ -168,13 +170,13 @@ def write_chunks(chunks: DataFrame, root: str, commit: bool = False) -> DataFram
             raise
         old = spark.createDataFrame([], files.CHUNK)
     same = F.struct(*[F.col(c) for c in known if c != "id"])
-    both = new.select("id", same.alias("new")).join(old.select("id", same.alias("old")), "id", "left")
+    both = new.select("id", same.alias("new")).join(old.select("id", same.alias("old")).hint(SORTED), "id", "left")
     plan = both.select("id", path.alias("path"), F.when(F.col("old").isNull(), "create").when(F.col("old").eqNullSafe(F.col("new")), "same").otherwise("replace").alias("action"))
     if not commit:
         return plan
     kept = stored(plan, "chunk_plan")  # read before the files change
     spark.dataSource.register(ChunkFiles)
-    rows = new.join(kept.filter("action <> 'same'").select("id"), "id", "left_semi").select(*known)
+    rows = new.join(kept.filter("action <> 'same'").select("id").hint(SORTED), "id", "left_semi").select(*known)
     rows.repartition(files.many(spark)).write.format("textloom_chunks").mode("append").save(root)
     return kept
 
@@ -183,21 +185,20 @@ def refresh_bodies(spark: SparkSession, store, root: str, table: str = "chunk_bo
     """Bring the store's table of chunk files up to date: a row a file with its time and size, parsed again only where
     these have changed.  Returns the numbers of files ``parsed``, ``kept`` and ``gone``; files that are not there have no row.
     """
-    listed = files.small_files(spark, root, "*.toml")
-    now = stored(listed.filter("path LIKE '%/chunks/%'").select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size")), "listed")
+    now = stored(files.list_files(spark, root, ".toml").filter(files.CHUNKS), "listed")
     key = ["path", "modified", "size"]
     old = store.read(table) if store.current(table) else None
-    changed = stored(now.join(old.select(*key), key, "left_anti"), "changed") if old is not None else now
+    changed = stored(now.join(old.select(*key).hint(SORTED), key, "left_anti"), "changed") if old is not None else now
     n = changed.count()
     if n <= NAMED:
         paths = [r["path"] for r in changed.select("path").collect()]
         parsed = files.read_chunk_files(spark, paths) if paths else spark.createDataFrame([], files.CHUNK)
     else:
         parsed = files.open_chunk_files(changed.select("path"), root)
-    rows = parsed.join(now, "path")
-    kept = old.join(now, key, "left_semi") if old is not None else None
+    rows = parsed.join(now.hint(SORTED), "path")
+    kept = old.join(now.hint(SORTED), key, "left_semi") if old is not None else None
     counts = {"parsed": n, "kept": kept.count() if kept is not None else 0}
-    counts["gone"] = (old.join(now.select("path"), "path", "left_anti").count()) if old is not None else 0
+    counts["gone"] = (old.join(now.select("path").hint(SORTED), "path", "left_anti").count()) if old is not None else 0
     if n or counts["gone"]:
         store.write(table, rows if kept is None else kept.select(*rows.columns).unionByName(rows))
     return counts

@@ -6,6 +6,7 @@ import tomllib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,59 @@ def small_files(spark: SparkSession, root: str | list[str], glob: str) -> DataFr
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).coalesce(many(spark))
 
 
+def _seen(name: str) -> bool:
+    """Whether Spark's readers look at a file or folder of this name."""
+    return not (name.startswith(".") or name.endswith("._COPYING_") or name.startswith("_") and "=" not in name)
+
+
+def _reached(root: str) -> bool:
+    """Whether ``root`` is a folder of a store that tasks can list and open themselves."""
+    try:
+        store, base = fs.FileSystem.from_uri(root)
+        return store.get_file_info(base).type == fs.FileType.Directory
+    except (OSError, ValueError, NotImplementedError):
+        return False
+
+
+def list_files(spark: SparkSession, root: str, ending: str) -> DataFrame:
+    """``path, modified, size`` of the files under ``root`` whose names have this ending, as Spark's reader names them.
+
+    Tasks list the folders: two levels in steps whose folders are dealt anew, what is below them folder by folder, so the
+    driver holds no name and a task those of one folder.  Only in a store that tasks do not reach does the driver list.
+    """
+    if not _reached(root):
+        return small_files(spark, root, f"*{ending}").select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    whole = at.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    shape = pa.schema([("path", pa.string()), ("modified", pa.int64()), ("size", pa.int64())])  # a folder has no size
+
+    def step(deep: bool):
+        def run(batches: Iterator[pa.RecordBatch]):
+            store, base = fs.FileSystem.from_uri(root)
+            base = base.rstrip("/")
+            for b in batches:
+                yield pa.RecordBatch.from_arrays(b.filter(pc.is_valid(b["size"])).columns, schema=shape)
+                todo = b.filter(pc.is_null(b["size"]))["path"].to_pylist()
+                while todo:
+                    inside = [x for x in store.get_file_info(fs.FileSelector(base + todo.pop()[len(whole) :])) if _seen(x.base_name)]
+                    rows = [(whole + x.path[len(base) :], x.mtime_ns // 1_000_000, x.size) for x in inside if x.type == fs.FileType.File and x.base_name.endswith(ending)]
+                    folders = [whole + x.path[len(base) :] for x in inside if x.type == fs.FileType.Directory]
+                    if deep:
+                        todo += folders
+                    else:
+                        rows += [(f, None, None) for f in folders]
+                    for lo in range(0, len(rows), 10_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 10_000]), shape.types)], schema=shape)
+
+        return run
+
+    found, sql = spark.range(1).select(F.lit(whole).alias("path"), F.lit(None).cast("long").alias("modified"), F.lit(None).cast("long").alias("size")), "path string, modified long, size long"
+    for deep in (False, False, True):
+        found = found.repartition(many(spark)).mapInArrow(step(deep), sql)
+    return found.withColumn("modified", F.timestamp_millis("modified"))
+
+
 def _toml(files: DataFrame, schema: str, row, contents=None) -> DataFrame:
     """``row(path, content as TOML)`` of files (path, content); or of paths whose ``contents`` gives the second column."""
     names = [x.strip().rpartition(" ")[0] for x in schema.split(", ")]
@@ -44,6 +98,25 @@ def _toml(files: DataFrame, schema: str, row, contents=None) -> DataFrame:
 _KINDS = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
 
 
+def _read(spark: SparkSession, root: str, ending: str, schema: str, row, where: str = "true") -> DataFrame:
+    """``row`` of each file under ``root`` with this ending."""
+    if not _reached(root):
+        return _toml(small_files(spark, root, f"*{ending}").select("path", "content").filter(where), schema, row)
+    return _opened(list_files(spark, root, ending).filter(where).select("path"), root, schema, row)
+
+
+def _opened(paths: DataFrame, root: str, schema: str, row) -> DataFrame:
+    """``row`` of the files (path) under ``root``, however many: each task opens those that it is dealt."""
+
+    def contents(names: list[str]) -> Iterator[bytes]:
+        store, base = fs.FileSystem.from_uri(root)
+        for p in names:
+            with store.open_input_stream(p[p.index(base) :]) as f:
+                yield f.read()
+
+    return _toml(paths.repartition(many(paths.sparkSession)), schema, row, contents)
+
+
 def _chunk(path: str, t: dict) -> dict | None:
     if "/chunks/" not in path:
         return None
@@ -60,9 +133,13 @@ def _text(path: str, t: dict) -> dict:
     return {"path": path, "tradition_dir": folder[-3], **own}
 
 
+#: Chunk files among the files of a corpus.
+CHUNKS = "path LIKE '%/chunks/%'"
+
+
 def read_chunks(spark: SparkSession, root: str) -> DataFrame:
     """A row for each ``<tradition>/<text>/chunks/<seq>.toml``; compact to Parquet once, then read that."""
-    return _toml(small_files(spark, root, "*.toml").select("path", "content"), CHUNK, _chunk)
+    return _read(spark, root, ".toml", CHUNK, _chunk, CHUNKS)
 
 
 def read_chunk_files(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -71,20 +148,13 @@ def read_chunk_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def open_chunk_files(paths: DataFrame, root: str) -> DataFrame:
-    """The chunks of the files (path) under ``root``, however many: each task opens those that it is dealt."""
-
-    def contents(names: list[str]) -> Iterator[bytes]:
-        store, base = fs.FileSystem.from_uri(root)
-        for p in names:
-            with store.open_input_stream(p[p.index(base) :]) as f:
-                yield f.read()
-
-    return _toml(paths.repartition(many(paths.sparkSession)), CHUNK, _chunk, contents)
+    """The chunks of the files (path) under ``root``, however many."""
+    return _opened(paths, root, CHUNK, _chunk)
 
 
 def read_texts(spark: SparkSession, root: str) -> DataFrame:
     """A row for each ``metadata.toml``; the text's name defaults to its id."""
-    return _toml(small_files(spark, root, "metadata.toml").select("path", "content"), TEXT, _text)
+    return _read(spark, root, "metadata.toml", TEXT, _text, "path LIKE '%/metadata.toml'")
 
 
 def read_config(text: str) -> dict:
