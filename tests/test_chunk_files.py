@@ -165,3 +165,17 @@ def test_the_driver_holds_no_row_a_file(spark, tmp_path, monkeypatch):
     chunk_writer.write_chunks(changed, root, commit=True)
     assert chunk_writer.refresh_bodies(spark, s, root) == {"parsed": 20, "kept": 40, "gone": 0}
     assert len(plans) == 3 and not any("Broadcast" in p._jdf.queryExecution().executedPlan().toString() for p in plans)
+
+
+def test_a_commit_holds_the_names_of_one_folder(tmp_path):
+    root = str(tmp_path / "corpus")
+    w = chunk_writer._Writer(root)
+
+    class R(dict):
+        asDict = dict.copy
+
+    done = [w.write([R(id=f"t.b{i}.{k}", body="x") for i in range(4) for k in range(5)]) for _ in range(2)]
+    store, base, at = w._at()
+    assert [len(names) for a in done for _, names in chunk_writer._folders(store, f"{at}/{a.attempt}")] == [5] * 8
+    w.commit(done)
+    assert len(all_files(root)) == 20

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import posixpath
 import uuid
+from collections import deque
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -104,20 +106,30 @@ def _remove_empty(store, at: str) -> None:
         store.delete_dir(at)
 
 
+def _folders(store, at: str) -> Iterator[tuple[str, list[str]]]:
+    """The folders under ``at`` that have files, with their names: only those of one folder of one task are held."""
+    todo = [at]
+    while todo:
+        folder = todo.pop()
+        inside = store.get_file_info(fs.FileSelector(folder))
+        todo += [x.path for x in inside if x.type == fs.FileType.Directory]
+        if names := [x.base_name for x in inside if x.type == fs.FileType.File]:
+            yield folder, names
+
+
 def _finish(store, base: str, at: str) -> None:
     """Move the files of a run whose commit has begun; a file that is in place already is not there to move."""
     with store.open_input_stream(f"{at}/commit.json") as f:
         attempts = json.loads(f.read())
-    there = set()
-    for a in attempts:
-        here = f"{at}/{a}"
-        if store.get_file_info(here).type != fs.FileType.Directory:
-            continue
-        moves = [(x.path, f"{base}/{x.path[len(here) + 1 :]}") for x in store.get_file_info(fs.FileSelector(here, recursive=True)) if x.type == fs.FileType.File]
-        for _, to in moves:
-            _ensure(store, posixpath.dirname(to), there)
-        with ThreadPoolExecutor(MOVES) as pool:
-            list(pool.map(lambda m: store.move(*m), moves))
+    with ThreadPoolExecutor(MOVES) as pool:
+        for a in attempts:
+            here = f"{at}/{a}"
+            if store.get_file_info(here).type != fs.FileType.Directory:
+                continue
+            for folder, names in _folders(store, here):
+                to = base + folder[len(here) :]
+                store.create_dir(to, recursive=True)
+                deque(pool.map(lambda n: store.move(f"{folder}/{n}", f"{to}/{n}"), names), maxlen=0)  # noqa: B023 (ends in this round)
     _remove(store, at)
     _remove_empty(store, f"{base}/{STAGING}")
 
